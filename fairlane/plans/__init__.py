@@ -1,0 +1,2 @@
+"""Designed plans: fit / transform steps, splits, balancing, model training and
+scoring, explanations and mitigations."""
