@@ -35,7 +35,11 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), places).alias(f.name))
+            # round(x * 10^p) / 10^p on both sides: the same double always
+            # lands on the same value (Spark's round(x, p) rounds the decimal
+            # string half-up, DuckDB the binary value, so ties would differ).
+            scale = F.lit(float(10 ** places))
+            cols.append((F.round(F.col(f"`{f.name}`") * scale, 0) / scale).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(cols)
@@ -57,7 +61,7 @@ def full_sql(e: Entry) -> str:
         parts.append(e.ctes.strip().rstrip(","))
     body = e.sql.strip().rstrip(";")
     if e.dbl:
-        repl = ", ".join(f'round("{c}", 6) AS "{c}"' for c in e.dbl)
+        repl = ", ".join(f'round("{c}" * 1e6) / 1e6 AS "{c}"' for c in e.dbl)
         body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) _q"
     else:
         body = f"SELECT * FROM (\n{body}\n) _q"
