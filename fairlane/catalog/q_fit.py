@@ -69,14 +69,15 @@ def one_hot(spark, d):
 
 @register("m03_target_encode_out_of_fold", dbl=["state_code_te"], ctes=SPLIT_SQL + f""",
 tr AS (SELECT *, {hash_bucket_sql('fold', 'application_id', 5)} AS fold FROM sa WHERE split = 'train'),
-pr AS (SELECT avg(target) AS p FROM tr WHERE target IS NOT NULL),
+ft AS (SELECT fold, sum(target) AS fs, count(target) AS fc FROM tr WHERE target IS NOT NULL GROUP BY fold),
+pr AS (SELECT fold, (sum(fs) OVER () - fs) / (sum(fc) OVER () - fc) AS p FROM ft),
 g AS (SELECT state_code, fold, sum(target) AS s, count(target) AS c FROM tr WHERE target IS NOT NULL
       GROUP BY state_code, fold),
 k AS (SELECT state_code, sum(s) AS ts, sum(c) AS tc FROM g GROUP BY state_code)""", sql="""
 SELECT tr.application_id, tr.state_code,
        coalesce((k.ts - coalesce(g.s, 0) + pr.p * 10e0) / nullif(k.tc - coalesce(g.c, 0) + 10e0, 0), pr.p)
          AS state_code_te
-FROM tr CROSS JOIN pr LEFT JOIN k ON tr.state_code = k.state_code
+FROM tr LEFT JOIN pr ON tr.fold = pr.fold LEFT JOIN k ON tr.state_code = k.state_code
 LEFT JOIN g ON tr.state_code = g.state_code AND tr.fold = g.fold""")
 def target_encode(spark, d):
     tr = _split_apps(spark, d).where("split = 'train'").select("application_id", "state_code", "target")

@@ -133,15 +133,20 @@ def target_encode_out_of_fold(train: DataFrame, key: str, label: str = "target",
     out = out or f"{key}_te"
     t = train.withColumn("_fold", hash_bucket(seed, F.col(id_col), folds).cast("int"))
     lab = t.where(F.col(label).isNotNull())
-    prior = lab.agg(F.avg(label).alias("p")).select("p")
     g = lab.groupBy(key, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_c"))
     w = Window.partitionBy(key)
     g = g.withColumn("_ts", F.sum("_s").over(w)).withColumn("_tc", F.sum("_c").over(w))
+    # The prior is out-of-fold too: all labels less those of the row's fold.
+    fold_tot = lab.groupBy("_fold").agg(F.sum(label).alias("_fs"), F.count(label).alias("_fc"))
+    all_w = Window.partitionBy()
+    fold_tot = fold_tot.select("_fold", safe_div(F.sum("_fs").over(all_w) - F.col("_fs"),
+                                                 F.sum("_fc").over(all_w) - F.col("_fc")).alias("_p"))
     # Folds of a key that hold no labelled row still need the key's totals.
     keys = g.select(key, "_ts", "_tc").distinct()
-    p = F.lit(0.0) + prior.scalar()
     m = F.lit(float(smoothing))
-    enc = t.join(keys, key, "left").join(g.select(key, "_fold", "_s", "_c"), [key, "_fold"], "left")
+    enc = (t.join(keys, key, "left").join(g.select(key, "_fold", "_s", "_c"), [key, "_fold"], "left")
+           .join(fold_tot, "_fold", "left"))
+    p = F.col("_p")
     s_out = F.col("_ts") - F.coalesce(F.col("_s"), F.lit(0))
     c_out = F.col("_tc") - F.coalesce(F.col("_c"), F.lit(0))
     val = F.coalesce(safe_div(s_out + p * m, c_out + m), p)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def rate_by(df: DataFrame, keys, label: str = "target", min_count: int = 0,
@@ -45,8 +46,8 @@ def flag_rate_gap(df: DataFrame, key: str, label: str = "target", points: float
     overall rate of all labelled rows (null-key rows count in the overall)."""
     g = (df.groupBy(key)
          .agg(F.count(label).alias("n"), F.sum(label).cast("bigint").alias("approved")))
-    g = (g.withColumn("_tn", F.sum("n").over(_ALL))
-          .withColumn("_ta", F.sum("approved").over(_ALL))
+    g = (g.withColumn("_tn", F.sum("n").over(_all()))
+          .withColumn("_ta", F.sum("approved").over(_all()))
           .where(F.col(key).isNotNull() & (F.col("n") > 0)))
     rate_pct = F.col("approved") / F.col("n") * F.lit(100.0)
     overall = F.col("_ta") / F.col("_tn") * F.lit(100.0)
@@ -68,14 +69,14 @@ def segment_profile(df: DataFrame, key: str, label: str = "target", income: str
               median(income, approx).alias("median_income"),
               median(amount, approx).alias("median_amount")))
     return g.withColumn(
-        "market_share_pct", F.col("applications") / F.sum("applications").over(_ALL) * F.lit(100.0))
+        "market_share_pct", F.col("applications") / F.sum("applications").over(_all()) * F.lit(100.0))
 
 
 def disparate_impact_overall(df: DataFrame, key: str, label: str = "target",
                              limit: float = 0.8) -> DataFrame:
     """A27 (overall-rate form): group rate / overall rate, pass at ``limit``."""
     g = (df.groupBy(key).agg(F.count(label).alias("n"), F.sum(label).alias("s"))
-         .withColumn("_tn", F.sum("n").over(_ALL)).withColumn("_ts", F.sum("s").over(_ALL))
+         .withColumn("_tn", F.sum("n").over(_all())).withColumn("_ts", F.sum("s").over(_all()))
          .where(F.col(key).isNotNull()))
     rate = safe_div(F.col("s"), F.col("n"))
     overall = safe_div(F.col("_ts"), F.col("_tn"))
@@ -89,7 +90,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True, dropna: bool =
     d = df.where(F.col(col).isNotNull()) if dropna else df
     g = d.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        g = g.withColumn("share", F.col("count") / F.sum("count").over(_ALL))
+        g = g.withColumn("share", F.col("count") / F.sum("count").over(_all()))
     return g
 
 
@@ -97,7 +98,7 @@ def median_by(df: DataFrame, value: str, by: str, approx: bool = False) -> DataF
     """Median of ``value`` per group, and the gap between the largest and
     smallest group median."""
     g = drop_null_keys(df, [by]).groupBy(by).agg(median(value, approx).alias("median"))
-    return g.withColumn("gap", F.max("median").over(_ALL) - F.min("median").over(_ALL))
+    return g.withColumn("gap", F.max("median").over(_all()) - F.min("median").over(_all()))
 
 
 def quantile_table(df: DataFrame, col: str, ps=(0.25, 0.33, 0.67, 0.75, 0.99),
@@ -150,7 +151,7 @@ def intersectional_rates(df: DataFrame, attrs: list[str], label: str = "target",
     g = d.cube(*attrs).agg(F.grouping_id().alias("level"), F.count(label).alias("n"),
                            F.avg(label).alias("rate"))
     full = (1 << len(attrs)) - 1
-    overall = F.max(F.when(F.col("level") == full, F.col("rate"))).over(_ALL)
+    overall = F.max(F.when(F.col("level") == full, F.col("rate"))).over(_all())
     g = g.withColumn("gap", F.col("rate") - overall)
     if min_count:
         g = g.where(F.col("n") >= min_count)

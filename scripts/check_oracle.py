@@ -6,47 +6,15 @@ Mirrors the driver's check: row count, column names, order-insensitive values.
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from fairlane import catalog  # noqa: E402
+from fairlane.catalog.compare import canon, duck_connect  # noqa: E402
 from fairlane.session import get_session  # noqa: E402
-from fairlane.sources.tables import TABLES  # noqa: E402
-
-
-def norm(v):
-    if v is None:
-        return "∅"
-    if isinstance(v, bool):
-        return f"b:{v}"
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return f"f:{round(v, 6):.6f}"
-    if isinstance(v, decimal.Decimal):
-        return f"f:{round(float(v), 6):.6f}"
-    if isinstance(v, int):
-        return f"i:{v}"
-    if isinstance(v, (dt.datetime, dt.date)):
-        return f"t:{v.isoformat()}"
-    if isinstance(v, (list, tuple)):
-        return "[" + ",".join(norm(x) for x in v) + "]"
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{k}:{norm(x)}" for k, x in sorted(v.items())) + "}"
-    return f"s:{v}"
-
-
-def canon(cols, rows):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
 
 def main():
@@ -56,9 +24,7 @@ def main():
     spark = get_session("local[8]", 8)
     qs = catalog.queries()
     sqls = catalog.oracle_sql()
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    con = duck_connect(sf_dir)
     bad = 0
     for name in sorted(qs):
         if pats and not any(p in name for p in pats):
