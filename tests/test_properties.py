@@ -92,3 +92,25 @@ def test_pareto_front_keeps_undominated(spark):
                                "model string, x double, y double")
     got = sorted(r["model"] for r in fairness.pareto_front(df, ["x", "y"]).collect())
     assert got == ["a", "b", "d"]
+
+
+def test_sampled_contributions_add_up_to_score_minus_base(spark):
+    from fairlane.catalog.q_models import FEATURES, model_table
+    from fairlane.operators import explain, models
+    t = model_table(spark, SMALL)
+    m = models.train(t, FEATURES, "tree", maxDepth=3)
+    bg = t.orderBy("application_id").limit(10).select(*FEATURES)
+    c = explain.sampled_contributions(m, t.select("application_id", *FEATURES), FEATURES, bg, n_samples=3)
+    g = c.groupBy("application_id").agg(F.sum("contribution").alias("s"), F.first("score").alias("f"),
+                                        F.first("base").alias("b"), F.count(F.lit(1)).alias("k"))
+    bad = g.where((F.abs(F.col("s") - (F.col("f") - F.col("b"))) > 1e-9) | (F.col("k") != len(FEATURES)))
+    assert bad.count() == 0
+
+
+def test_group_thresholds_equalise_rates(spark):
+    from fairlane.operators import explain
+    p = spark.createDataFrame([("m", g, i / 100.0, 0) for g in ("a", "b") for i in range(100) if g == "a" or i % 2],
+                              "model string, g string, score double, pred int")
+    adj = explain.group_thresholds(p, "g", target_rate=0.3)
+    rates = {r["g"]: r["r"] for r in adj.groupBy("g").agg(F.avg("pred").alias("r")).collect()}
+    assert abs(rates["a"] - 0.3) <= 0.02 and abs(rates["b"] - 0.3) <= 0.03
