@@ -131,3 +131,21 @@ def example_cases(preds: DataFrame, k: int = 3, key: str = "application_id", ord
     t = preds.withColumn("case_type", case).where(F.col("case_type").isNotNull())
     w = Window.partitionBy(*by, "case_type").orderBy(*[F.col(c) for c in (as_list(order) or [key])])
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def batch_summary(preds: DataFrame, by="model") -> DataFrame:
+    """Total, approved, denied, high-risk count and the share of each
+    risk level, per model – one aggregate pass."""
+    from fairlane.functions.features import decide
+    by = as_list(by)
+    lvl = decide("score")["risk_level"]
+    g = preds.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("pred") == 1).alias("approved"),
+        F.count_if(F.col("pred") == 0).alias("denied"), F.count_if(lvl == "High Risk").alias("high_risk"),
+        F.count_if(lvl == "Moderate Risk").alias("_mod"), F.count_if(lvl == "Low Risk").alias("_low"))
+    t = F.col("total")
+    return g.select(*by, "total", "approved", "denied", "high_risk",
+                    (F.col("approved") / t * 100.0).alias("approval_pct"),
+                    (F.col("high_risk") / t * 100.0).alias("high_risk_pct"),
+                    (F.col("_mod") / t * 100.0).alias("moderate_risk_pct"),
+                    (F.col("_low") / t * 100.0).alias("low_risk_pct"))
