@@ -42,7 +42,7 @@ def linear_models(spark, d):
     return metrics.model_comparison(p)
 
 
-@register("m14_m17_tree_models")
+@register("m14_m15_m17_tree_models")
 def tree_models(spark, d):
     _, p = _fit_and_score(spark, d, {"gbt": ("gbt", {"maxIter": 20, "maxDepth": 5}),
                                      "forest": ("forest", {"numTrees": 40, "maxDepth": 10}),

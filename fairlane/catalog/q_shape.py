@@ -23,7 +23,8 @@ WINDOW wf AS (PARTITION BY grp_a ORDER BY application_id ROWS BETWEEN UNBOUNDED
 def fill_gaps(spark, d):
     a = applications(spark, d).where(F.col("grp_a").isNotNull()).select(
         "application_id", "grp_a", "income", "property_value")
-    return windows.fill_gaps(a, ["income", "property_value"], "application_id", "grp_a")
+    # Keys above 1,000 rows are split into ordered ranges (exercises the hot-key path).
+    return windows.fill_gaps(a, ["income", "property_value"], "application_id", "grp_a", min_rows=1000)
 
 
 @register("w02_rank_states", dbl=["rate"], sql="""

@@ -23,13 +23,33 @@ from pyspark.sql import functions as F
 from fairlane.operators._util import as_list
 
 
-def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int):
+def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int, min_rows: int = 0):
+    """Bucket of each row within its key by literal cut points.
+
+    With ``min_rows`` only keys holding at least that many rows (the hot
+    ones, at most N / min_rows of them) are cut; every other key stays in
+    bucket 0, so the literal table stays small however many keys exist.
+    """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     if n_buckets <= 1:
         return F.lit(0)
-    cuts = (df.groupBy(*part)
+    src = df
+    if min_rows and part:
+        heavy = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).collect()
+        if not heavy:
+            return F.lit(0)
+        cond = None
+        for row in heavy:
+            c = None
+            for k in part:
+                e = F.col(k) == F.lit(row[k]) if row[k] is not None else F.col(k).isNull()
+                c = e if c is None else c & e
+            cond = c if cond is None else cond | c
+        src = df.where(cond)
+    cuts = (src.groupBy(*part)
             .agg(F.percentile_approx(F.col(order).cast("double"), probs, 1000).alias("_cuts"))
             .collect())
+
     def bucket_of(arr):
         return F.size(F.filter(F.array(*[F.lit(float(v)) for v in arr]),
                                lambda b: b < F.col(order).cast("double")))
@@ -47,13 +67,13 @@ def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int):
 
 
 def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str],
-                        n_buckets: int = 64, descending: bool = False) -> DataFrame:
+                        n_buckets: int = 64, descending: bool = False, min_rows: int = 0) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in ``order``) for each column.
 
     ``order`` must be unique within ``part`` (aggregate first).
     """
     part = as_list(part)
-    b = _bucket_column(df, part, order, n_buckets)
+    b = _bucket_column(df, part, order, n_buckets, min_rows)
     if descending:
         b = F.lit(n_buckets) - b
     t = df.withColumn("_b", b.cast("int"))

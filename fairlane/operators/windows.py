@@ -16,14 +16,16 @@ from fairlane.operators._util import as_list
 from fairlane.operators.prefix import _bucket_column
 
 
-def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, n_buckets: int = 32) -> DataFrame:
+def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, n_buckets: int = 32,
+              min_rows: int = 1_000_000) -> DataFrame:
     """Forward fill, then backward fill, within each partition key in
-    ``order_by`` order (which must be unique within a key)."""
+    ``order_by`` order (which must be unique within a key). Keys with at
+    least ``min_rows`` rows are split into ``n_buckets`` ordered ranges."""
     cols = as_list(cols)
     part = as_list(partition_by)
     if not part:
         raise ValueError("fill_gaps needs a partition key (a whole-table window runs on one task)")
-    b = _bucket_column(df.select(*part, order_by).distinct(), part, order_by, n_buckets)
+    b = _bucket_column(df.select(*part, order_by), part, order_by, n_buckets, min_rows)
     t = df.withColumn("_b", b.cast("int"))
     o = F.col(order_by)
     w_f = Window.partitionBy(*part, "_b").orderBy(o.asc()).rowsBetween(Window.unboundedPreceding, 0)

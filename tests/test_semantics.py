@@ -48,7 +48,7 @@ def test_value_counts_dropna_flag(spark):
 def test_fill_gaps_forward_then_backward(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, None), ("a", 4, 7.0), ("b", 1, None)],
                                "k string, o int, v double")
-    got = {(r["k"], r["o"]): r["v"] for r in windows.fill_gaps(df, ["v"], "o", "k", n_buckets=2).collect()}
+    got = {(r["k"], r["o"]): r["v"] for r in windows.fill_gaps(df, ["v"], "o", "k", n_buckets=2, min_rows=1).collect()}
     assert got == {("a", 1): 5.0, ("a", 2): 5.0, ("a", 3): 5.0, ("a", 4): 7.0, ("b", 1): None}
 
 
@@ -92,3 +92,20 @@ def test_decision_wording(spark):
     got = [tuple(r) for r in df.select(d["decision"], d["risk_level"], d["needs_review"]).collect()]
     assert got == [("Approved", "Low Risk", False), ("Approved", "Moderate Risk", True),
                    ("Denied", "High Risk", True), ("Denied", "High Risk", False)]
+
+
+def test_template_rows_validate_and_score(spark):
+    from fairlane.sources import io
+    t = io.template_table(spark)
+    assert t.count() == 3
+    v = fx.validate_records(t.withColumn("state_code", F.lit(None).cast("string")))
+    assert [r["valid"] for r in v.collect()] == [True, True, True]
+    out = fx.ratio_features(t).select("loan_to_value_ratio").collect()
+    assert [round(r[0], 6) for r in out] == [75.0, round(250000 / 300000 * 100, 6), 75.0]
+
+
+def test_schema_diff_missing_and_extra(spark):
+    from fairlane.operators import reshape
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    got = sorted(tuple(r) for r in reshape.schema_diff(spark, df, ["a", "c"]).collect())
+    assert got == [("b", "extra"), ("c", "missing")]
