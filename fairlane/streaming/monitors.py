@@ -144,6 +144,25 @@ def run_volume_monitor(spark: SparkSession, source_dir: str, sink_dir: str, name
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
 
 
+def run_performance_monitor(spark: SparkSession, prediction_dir: str, outcome_dir: str, sink_dir: str,
+                            name: str = "performance", window: str = "7 days", bound: str = "3 days",
+                            watermark: str = "1 day"):
+    """X3 as a stream: predictions and late outcomes arrive as two streams of
+    event files; the time-bounded join keeps state only for ``bound`` plus the
+    watermark; counts per (window, score) are appended when a window closes and
+    each micro-batch writes AUC / accuracy of the windows it closes."""
+    preds = decisions(read_events_stream(spark, prediction_dir))
+    outs = outcomes(read_events_stream(spark, outcome_dir))
+    counts = performance_counts(joined_outcomes(preds, outs, bound, watermark), window)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("append").parquet(f"{sink_dir}/counts")
+        performance_by_window(batch).write.mode("append").parquet(f"{sink_dir}/performance")
+
+    return (counts.writeStream.outputMode("append").foreachBatch(sink)
+            .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
+
+
 def run_audit_log(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "audit",
                   watermark: str = "1 day"):
     """Append-only audit log partitioned by date; repeated deliveries of
