@@ -13,17 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list, div0, safe_div
-from fairlane.operators.metrics import classification_metrics
 
 LIMITS = {"dpd": 0.05, "eod": 0.05, "di": 0.80}
 
 
+_OVERALL = "__overall__"
+
+
 def group_counts(preds: DataFrame, attrs: list[str], y: str = "y_true", pred: str = "pred",
-                 by="model", min_group_size: int = 0) -> DataFrame:
-    """Per (model, attribute, group): n, predicted positives, TP, FN, FP, TN."""
+                 by="model", min_group_size: int = 0, overall: bool = False) -> DataFrame:
+    """Per (model, attribute, group): n, predicted positives, TP, FN, FP, TN.
+    With ``overall`` one more pseudo-attribute holds every labelled row, so
+    the model-level confusion counts come from the same single pass."""
     by = as_list(by)
-    long = (preds.select(*by, y, pred, *[F.col(a).cast("string").alias(a) for a in attrs])
-            .unpivot([*by, y, pred], attrs, "attribute", "grp")
+    cols = [F.col(a).cast("string").alias(a) for a in attrs]
+    names = list(attrs)
+    if overall:
+        cols.append(F.when(F.col(y).isNotNull() & F.col(pred).isNotNull(), F.lit("all")).alias(_OVERALL))
+        names.append(_OVERALL)
+    long = (preds.select(*by, y, pred, *cols)
+            .unpivot([*by, y, pred], names, "attribute", "grp")
             .where(F.col("grp").isNotNull()))
     yc, pc = F.col(y), F.col(pred)
     g = long.groupBy(*by, "attribute", "grp").agg(
@@ -34,7 +43,7 @@ def group_counts(preds: DataFrame, attrs: list[str], y: str = "y_true", pred: st
         F.count_if((yc == 0) & (pc == 1)).alias("fp"),
         F.count_if((yc == 0) & (pc == 0)).alias("tn"))
     if min_group_size:
-        g = g.where(F.col("n") >= min_group_size)
+        g = g.where((F.col("n") >= min_group_size) | (F.col("attribute") == _OVERALL))
     return g.select(*by, "attribute", "grp", "n", "pos", "tp", "fn", "fp", "tn",
                     (F.col("pos") / F.col("n")).alias("rate"),
                     div0(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
@@ -103,14 +112,15 @@ def fairness_table(preds: DataFrame, attrs: list[str], y: str = "y_true", pred:
     """
     by = as_list(by)
     lim = {**LIMITS, **(limits or {})}
-    g = group_counts(preds, attrs, y, pred, by, min_group_size)
-    m = _attr_metrics(g, by, reference)
-    # Overall metrics per model come from the same group counts of any one
-    # attribute would miss rows with a null attribute value: take them from
-    # the predictions directly (a second, partially aggregated pass).
-    perf = classification_metrics(preds, y, pred, by)
-    perf = perf.select(*by, "accuracy", "precision", "recall", "f1",
-                       ((F.col("tp") + F.col("fp") == 0) | (F.col("tn") + F.col("fn") == 0)).alias("degenerate"))
+    g = group_counts(preds, attrs, y, pred, by, min_group_size, overall=True)
+    m = _attr_metrics(g.where(F.col("attribute") != _OVERALL), by, reference)
+    # Model-level metrics from the pseudo-attribute of the same grouped pass
+    # (every labelled prediction, including rows whose attributes are null).
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    perf = g.where(F.col("attribute") == _OVERALL).select(
+        *by, div0(tp + tn, tp + fp + fn + tn).alias("accuracy"), div0(tp, tp + fp).alias("precision"),
+        div0(tp, tp + fn).alias("recall"), div0(F.lit(2.0) * tp, F.lit(2) * tp + fp + fn).alias("f1"),
+        ((tp + fp == 0) | (tn + fn == 0)).alias("degenerate"))
     out = m.join(perf, by, "left")
     return out.select(*by, "attribute", "dpd", (F.col("dpd") < lim["dpd"]).alias("dpd_pass"),
                       "eod", (F.col("eod") < lim["eod"]).alias("eod_pass"),
