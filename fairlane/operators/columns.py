@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlane.operators._util import as_list, not_null_all, string_columns
+from fairlane.operators._util import as_list, not_null_all, string_columns, use_approx
 
 # Outcome text (lower case) → label; 1 = decision to lend,
 # 0 = denial, null = not an underwriting decision.
@@ -271,10 +271,13 @@ def drop_columns(df: DataFrame, cols) -> DataFrame:
 
 
 def plot_domain_filters(df: DataFrame, income_max: float = 500_000.0, amount_q: float = 0.99,
-                        ratio_col: str | None = None, ratio_max: float = 5.0) -> DataFrame:
+                        ratio_col: str | None = None, ratio_max: float = 5.0,
+                        approx: bool | None = None) -> DataFrame:
     """Income below a cap, amount below its ``amount_q`` quantile (a
     scalar sub-query), optional ratio below a cap."""
-    q = df.agg(F.percentile(F.col("loan_amount"), F.lit(amount_q)).alias("q")).select("q").scalar()
+    pq = (F.percentile_approx("loan_amount", amount_q, 10000) if use_approx(df, approx)
+          else F.percentile(F.col("loan_amount"), F.lit(amount_q)))
+    q = df.agg(pq.alias("q")).select("q").scalar()
     cond = (F.col("income") < F.lit(income_max)) & (F.col("loan_amount") < q)
     if ratio_col:
         cond = cond & (F.col(ratio_col) < F.lit(ratio_max))

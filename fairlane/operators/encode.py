@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div
+from fairlane.operators._util import as_list, safe_div, use_approx
 from fairlane.sources.tables import hash_bucket
 
 
@@ -34,10 +34,11 @@ class ImputerModel:
 
 
 def fit_median_imputer(train: DataFrame, cols, max_null_share: float | None = 0.4, keep=(),
-                       approx: bool = False) -> ImputerModel:
+                       approx: bool | None = None) -> ImputerModel:
     """M1: medians of the training rows; an all-null column gets 0; a column
     above ``max_null_share`` nulls is skipped unless in ``keep``."""
     cols = as_list(cols)
+    approx = use_approx(train, approx)
     q = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double")) if approx else \
         (lambda c: F.percentile(F.col(c).cast("double"), F.lit(0.5)))
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -91,11 +92,11 @@ def fit_one_hot(train: DataFrame, cols, max_labels: int = 10, drop_first: bool =
     return OneHotModel({c: got[c] for c in cols if c in got}, drop_first)
 
 
-def fit_quantile_one_hot(train: DataFrame, col: str, n_bins: int = 4, approx: bool = False):
+def fit_quantile_one_hot(train: DataFrame, col: str, n_bins: int = 4, approx: bool | None = None):
     """``n_bins`` quantile bins (edges from one aggregate), one 0/1 column per bin."""
     ps = [i / n_bins for i in range(1, n_bins)]
     arr = F.array(*[F.lit(p) for p in ps])
-    q = F.percentile_approx(col, arr, 10000) if approx else F.percentile(F.col(col), arr)
+    q = F.percentile_approx(col, arr, 10000) if use_approx(train, approx) else F.percentile(F.col(col), arr)
     edges = [float(v) for v in train.agg(q.alias("q")).first()["q"]]
     return QuantileBins(col, edges)
 

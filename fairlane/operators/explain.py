@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list
+from fairlane.operators._util import as_list, use_approx
 from fairlane.sources.tables import hash_bucket
 
 MAX_BACKGROUND_ROWS = 1000
@@ -131,7 +131,7 @@ def sampled_contributions(model: PipelineModel, df: DataFrame, features: list[st
 
 
 def group_thresholds(preds: DataFrame, group: str, target_rate: float | None = None, score: str = "score",
-                     by="model", approx: bool = False) -> DataFrame:
+                     by="model", approx: bool | None = None) -> DataFrame:
     """Per group, the score cut that makes the group's positive rate equal
     ``target_rate`` (default: each model's own overall positive rate), then
     ``pred = score >= cut``.
@@ -150,7 +150,7 @@ def group_thresholds(preds: DataFrame, group: str, target_rate: float | None = N
         rates = [((), float(target_rate))]
     ps = sorted({round(1.0 - r, 12) for _, r in rates})
     arr = F.array(*[F.lit(p) for p in ps])
-    q = F.percentile_approx(score, arr, 10000) if approx else F.percentile(F.col(score), arr)
+    q = F.percentile_approx(score, arr, 10000) if use_approx(preds, approx) else F.percentile(F.col(score), arr)
     cuts = base.groupBy(*by, group).agg(q.alias("_qs"))
     pick = None
     for key, r in rates:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlane.operators._util import as_list, numeric_columns, string_columns
+from fairlane.operators._util import as_list, numeric_columns, string_columns, use_approx
 from fairlane.operators.columns import RANGE_RULES
 
 
@@ -83,7 +83,7 @@ def cardinality_classes(df: DataFrame, cols=None, low: int = 10, high: int = 50,
                     F.when(n > high, "high").when(n > low, "medium").otherwise("low").alias("cardinality"))
 
 
-def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bool = False) -> DataFrame:
+def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bool | None = None) -> DataFrame:
     """A8 numeric: count, mean, std (n−1), min, quartiles, max per column
     (and per group with ``by``); long form, one aggregate pass."""
     cols = as_list(cols) or [c for c in numeric_columns(df) if c != by]
@@ -92,7 +92,7 @@ def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bo
             .unpivot(keys, cols, "column", "value"))
     if by:
         long = long.where(F.col(by).isNotNull())
-    qs = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000) if approx else \
+    qs = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000) if use_approx(df, approx) else \
         F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = long.groupBy(*keys, "column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),

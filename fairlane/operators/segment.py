@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div
+from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div, use_approx
 
 def _all():
     return Window.partitionBy()
@@ -59,8 +59,9 @@ def flag_rate_gap(df: DataFrame, key: str, label: str = "target", points: float
 
 
 def segment_profile(df: DataFrame, key: str, label: str = "target", income: str = "income",
-                    amount: str = "loan_amount", approx: bool = False) -> DataFrame:
+                    amount: str = "loan_amount", approx: bool | None = None) -> DataFrame:
     """A4: applications, approved, rate, median income and amount, market share."""
+    approx = use_approx(df, approx)
     g = (drop_null_keys(df, [key])
          .groupBy(key)
          .agg(F.count(label).alias("applications"),
@@ -94,16 +95,18 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True, dropna: bool =
     return g
 
 
-def median_by(df: DataFrame, value: str, by: str, approx: bool = False) -> DataFrame:
+def median_by(df: DataFrame, value: str, by: str, approx: bool | None = None) -> DataFrame:
     """Median of ``value`` per group, and the gap between the largest and
     smallest group median."""
+    approx = use_approx(df, approx)
     g = drop_null_keys(df, [by]).groupBy(by).agg(median(value, approx).alias("median"))
     return g.withColumn("gap", F.max("median").over(_all()) - F.min("median").over(_all()))
 
 
 def quantile_table(df: DataFrame, col: str, ps=(0.25, 0.33, 0.67, 0.75, 0.99),
-                   approx: bool = False) -> DataFrame:
+                   approx: bool | None = None) -> DataFrame:
     """One row per requested probability (linear interpolation)."""
+    approx = use_approx(df, approx)
     ps = [float(p) for p in ps]
     row = df.agg(_q(col, ps, approx).alias("_v"))
     return row.select(F.posexplode("_v").alias("_i", "value")).select(

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div
+from fairlane.operators._util import as_list, safe_div, use_approx
 from fairlane.operators.prefix import ordered_prefix_sums
 
 
@@ -135,9 +135,10 @@ def high_corr_pairs(df: DataFrame, cols, target: str, threshold: float = 0.95) -
 
 # --- A41 / M23: mutual information ------------------------------------------------------
 
-def quantile_edges(df: DataFrame, cols, n_bins: int = 10, approx: bool = False) -> dict[str, list[float]]:
+def quantile_edges(df: DataFrame, cols, n_bins: int = 10, approx: bool | None = None) -> dict[str, list[float]]:
     """Inner cut points of ``n_bins`` quantile bins per column (one aggregate)."""
     cols = as_list(cols)
+    approx = use_approx(df, approx)
     ps = [i / n_bins for i in range(1, n_bins)]
     arr = F.array(*[F.lit(p) for p in ps])
     q = (lambda c: F.percentile_approx(F.col(c).cast("double"), arr, 10000)) if approx else \

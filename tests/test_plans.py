@@ -34,3 +34,12 @@ def test_auc_has_no_single_partition_exchange_on_rows(spark):
 def test_top_n_is_take_ordered(spark):
     o = load(spark, SMALL, "orders")
     assert "TakeOrderedAndProject" in _plan(ordering.top_n(o, "o_totalprice", 10, tie="o_orderkey"))
+
+
+def test_quantiles_switch_to_sketch_on_large_input(spark, monkeypatch):
+    from fairlane.operators import _util
+    a = applications(spark, SMALL)
+    assert _util.use_approx(a, None) is False
+    assert _util.use_approx(a, True) is True
+    monkeypatch.setattr(_util, "EXACT_QUANTILE_LIMIT_BYTES", 1000)
+    assert _util.use_approx(a, None) is True
