@@ -55,11 +55,13 @@ def use_approx(df: DataFrame, approx: bool | None) -> bool:
     if approx is not None:
         return bool(approx)
     try:
+        unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # noqa: BLE001 - no estimate: stay exact
         return False
-    return size > EXACT_QUANTILE_LIMIT_BYTES
+    # Leaves without a size (in-memory RDD scans) report the default; skip them.
+    return sum(x for x in sizes if x < unknown) > EXACT_QUANTILE_LIMIT_BYTES
 
 
 def median(c: str | Column, approx: bool = False, accuracy: int = 10000) -> Column:
