@@ -97,8 +97,12 @@ def chunks(batches, col: str = "text", size: int = CHUNK_BYTES):
             at = end
 
 
-def word_spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = ASCII_SPACE):
-    """(start, end, text number) of every word; words never cross texts."""
+def word_spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = ASCII_SPACE, kinds: np.ndarray | None = None):
+    """(start, end, text number) of every word; words never cross texts.
+
+    ``breaks`` marks the bytes between words. With ``kinds`` a word also ends
+    where a byte of kind 1 meets one of kind 2, in either order.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -111,6 +115,11 @@ def word_spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = ASCII_SPA
     after[-1] = True
     after[:-1] = gap[1:]
     after[off[1:][off[1:] > 0] - 1] = True
+    if kinds is not None:
+        k = kinds[data]
+        meet = (k[1:] + k[:-1] == 3) & (k[1:] != 0) & (k[:-1] != 0)
+        before[1:] |= meet
+        after[:-1] |= meet
     start = np.flatnonzero(~gap & before)
     end = np.flatnonzero(~gap & after) + 1
     return start, end, np.searchsorted(off[1:], start, "right")
