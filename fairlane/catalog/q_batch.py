@@ -44,6 +44,17 @@ def select_feats(spark, d):
     return columns.select_features(a)
 
 
+@register("p12_select_features_terms", dbl=["loan_amount"], sql="""
+SELECT loan_amount, has_coborrower, loan_term AS applicant_age, county_code AS county FROM applications""")
+def select_feats_terms(spark, d):
+    a = applications(spark, d)
+    names = {"application_id": "application_id", "target": "target", "loan_amount": "loan_amount", "has_coborrower": "has_coborrower",
+             "loan_term": "applicant_age", "county_code": "county", "grp_a": "minority_tract_flag", "grp_b": "is_hispanic",
+             "grp_c": "aus_result", "income": "tract_minority_population_percent", "state_code": "census_tract",
+             "risk_band": "action_taken_name", "property_value": "respondent_class"}
+    return columns.select_features(a.select(*[F.col(c).alias(n) for c, n in names.items()]))
+
+
 @register("p15_select_by_type", dbl=["loan_amount", "income", "property_value", "interest_rate",
                                      "total_loan_costs", "score_signal", "score_random"], sql="""
 SELECT application_id, loan_amount, income, property_value, interest_rate, total_loan_costs, loan_term, target,

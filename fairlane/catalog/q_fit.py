@@ -11,8 +11,8 @@ from fairlane.operators import split as sp
 from fairlane.sources.tables import applications, hash_bucket_sql
 
 SPLIT_SQL = f"""
-sa AS (SELECT *, CASE WHEN {hash_bucket_sql('split', 'application_id', 100)} < 70 THEN 'train'
-                      WHEN {hash_bucket_sql('split', 'application_id', 100)} < 85 THEN 'validation'
+sa AS (SELECT *, CASE WHEN {hash_bucket_sql('split', 'application_id', 1 << 30)} < {round(0.70 * (1 << 30))} THEN 'train'
+                      WHEN {hash_bucket_sql('split', 'application_id', 1 << 30)} < {round(0.85 * (1 << 30))} THEN 'validation'
                       ELSE 'test' END AS split FROM applications)"""
 
 
@@ -27,6 +27,18 @@ def split_shares(spark, d):
     return sp.split_shares(_split_apps(spark, d), label="target")
 
 
+_E = hash_bucket_sql('split', 'application_id', 1 << 30)
+
+
+@register("m07_split_uneven_shares", dbl=["share"], sql=f"""
+SELECT split, count(*) AS rows, count(*) / sum(count(*)) OVER () AS share
+FROM (SELECT CASE WHEN {_E} < {round(0.5 * (1 << 30))} THEN 'part_1' WHEN {_E} < {round(0.75 * (1 << 30))} THEN 'part_2'
+                  WHEN {_E} < {round(0.875 * (1 << 30))} THEN 'part_3' ELSE 'part_4' END AS split FROM applications)
+GROUP BY split""")
+def split_uneven(spark, d):
+    return sp.split_shares(sp.split(applications(spark, d), fractions=(0.5, 0.25, 0.125, 0.125)))
+
+
 @register("m07_stratified_split_shares")
 def stratified_split(spark, d):
     a = applications(spark, d).where(F.col("target").isNotNull())

@@ -18,9 +18,9 @@ dec AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id % 5 AS VARCHA
 
 
 @register("x1_monitor_fairness_batch", dbl=["dpd"], ctes=DEC_SQL, sql="""
-WITH c AS (SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS DATE) AS window_start, grp, count(*) AS n,
+WITH c AS (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, grp, count(*) AS n,
                   CAST(sum(approved) AS BIGINT) AS approved FROM dec GROUP BY 1, 2)
-SELECT window_start, max(approved / n) - min(approved / n) AS dpd, count(*) AS n_groups, sum(n) AS n,
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, max(approved / n) - min(approved / n) AS dpd, count(*) AS n_groups, sum(n) AS n,
        CASE WHEN max(approved / n) - min(approved / n) > 0.1 THEN 'immediate review'
             WHEN max(approved / n) - min(approved / n) > 0.05 THEN 'alert' ELSE 'ok' END AS level
 FROM c GROUP BY window_start""")
@@ -29,27 +29,42 @@ def fairness_batch(spark, d):
 
 
 @register("x2_monitor_volume_batch", dbl=["error_rate"], ctes=DEC_SQL, sql="""
-SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS DATE) AS window_start, count(*) AS volume,
-       count_if(approved = 0) AS errors, count_if(approved = 0) / count(*) AS error_rate FROM dec GROUP BY 1""")
+SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY AS window_end,
+       count(*) AS volume,
+       count_if(approved = 0) AS errors, count_if(approved = 0) / count(*) AS error_rate FROM dec GROUP BY 1, 2""")
 def volume_batch(spark, d):
     return mon.volume(mon.decisions(load(spark, d, "events")))
 
 
-@register("x3_monitor_performance_batch", dbl=["auc", "accuracy"], ctes=DEC_SQL, sql="""
+@register("x3_monitor_performance_batch", dbl=["auc", "accuracy", "f1", "auc_before"], ctes=DEC_SQL, sql="""
 WITH j AS (SELECT *, ts + to_hours(CAST(event_id % 96 AS INTEGER)) AS outcome_ts FROM dec),
-k AS (SELECT CAST(time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS DATE) AS window_start, score,
+k AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start, score,
              count_if(approved = 1) AS pos, count_if(approved = 0) AS neg
       FROM j WHERE outcome_ts >= ts AND outcome_ts <= ts + INTERVAL 3 DAY GROUP BY 1, 2),
 a AS (SELECT *, sum(neg) OVER (PARTITION BY window_start ORDER BY score
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM k),
 g AS (SELECT window_start, sum(pos * (cum_neg - neg + neg / 2e0)) / (sum(pos) * sum(neg)) AS auc,
              sum(CASE WHEN score >= 0.5 THEN pos ELSE neg END) / sum(pos + neg) AS accuracy,
+             2e0 * sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END)
+               / (2e0 * sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END) + sum(CASE WHEN score < 0.5 THEN pos ELSE 0 END)
+                  + sum(CASE WHEN score >= 0.5 THEN neg ELSE 0 END)) AS f1,
              sum(pos + neg) AS n FROM a GROUP BY window_start)
-SELECT *, auc < 0.75 AS retrain FROM g""")
+SELECT *, window_start + INTERVAL 7 DAY AS window_end, auc < 0.75 OR accuracy < 0.9 OR f1 < 0.85 AS retrain,
+       lag(auc) OVER (ORDER BY window_start) AS auc_before,
+       coalesce(auc < lag(auc) OVER (ORDER BY window_start) * 0.95, false) AS dropped FROM g""")
 def performance_batch(spark, d):
     ev = load(spark, d, "events")
     j = mon.joined_outcomes(mon.decisions(ev), mon.outcomes(ev))
-    return mon.performance_by_window(mon.performance_counts(j))
+    return mon.auc_drops(mon.performance_by_window(mon.performance_counts(j)))
+
+
+@register("x3_unmatched_outcomes", ctes=DEC_SQL, sql="""
+SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start,
+       time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY AS window_end, count(*) AS predictions,
+       CAST(0 AS BIGINT) AS without_outcome, count_if(event_id % 96 > 72) AS too_late FROM dec GROUP BY 1, 2""")
+def unmatched(spark, d):
+    ev = load(spark, d, "events")
+    return mon.unmatched_outcomes(mon.decisions(ev), mon.outcomes(ev))
 
 
 @register("x5_audit_log_batch", dbl=["score"], ctes=DEC_SQL, sql="""

@@ -40,30 +40,6 @@ def div0(a: Column, b: Column) -> Column:
     return F.coalesce(safe_div(a, b), F.lit(0.0))
 
 
-# Above this estimated input size, quantiles default to the bounded-memory
-# sketch: exact ``percentile`` keeps every distinct value of a group (or of
-# the whole column) in the one task that finishes the aggregate.
-EXACT_QUANTILE_LIMIT_BYTES = 1 << 30
-
-
-def use_approx(df: DataFrame, approx: bool | None) -> bool:
-    """``approx=None``: exact when the input of ``df`` – the summed size of
-    the plan's leaf scans, known without running a job – is under
-    :data:`EXACT_QUANTILE_LIMIT_BYTES`, approximate above it. (The estimate of
-    the plan root is no use: without column statistics a join's estimate is
-    the product of its inputs.)"""
-    if approx is not None:
-        return bool(approx)
-    try:
-        unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except Exception:  # noqa: BLE001 - no estimate: stay exact
-        return False
-    # Leaves without a size (in-memory RDD scans) report the default; skip them.
-    return sum(x for x in sizes if x < unknown) > EXACT_QUANTILE_LIMIT_BYTES
-
-
 def median(c: str | Column, approx: bool = False, accuracy: int = 10000) -> Column:
     """Exact (linear interpolation, like pandas) or bounded-memory median.
 

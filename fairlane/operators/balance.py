@@ -99,7 +99,10 @@ def smote(df: DataFrame, features: list[str], label: str, key: str = "applicatio
     # Exact rank in hash order, without a single-task window.
     h = mino.select(key, hash_bucket(seed + "r", F.col(key), _U).alias("_h"))
     ranked = ordered_prefix_sums(h.groupBy("_h").agg(F.count(F.lit(1)).alias("_one")), [], "_h", ["_one"], 64)
-    h = h.join(ranked.select("_h", F.col("cum__one").alias("_rk")), "_h")
+    # rows of one hash share its rank range: the key decides within it
+    tie = F.row_number().over(Window.partitionBy("_h").orderBy(key))
+    h = (h.withColumn("_tie", tie).join(ranked.select("_h", (F.col("cum__one") - F.col("_one")).alias("_before")), "_h")
+         .withColumn("_rk", F.col("_before") + F.col("_tie")))
     gen = (mino.join(h.select(key, "_rk"), key).join(nb_lists, key, "left")
            .withColumn("_g", F.lit(base) + (F.col("_rk") <= F.lit(extra)).cast("int")))
     gen = gen.where(F.col("_g") > 0).select("*", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_s"))

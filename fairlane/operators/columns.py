@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlane.operators._util import as_list, not_null_all, string_columns, use_approx
+from fairlane.operators._util import as_list, not_null_all, string_columns
 
 # Outcome text (lower case) → label; 1 = decision to lend,
 # 0 = denial, null = not an underwriting decision.
@@ -41,10 +41,11 @@ RANGE_RULES = {
     "loan_term": (0.0, 480.0),
 }
 
-# Name terms that must not be model inputs.
-PROTECTED_TERMS = ("race", "ethnicity", "sex", "gender", "age")
-ID_TERMS = ("lei", "id", "activity_year")
-OUTCOME_TERMS = ("action_taken", "target", "denial", "outcome")
+# Parts of names of columns that must not be model inputs, and the columns kept in spite of one.
+PROTECTED_TERMS = ("race", "ethnicity", "sex", "gender", "minority", "hispanic", "applicant_sex")
+ID_TERMS = ("id", "lei", "respondent", "activity_year", "census_tract", "tract_population")
+OUTCOME_TERMS = ("action_taken", "denial_reason", "denial", "aus_result")
+KEPT_FEATURES = ("has_coborrower", "application_type")
 
 
 def standardize_name(name: str) -> str:
@@ -204,14 +205,13 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 0.4, keep=()) -> DataF
 
 
 def select_features(df: DataFrame, exclude_terms=PROTECTED_TERMS + ID_TERMS + OUTCOME_TERMS,
-                    keep=(), numeric_only: bool = False) -> DataFrame:
-    """Leave out columns whose name holds a protected, id or outcome
-    term (whole ``_``-separated words), except ``keep``."""
+                    keep=KEPT_FEATURES, numeric_only: bool = False, label: str = "target") -> DataFrame:
+    """Leave out the label and columns whose lower-case name contains a
+    protected, id or outcome term anywhere, except ``keep``."""
     cols = []
     for f in df.schema.fields:
-        words = set(f.name.lower().split("_"))
-        hit = any(t in words or f.name.lower() == t for t in exclude_terms)
-        if f.name in keep or not hit:
+        hit = any(t in f.name.lower() for t in exclude_terms)
+        if f.name in keep or not hit and f.name != label:
             if not numeric_only or isinstance(f.dataType, T.NumericType):
                 cols.append(f.name)
     return df.select(*cols)
@@ -272,10 +272,10 @@ def drop_columns(df: DataFrame, cols) -> DataFrame:
 
 def plot_domain_filters(df: DataFrame, income_max: float = 500_000.0, amount_q: float = 0.99,
                         ratio_col: str | None = None, ratio_max: float = 5.0,
-                        approx: bool | None = None) -> DataFrame:
+                        approx: bool = False) -> DataFrame:
     """Income below a cap, amount below its ``amount_q`` quantile (a
     scalar sub-query), optional ratio below a cap."""
-    pq = (F.percentile_approx("loan_amount", amount_q, 10000) if use_approx(df, approx)
+    pq = (F.percentile_approx("loan_amount", amount_q, 10000) if approx
           else F.percentile(F.col("loan_amount"), F.lit(amount_q)))
     q = df.agg(pq.alias("q")).select("q").scalar()
     cond = (F.col("income") < F.lit(income_max)) & (F.col("loan_amount") < q)

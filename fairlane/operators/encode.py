@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div, use_approx
+from fairlane.operators._util import as_list, safe_div
 from fairlane.sources.tables import hash_bucket
 
 
@@ -34,11 +34,10 @@ class ImputerModel:
 
 
 def fit_median_imputer(train: DataFrame, cols, max_null_share: float | None = 0.4, keep=(),
-                       approx: bool | None = None) -> ImputerModel:
+                       approx: bool = False) -> ImputerModel:
     """M1: medians of the training rows; an all-null column gets 0; a column
     above ``max_null_share`` nulls is skipped unless in ``keep``."""
     cols = as_list(cols)
-    approx = use_approx(train, approx)
     q = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double")) if approx else \
         (lambda c: F.percentile(F.col(c).cast("double"), F.lit(0.5)))
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -92,12 +91,12 @@ def fit_one_hot(train: DataFrame, cols, max_labels: int = 10, drop_first: bool =
     return OneHotModel({c: got[c] for c in cols if c in got}, drop_first)
 
 
-def fit_quantile_one_hot(train: DataFrame, col: str, n_bins: int = 4, approx: bool | None = None):
+def fit_quantile_one_hot(train: DataFrame, col: str, n_bins: int = 4, approx: bool = False):
     """``n_bins`` quantile bins (edges from one aggregate), one 0/1 column per bin."""
     ps = [i / n_bins for i in range(1, n_bins)]
     arr = F.array(*[F.lit(p) for p in ps])
-    q = F.percentile_approx(col, arr, 10000) if use_approx(train, approx) else F.percentile(F.col(col), arr)
-    edges = [float(v) for v in train.agg(q.alias("q")).first()["q"]]
+    q = F.percentile_approx(col, arr, 10000) if approx else F.percentile(F.col(col), arr)
+    edges = [float(v) for v in train.agg(q.alias("q")).first()["q"] or []]
     return QuantileBins(col, edges)
 
 
@@ -111,6 +110,8 @@ class QuantileBins:
         expr = None
         for i, e in enumerate(self.edges):
             expr = F.when(x <= F.lit(e), F.lit(i)) if expr is None else expr.when(x <= F.lit(e), F.lit(i))
+        if expr is None:        # a column of nulls has no edges
+            return F.when(x.isNotNull(), F.lit(0))
         return F.when(x.isNull(), None).otherwise(expr.otherwise(F.lit(len(self.edges))))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def class_weights(df: DataFrame, label: str = "target", group: str | None = None
     if group is None:
         g = lab.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
         w = Window.partitionBy()
-        g = g.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
+        g = g.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w).cast("double") * F.col("_nc"))).alias(out))
         return df.join(g, label, "left")
     lab = lab.where(F.col(group).isNotNull())
     g = lab.groupBy(group, label).agg(F.count(F.lit(1)).alias("_nay"))
@@ -244,7 +245,7 @@ def class_weights(df: DataFrame, label: str = "target", group: str | None = None
     g = (g.withColumn("_n", F.sum("_nay").over(all_))
           .withColumn("_na", F.sum("_nay").over(Window.partitionBy(group)))
           .withColumn("_ny", F.sum("_nay").over(Window.partitionBy(label))))
-    g = g.select(group, label, (F.col("_na") * F.col("_ny") / (F.col("_n") * F.col("_nay"))).alias(out))
+    g = g.select(group, label, (F.col("_na").cast("double") * F.col("_ny") / (F.col("_n").cast("double") * F.col("_nay"))).alias(out))
     return df.join(g, [group, label], "left")
 
 

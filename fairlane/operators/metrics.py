@@ -79,9 +79,9 @@ def roc_auc(df: DataFrame, score: str = "score", y: str = "y_true", by="model",
     c = ordered_prefix_sums(score_counts(df, score, y, by), by, score, ["neg"], n_buckets)
     below = F.col("cum_neg") - F.col("neg")
     g = c.groupBy(*by).agg(
-        F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))).alias("_num"),
+        F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0))).alias("_num"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return g.select(*by, safe_div(F.col("_num"), F.col("p") * F.col("n")).alias("auc"), "p", "n")
+    return g.select(*by, safe_div(F.col("_num"), F.col("p").cast("double") * F.col("n")).alias("auc"), "p", "n")
 
 
 def _descending_curve(df: DataFrame, score: str, y: str, by: list[str], n_buckets: int) -> DataFrame:

@@ -66,6 +66,16 @@ def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int, m
     return expr.otherwise(F.lit(0)) if expr is not None else F.lit(0)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are not kept."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str],
                         n_buckets: int = 64, descending: bool = False, min_rows: int = 0) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in ``order``) for each column.
@@ -84,8 +94,7 @@ def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str],
     w_off = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, "_b", *[F.coalesce(F.sum(f"_bt_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}")
                                     for c in cols])
-    keys = [*part, "_b"]
-    j = t.join(off, keys, "inner") if part else t.join(off, "_b", "inner")
+    j = null_safe_join(t, off, [*part, "_b"])
     out_cols = [c for c in df.columns] + [(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
                                           for c in cols]
     return j.select(*out_cols)

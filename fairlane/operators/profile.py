@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlane.operators._util import as_list, numeric_columns, string_columns, use_approx
+from fairlane.operators._util import as_list, numeric_columns, string_columns
+from fairlane.operators.quantiles import exact_quantiles
 from fairlane.operators.columns import RANGE_RULES
 
 
@@ -54,7 +55,7 @@ def null_profile(df: DataFrame, cols=None, limit: float = 0.4, exact: bool = Tru
                                                   for i, c in enumerate(cols)])
     cells = [F.struct(F.lit(c).alias("column"), F.lit(_type_name(df, c)).alias("dtype"),
                       (F.col("_n") - F.col(f"_nn{i}")).alias("null_count"),
-                      ((F.col("_n") - F.col(f"_nn{i}")) / F.col("_n") * F.lit(100.0)).alias("null_pct"))
+                      (F.try_divide((F.col("_n") - F.col(f"_nn{i}")).cast("double"), F.col("_n")) * F.lit(100.0)).alias("null_pct"))
              for i, c in enumerate(cols)]
     nulls = row.select(F.inline(F.array(*cells)))
     out = nulls.join(distinct_counts(df, cols, True, exact), "column", "left")
@@ -69,7 +70,7 @@ def completeness(df: DataFrame, cols) -> DataFrame:
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("complete"),
                       (F.col("_n") - F.col(f"_c{i}")).alias("missing"),
-                      (F.col(f"_c{i}") / F.col("_n") * F.lit(100.0)).alias("complete_pct"))
+                      (F.try_divide(F.col(f"_c{i}").cast("double"), F.col("_n")) * F.lit(100.0)).alias("complete_pct"))
              for i, c in enumerate(cols)]
     return row.select(F.inline(F.array(*cells)))
 
@@ -83,7 +84,7 @@ def cardinality_classes(df: DataFrame, cols=None, low: int = 10, high: int = 50,
                     F.when(n > high, "high").when(n > low, "medium").otherwise("low").alias("cardinality"))
 
 
-def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bool | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bool = False) -> DataFrame:
     """A8 numeric: count, mean, std (n−1), min, quartiles, max per column
     (and per group with ``by``); long form, one aggregate pass."""
     cols = as_list(cols) or [c for c in numeric_columns(df) if c != by]
@@ -92,11 +93,12 @@ def describe_numeric(df: DataFrame, cols=None, by: str | None = None, approx: bo
             .unpivot(keys, cols, "column", "value"))
     if by:
         long = long.where(F.col(by).isNotNull())
-    qs = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000) if use_approx(df, approx) else \
-        F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    ps = [0.25, 0.5, 0.75]
     g = long.groupBy(*keys, "column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), qs.alias("_q"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"), *([F.percentile_approx("value", ps, 10000).alias("_q")] if approx else []))
+    if not approx:
+        g = g.join(exact_quantiles(long, [*keys, "column"], "value", ps, "_q"), [*keys, "column"], "left")
     return g.select(*keys, "column", "count", "mean", "std", "min",
                     F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
@@ -149,9 +151,9 @@ def class_balance(df: DataFrame, label: str = "target", high: float = 2.0, low:
     verdict = (F.when(ratio.isNull(), "undefined").when(ratio > high, "imbalanced")
                .when(ratio < low, "reverse imbalance").otherwise("acceptable"))
     return row.select("rows", "approved", "denied", "excluded",
-                      (F.col("approved") / F.col("rows") * 100.0).alias("approved_pct"),
-                      (F.col("denied") / F.col("rows") * 100.0).alias("denied_pct"),
-                      (F.col("excluded") / F.col("rows") * 100.0).alias("excluded_pct"),
+                      (F.try_divide(F.col("approved").cast("double"), F.col("rows")) * 100.0).alias("approved_pct"),
+                      (F.try_divide(F.col("denied").cast("double"), F.col("rows")) * 100.0).alias("denied_pct"),
+                      (F.try_divide(F.col("excluded").cast("double"), F.col("rows")) * 100.0).alias("excluded_pct"),
                       F.try_divide(F.col("approved") * 100.0, F.col("approved") + F.col("denied")).alias("approval_rate_pct"),
                       ratio.alias("imbalance_ratio"), verdict.alias("verdict"))
 

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div, use_approx
+from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div
+from fairlane.operators.quantiles import exact_quantiles
 
 def _all():
     return Window.partitionBy()
@@ -59,16 +60,15 @@ def flag_rate_gap(df: DataFrame, key: str, label: str = "target", points: float
 
 
 def segment_profile(df: DataFrame, key: str, label: str = "target", income: str = "income",
-                    amount: str = "loan_amount", approx: bool | None = None) -> DataFrame:
+                    amount: str = "loan_amount", approx: bool = False) -> DataFrame:
     """A4: applications, approved, rate, median income and amount, market share."""
-    approx = use_approx(df, approx)
-    g = (drop_null_keys(df, [key])
-         .groupBy(key)
-         .agg(F.count(label).alias("applications"),
-              F.sum(label).cast("bigint").alias("approved"),
-              F.avg(label).alias("approval_rate"),
-              median(income, approx).alias("median_income"),
-              median(amount, approx).alias("median_amount")))
+    d = drop_null_keys(df, [key])
+    g = d.groupBy(key).agg(F.count(label).alias("applications"), F.sum(label).cast("bigint").alias("approved"),
+                           F.avg(label).alias("approval_rate"),
+                           *([median(income, True).alias("median_income"), median(amount, True).alias("median_amount")] if approx else []))
+    if not approx:
+        for value, name in ((income, "median_income"), (amount, "median_amount")):
+            g = g.join(exact_quantiles(d, key, value, [0.5], name).withColumn(name, F.col(name)[0]), key, "left")
     return g.withColumn(
         "market_share_pct", F.col("applications") / F.sum("applications").over(_all()) * F.lit(100.0))
 
@@ -95,20 +95,22 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True, dropna: bool =
     return g
 
 
-def median_by(df: DataFrame, value: str, by: str, approx: bool | None = None) -> DataFrame:
+def median_by(df: DataFrame, value: str, by: str, approx: bool = False) -> DataFrame:
     """Median of ``value`` per group, and the gap between the largest and
     smallest group median."""
-    approx = use_approx(df, approx)
-    g = drop_null_keys(df, [by]).groupBy(by).agg(median(value, approx).alias("median"))
+    d = drop_null_keys(df, [by])
+    if approx:
+        g = d.groupBy(by).agg(median(value, True).alias("median"))
+    else:
+        g = d.select(by).distinct().join(exact_quantiles(d, by, value, [0.5], "median"), by, "left").withColumn("median", F.col("median")[0])
     return g.withColumn("gap", F.max("median").over(_all()) - F.min("median").over(_all()))
 
 
 def quantile_table(df: DataFrame, col: str, ps=(0.25, 0.33, 0.67, 0.75, 0.99),
-                   approx: bool | None = None) -> DataFrame:
+                   approx: bool = False) -> DataFrame:
     """One row per requested probability (linear interpolation)."""
-    approx = use_approx(df, approx)
     ps = [float(p) for p in ps]
-    row = df.agg(_q(col, ps, approx).alias("_v"))
+    row = df.agg(_q(col, ps, True).alias("_v")) if approx else exact_quantiles(df, [], col, ps, "_v")
     return row.select(F.posexplode("_v").alias("_i", "value")).select(
         F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1).alias("p"), "value")
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div, use_approx
+from fairlane.operators._util import as_list, safe_div
 from fairlane.operators.prefix import ordered_prefix_sums
 
 
@@ -35,8 +35,9 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """χ² statistic and degrees of freedom of the a × b table."""
     c = contingency(df, a, b)
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    return c.agg((F.sum(F.col("o") * F.col("o") / e) - F.first("n")).alias("chi2"),
+    o = F.col("o").cast("double")
+    e = F.col("ra").cast("double") * F.col("cb") / F.col("n")
+    return c.agg((F.sum(o * o / e) - F.first("n")).alias("chi2"),
                  ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"),
                  F.first("n").alias("n"))
 
@@ -90,13 +91,13 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, n_buckets: int =
     c = ordered_prefix_sums(c, [], value, ["t"], n_buckets)
     avg_rank = F.col("cum_t") - F.col("t") + (F.col("t") + F.lit(1)) / F.lit(2.0)
     g = c.agg(F.sum(F.col("c1") * avg_rank).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"),
-              F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
-    n1, n = F.col("n1"), F.col("n")
+              F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+    n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = n - n1
     u = F.col("r1") - n1 * (n1 + F.lit(1)) / F.lit(2.0)
     sigma = F.sqrt(n1 * n2 / F.lit(12.0) * ((n + F.lit(1)) - safe_div(F.col("ties"), n * (n - F.lit(1)))))
     z = safe_div(u - n1 * n2 / F.lit(2.0), sigma)
-    return g.select(u.alias("u"), n1.alias("n1"), n2.alias("n2"), z.alias("z"))
+    return g.select(u.alias("u"), "n1", (F.col("n") - F.col("n1")).alias("n2"), z.alias("z"))
 
 
 # --- A19 / A20: correlations -----------------------------------------------------------
@@ -135,10 +136,9 @@ def high_corr_pairs(df: DataFrame, cols, target: str, threshold: float = 0.95) -
 
 # --- A41 / M23: mutual information ------------------------------------------------------
 
-def quantile_edges(df: DataFrame, cols, n_bins: int = 10, approx: bool | None = None) -> dict[str, list[float]]:
+def quantile_edges(df: DataFrame, cols, n_bins: int = 10, approx: bool = False) -> dict[str, list[float]]:
     """Inner cut points of ``n_bins`` quantile bins per column (one aggregate)."""
     cols = as_list(cols)
-    approx = use_approx(df, approx)
     ps = [i / n_bins for i in range(1, n_bins)]
     arr = F.array(*[F.lit(p) for p in ps])
     q = (lambda c: F.percentile_approx(F.col(c).cast("double"), arr, 10000)) if approx else \
@@ -167,7 +167,7 @@ def mutual_information(df: DataFrame, cols, target: str, n_bins: int = 10, edges
     g = (g.withColumn("nx", F.sum("nxy").over(Window.partitionBy("feature", "bin")))
           .withColumn("ny", F.sum("nxy").over(Window.partitionBy("feature", "_y")))
           .withColumn("n", F.sum("nxy").over(Window.partitionBy("feature"))))
-    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy").cast("double") * F.col("n") / (F.col("nx").cast("double") * F.col("ny")))
     out = g.groupBy("feature").agg(F.sum(term).alias("mutual_information"))
     return out.withColumn("kept", F.col("mutual_information") >= F.lit(min_mi))
 
@@ -231,9 +231,10 @@ def ks_statistic(base: DataFrame, current: DataFrame, col: str, n_buckets: int =
 
 # --- A43: leakage report ---------------------------------------------------------------------
 
-OUTCOME_NAME_TERMS = ("action", "target", "denial", "outcome", "approved", "decision")
-ID_NAME_TERMS = ("id", "lei", "key")
-TIME_NAME_TERMS = ("year", "date", "ts", "time")
+# Parts of names that the leakage report looks for.
+OUTCOME_NAME_TERMS = ("action_taken", "denial_reason", "approved", "originated", "purchaser", "aus", "preapproval")
+ID_NAME_TERMS = ("id", "lei", "respondent", "unnamed", "index")
+TIME_NAME_TERMS = ("year", "date")
 
 
 def leakage_report(df: DataFrame, label: str, splits: dict | None = None, key: str = "application_id",
@@ -248,12 +249,11 @@ def leakage_report(df: DataFrame, label: str, splits: dict | None = None, key: s
     schema = "check string, column string, value double, flagged boolean"
     rows = []
     for c in df.columns:
-        words = set(c.lower().split("_"))
         if c == label:
             continue
         for check, terms in (("outcome_name", OUTCOME_NAME_TERMS), ("id_name", ID_NAME_TERMS),
                              ("time_name", TIME_NAME_TERMS)):
-            if words & set(terms):
+            if any(t in c.lower() for t in terms):
                 rows.append((check, c, None, True))
     parts = [spark.createDataFrame(rows, schema)]
     num = [f.name for f in df.schema.fields if f.name != label

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list
-from fairlane.operators.prefix import _bucket_column
+from fairlane.operators.prefix import _bucket_column, null_safe_join
 
 
 def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, n_buckets: int = 32,
@@ -40,7 +40,7 @@ def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, n_buckets: int =
     w_next = Window.partitionBy(*part).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     carry = bk.select(*part, "_b", *[F.last(f"_bl_{c}", True).over(w_prev).alias(f"_cf_{c}") for c in cols],
                       *[F.first(f"_bf_{c}", True).over(w_next).alias(f"_cb_{c}") for c in cols])
-    j = t.join(carry, [*part, "_b"], "left")
+    j = null_safe_join(t, carry, [*part, "_b"], "left")
     out = []
     for c in df.columns:
         if c in cols:
@@ -71,7 +71,7 @@ def top_k_per_key(df: DataFrame, key, order: Column | str, k: int, tie=None) ->
 def share_of_total(df: DataFrame, value: str, by=None, out: str = "share") -> DataFrame:
     """Value / total of the value within the partition (on result tables)."""
     w = Window.partitionBy(*as_list(by))
-    return df.withColumn(out, F.col(value) / F.sum(value).over(w))
+    return df.withColumn(out, F.try_divide(F.col(value).cast("double"), F.sum(value).over(w)))
 
 
 def top_factors(df: DataFrame, contrib: str = "contributions", k: int = 3) -> DataFrame:

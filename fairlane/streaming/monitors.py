@@ -17,9 +17,10 @@ score is a fixed formula; the outcome of a decision arrives
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fairlane.operators._util import safe_div
 from fairlane.session import checkpoint_dir
 from fairlane.sources.tables import hash_bucket
 
@@ -47,14 +48,14 @@ def fairness_counts(dec: DataFrame, window: str = "1 day", watermark: str = "1 d
     d = _windowed(dec, "ts", watermark)
     g = d.groupBy(F.window("ts", window).alias("w"), "grp").agg(
         F.count(F.lit(1)).alias("n"), F.sum("approved").cast("bigint").alias("approved"))
-    return g.select(F.to_date(F.col("w.start")).alias("window_start"), "grp", "n", "approved")
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "grp", "n", "approved")
 
 
 def dpd_by_window(counts: DataFrame, limit: float = DPD_ALERT, review: float = DPD_REVIEW) -> DataFrame:
     """X1 step 2: demographic parity difference of approval rates per window
     and the alert level (over ``limit``: alert; over ``review``: review)."""
-    rate = F.col("approved") / F.col("n")
-    g = counts.groupBy("window_start").agg((F.max(rate) - F.min(rate)).alias("dpd"),
+    rate = safe_div(F.col("approved"), F.col("n"))
+    g = counts.groupBy("window_start", "window_end").agg((F.max(rate) - F.min(rate)).alias("dpd"),
                                            F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n"))
     level = F.when(F.col("dpd") > review, "immediate review").when(F.col("dpd") > limit, "alert").otherwise("ok")
     return g.withColumn("level", level)
@@ -65,8 +66,8 @@ def volume(dec: DataFrame, window: str = "1 day", watermark: str = "1 day") -> D
     d = _windowed(dec, "ts", watermark)
     g = d.groupBy(F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("volume"), F.count_if(F.col("approved") == 0).alias("errors"))
-    return g.select(F.to_date(F.col("w.start")).alias("window_start"), "volume", "errors",
-                    (F.col("errors") / F.col("volume")).alias("error_rate"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "volume", "errors",
+                    safe_div(F.col("errors"), F.col("volume")).alias("error_rate"))
 
 
 def outcomes(events: DataFrame, max_delay_hours: int = 96) -> DataFrame:
@@ -95,21 +96,51 @@ def performance_counts(joined: DataFrame, window: str = "7 days", watermark: str
     negatives – the exact input of AUC and the confusion metrics."""
     g = joined.groupBy(F.window("ts", window).alias("w"), "score").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
-    return g.select(F.to_date(F.col("w.start")).alias("window_start"), "score", "pos", "neg")
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "score", "pos", "neg")
 
 
-def performance_by_window(counts: DataFrame, auc_limit: float = 0.75) -> DataFrame:
-    """X3 step 3: exact AUC (ties averaged), accuracy at 0.5 and the retrain
-    flag per window, from the counts per (window, score)."""
+# Limits below which a model is to be retrained, and the drop of AUC that does the same.
+AUC_LIMIT, ACCURACY_LIMIT, F1_LIMIT, AUC_DROP = 0.75, 0.90, 0.85, 0.05
+
+
+def performance_by_window(counts: DataFrame, auc_limit: float = AUC_LIMIT, accuracy_limit: float = ACCURACY_LIMIT,
+                          f1_limit: float = F1_LIMIT) -> DataFrame:
+    """X3 step 3: exact AUC (ties averaged), accuracy and F1 at 0.5 and the
+    retrain flag per window, from the counts per (window, score). A window of
+    one class only has no AUC, which is no reason to retrain."""
     from fairlane.operators.prefix import ordered_prefix_sums
-    c = ordered_prefix_sums(counts, ["window_start"], "score", ["neg"], 16)
+    c = ordered_prefix_sums(counts, ["window_start", "window_end"], "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
-    g = c.groupBy("window_start").agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
-        (F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("neg")))
-         / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"),
+    hit, miss = F.sum(F.when(F.col("score") >= 0.5, F.col("pos"))), F.sum(F.when(F.col("score") < 0.5, F.col("pos")))
+    false = F.sum(F.when(F.col("score") >= 0.5, F.col("neg")))
+    tp, fn, fp = (F.coalesce(x, F.lit(0)).cast("double") for x in (hit, miss, false))
+    g = c.groupBy("window_start", "window_end").agg(
+        safe_div(F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0))),
+                 F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
+        safe_div(F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("neg"))),
+                 F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"),
+        safe_div(2 * tp, 2 * tp + fn + fp).alias("f1"),
         F.sum(F.col("pos") + F.col("neg")).alias("n"))
-    return g.withColumn("retrain", F.col("auc") < F.lit(auc_limit))
+    below = (F.coalesce(F.col("auc") < F.lit(auc_limit), F.lit(False)) | F.coalesce(F.col("accuracy") < F.lit(accuracy_limit), F.lit(False))
+             | F.coalesce(F.col("f1") < F.lit(f1_limit), F.lit(False)))
+    return g.withColumn("retrain", below)
+
+
+def auc_drops(performance: DataFrame, drop: float = AUC_DROP) -> DataFrame:
+    """X3 step 4: AUC of the window before, and whether this one's lies more
+    than ``drop`` (a share) below it. One row per window goes in and out."""
+    before = F.lag("auc").over(Window.orderBy("window_start"))
+    return performance.withColumn("auc_before", before).withColumn(
+        "dropped", F.coalesce(F.col("auc") < F.col("auc_before") * F.lit(1.0 - drop), F.lit(False)))
+
+
+def unmatched_outcomes(preds: DataFrame, outs: DataFrame, bound: str = "3 days", window: str = "7 days") -> DataFrame:
+    """Per window, predictions whose outcome came too late or never (batch form)."""
+    late = F.col("outcome_ts") > F.col("ts") + F.expr(f"INTERVAL {bound}")
+    j = preds.join(outs, F.col("event_id") == F.col("o_event_id"), "left")
+    g = j.groupBy(F.window("ts", window).alias("w")).agg(
+        F.count(F.lit(1)).alias("predictions"), F.count_if(F.col("o_event_id").isNull()).alias("without_outcome"), F.count_if(late).alias("too_late"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "predictions", "without_outcome", "too_late")
 
 
 # --- running the streams -------------------------------------------------------------------------
@@ -122,6 +153,11 @@ def _ckpt(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch as its own partition: a batch that is run again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def run_fairness_monitor(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "fairness",
                          window: str = "1 day", watermark: str = "1 day"):
     """X1 as a stream: windowed group counts in append mode; each micro-batch
@@ -130,8 +166,8 @@ def run_fairness_monitor(spark: SparkSession, source_dir: str, sink_dir: str, na
     counts = fairness_counts(decisions(read_events_stream(spark, source_dir)), window, watermark)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{sink_dir}/counts")
-        dpd_by_window(batch).write.mode("append").parquet(f"{sink_dir}/dpd")
+        _write_batch(batch, f"{sink_dir}/counts", batch_id)
+        _write_batch(dpd_by_window(spark.read.parquet(f"{sink_dir}/counts/batch_id={batch_id}")), f"{sink_dir}/dpd", batch_id)
 
     return (counts.writeStream.outputMode("append").foreachBatch(sink)
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
@@ -156,8 +192,8 @@ def run_performance_monitor(spark: SparkSession, prediction_dir: str, outcome_di
     counts = performance_counts(joined_outcomes(preds, outs, bound, watermark), window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{sink_dir}/counts")
-        performance_by_window(batch).write.mode("append").parquet(f"{sink_dir}/performance")
+        _write_batch(batch, f"{sink_dir}/counts", batch_id)
+        _write_batch(performance_by_window(spark.read.parquet(f"{sink_dir}/counts/batch_id={batch_id}")), f"{sink_dir}/performance", batch_id)
 
     return (counts.writeStream.outputMode("append").foreachBatch(sink)
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())

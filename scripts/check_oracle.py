@@ -21,7 +21,7 @@ def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in args if not a.startswith("/")]
-    spark = get_session("local[8]", 8)
+    spark = get_session(os.environ.get("ORACLE_MASTER", "local[8]"), 8)
     qs = catalog.queries()
     sqls = catalog.oracle_sql()
     con = duck_connect(sf_dir)

@@ -36,10 +36,8 @@ def test_top_n_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in _plan(ordering.top_n(o, "o_totalprice", 10, tie="o_orderkey"))
 
 
-def test_quantiles_switch_to_sketch_on_large_input(spark, monkeypatch):
-    from fairlane.operators import _util
+def test_quantiles_are_exact_unless_a_sketch_is_asked_for(spark):
+    from fairlane.operators import segment
     a = applications(spark, SMALL)
-    assert _util.use_approx(a, None) is False
-    assert _util.use_approx(a, True) is True
-    monkeypatch.setattr(_util, "EXACT_QUANTILE_LIMIT_BYTES", 1000)
-    assert _util.use_approx(a, None) is True
+    assert "percentile_approx" not in _plan(segment.median_by(a, "grp_a", "income"))
+    assert "percentile_approx" in _plan(segment.median_by(a, "grp_a", "income", approx=True))

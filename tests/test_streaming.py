@@ -42,7 +42,7 @@ def test_fairness_monitor_stream_equals_batch(spark):
     src = _feed(root)
     q = mon.run_fairness_monitor(spark, src, os.path.join(root, "sink"), name=os.path.basename(root))
     q.awaitTermination(300)
-    streamed = spark.read.parquet(os.path.join(root, "sink", "counts"))
+    streamed = spark.read.parquet(os.path.join(root, "sink", "counts")).drop("batch_id")
     # Spark judges a late row against the watermark of the batch BEFORE the
     # one it arrives in: rows whose window ends after that are still counted.
     wm_prev = q.recentProgress[-2].eventTime["watermark"].replace("T", " ").replace("Z", "")
@@ -80,10 +80,26 @@ def test_performance_monitor_stream_join_equals_batch(spark):
     src = _feed(root, late_mod=10**9)           # only event 0 is held back (and dropped as late)
     q = mon.run_performance_monitor(spark, src, src, os.path.join(root, "sink"), name=os.path.basename(root))
     q.awaitTermination(600)
-    streamed = spark.read.parquet(os.path.join(root, "sink", "counts"))
+    streamed = spark.read.parquet(os.path.join(root, "sink", "counts")).drop("batch_id")
     ev = spark.read.parquet(*[os.path.join(src, f) for f in os.listdir(src) if "late" not in f])
     batch = mon.performance_counts(mon.joined_outcomes(mon.decisions(ev), mon.outcomes(ev)))
     closed = streamed.select("window_start").distinct()
     expected = batch.join(closed, "window_start", "left_semi").select(*streamed.columns)
     assert closed.count() > 0
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_one_class_window_and_hourly_windows(spark):
+    rows = [(i, f"2024-01-01 0{i % 3}:10:00", "a", 1, 0.4 + i / 20) for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, grp string, y_true int, score double").withColumn("ts", F.col("ts").cast("timestamp"))
+    perf = mon.performance_by_window(mon.performance_counts(df, "1 day")).collect()
+    assert len(perf) == 1 and perf[0]["auc"] is None and perf[0]["n"] == 6
+    hourly = mon.fairness_counts(df.withColumn("approved", F.col("y_true")), "1 hour").select("window_start", "window_end").distinct().collect()
+    assert len(hourly) == 3 and all((r["window_end"] - r["window_start"]).total_seconds() == 3600 for r in hourly)
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fl-again-", dir="/tmp"), "sink")
+    for _ in range(2):
+        mon._write_batch(spark.range(5), path, 3)
+    assert spark.read.parquet(path).count() == 5
