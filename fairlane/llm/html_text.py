@@ -6,9 +6,11 @@ punctuation ratio (punctuation marks per node); both are smoothed over the
 paths in page order, fused by multiplication, and paths above the threshold
 (the standard deviation of the fused ratio) are content. Their mass decides
 the content node: from the root down, the one child element that holds nearly
-all of it. All blocks below that node are text, but for those in elements
-whose tag, role, class or id marks them as a menu, header, footer, sidebar,
-notice, advert, form or comment, and for lists of nothing but links.
+all of it, as long as no heading or paragraph lies beside it. The blocks
+below that node are text, but for those in elements whose tag, role, class or
+id marks them as a menu, header, footer, sidebar, notice, advert, form or
+comment, for lists of nothing but links, and for boxes beside the content
+without a content path or heading.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ DROP_WORDS = frozenset(
     "social comment comments commentlist disqus respond reply replies discussion related recommended recommendations pagination pager paginator toolbar skip "
     "copyright legal disclaimer form forms paywall outbrain taboola".split())
 HEADER_WORDS = frozenset(("header", "masthead", "banner"))
+ARTICLE_WORDS = frozenset(("article", "post", "entry", "story", "content", "title"))
 KEEP_TAGS = frozenset("html body main article".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -71,7 +74,7 @@ def _open(tag: str, attrs: str, parent: _Element) -> _Element:
         drop = 2
     elif "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
         drop = 2
-    elif tag not in KEEP_TAGS and words & (DROP_WORDS - HEADER_WORDS if parent.in_main else DROP_WORDS):
+    elif tag not in KEEP_TAGS and words & (DROP_WORDS - HEADER_WORDS if parent.in_main or words & ARTICLE_WORDS else DROP_WORDS):
         drop = 1
     path = f"{parent.path}/{tag}" + ("." + got["class"].strip() if got.get("class", "").strip() else "")
     e = _Element(tag, path, parent, drop, in_main)
@@ -216,27 +219,42 @@ def main_text(page: str | None) -> str:
                 else:
                     top = up
             up = up.parent
-    node = top
+    node, best = top, None
     while node is not None:
         kids = [k for k in below.get(id(node), []) if k.tag in BOX]
         best = max(kids, key=lambda k: (mass[id(k)], k.in_main), default=None)
         if best is None or mass[id(best)] < 0.7 * mass[id(top)]:
+            best = None
             break
-        node = best
-        if node.tag in ("article", "main") and not node.holds_main:
+        if best.tag in ("article", "main") and not best.holds_main:
+            node, best = best, None
+            break
+        if any(_beside(e, node, best) for e, _, _ in blocks):
             break
+        node = best
     kept = []
     for e, text, _ in blocks:
-        up = e
+        child, up = None, e
         while up is not None and up is not node:
-            up = up.parent
+            child, up = up, up.parent
         p = paths[e.path]
         only_links = p[3] > 0.8 * p[1] and p[0] >= 3 and e.tag != "p" and e.path not in content
-        if up is not None and not only_links:
+        aside = best is not None and child is not None and child.tag in BOX and not mass.get(id(child)) and e.tag not in ("h1", "h2")
+        if up is not None and not only_links and not aside:
             kept.append(text)
     return " ".join(kept)
 
 
+def _beside(e: _Element, node: _Element, best: _Element) -> bool:
+    """Whether a block is part of the article at ``node`` though outside its child ``best``: a heading, or text in no box."""
+    child, up = None, e
+    while up is not None and up is not node:
+        if up is best:
+            return False
+        child, up = up, up.parent
+    return up is node and (e.tag in ("h1", "h2") or child is None or child.tag not in BOX and child.tag not in ("ul", "ol", "dl"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-``PIVOTS`` reference vectors are drawn by hash from the table (a documented
-bound). Every vector is described by its ``NEAREST`` nearest pivots in order;
+``PIVOTS`` reference vectors are chosen from a sample of ``SAMPLE`` vectors
+drawn by hash (documented bounds), none of which is nearer than ``APART`` to
+another, so that a crowded group does not fill the list. Every vector is described by its ``NEAREST`` nearest pivots in order;
 inverted lists (label, pivot) hold the vectors that have the pivot among them.
 Within a list, vectors that share at least ``SHARED`` pivots are candidates,
 counted by products of 0/1 pivot rows, and verified by their cosine in double
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from fairlane.llm.common import bounded_batches, keep
 from fairlane.llm.links import components
 
-PIVOTS, NEAREST, SHARED = 256, 6, 2
+PIVOTS, NEAREST, SHARED = 256, 8, 2
+SAMPLE, APART = 2048, 0.7
 BLOCK = 1024
 COSINE = 0.93
 
@@ -47,6 +49,17 @@ def _coded(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(code, "vec_id long, label string, v binary")
 
 
+def _choose(vectors: np.ndarray, pivots: int) -> np.ndarray:
+    """The first vectors of which none is nearer than ``APART`` to an earlier one."""
+    chosen: list[int] = []
+    for i in range(len(vectors)):
+        if len(chosen) == pivots:
+            break
+        if not chosen or (vectors[chosen] @ vectors[i]).max() < APART:
+            chosen.append(i)
+    return vectors[chosen]
+
+
 def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
     """(label, dim, pivot, id, copies, v, perm): each class in the lists of its nearest pivots."""
     def place(batches):
@@ -129,9 +142,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     usable = rows.filter("v IS NOT NULL AND h1 IS NOT NULL")
     classes = keep(usable.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")), "pivot-classes")
     chosen: dict[int, list[bytes]] = {}
-    for r in classes.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect():
+    for r in classes.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect():
         chosen.setdefault(r["dim"], []).append(r["v"])
-    table = {d: _units(raw, d) for d, raw in chosen.items()}
+    table = {d: _choose(_units(raw, d), pivots) for d, raw in chosen.items()}
     lists = keep(_lists(classes.select("label", "dim", "id", "copies", "v"), table, nearest), "pivot-lists")
     cuts = lists.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("cuts", F.ceil(F.col("c") / block).cast("int")).drop("c")
     dealt = lists.join(cuts, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("cuts")).cast("int"))
