@@ -251,19 +251,22 @@ def key_factors(spark, d):
 
 
 @register("f18_a49_reason_codes", ctes=FEAT_CTE, sql="""
-WITH d AS (SELECT p.application_id, f.lti, f.ltv, f.income, f.interest_rate FROM predictions p
-           JOIN feat f ON p.application_id = f.application_id WHERE p.model = 'signal' AND p.pred = 0),
-r AS (SELECT application_id, unnest(list_filter([CASE WHEN lti > 5 THEN 'DTI_HIGH' END,
+WITH d AS (SELECT p.model, f.lti, f.ltv, f.income, f.interest_rate FROM predictions p
+           JOIN feat f ON p.application_id = f.application_id WHERE p.pred = 0),
+r AS (SELECT model, unnest(list_filter([CASE WHEN lti > 5 THEN 'DTI_HIGH' END,
         CASE WHEN ltv > 95 THEN 'LTV_HIGH' END, CASE WHEN income < 40000 THEN 'INCOME_LOW' END,
         CASE WHEN interest_rate > 8 THEN 'RATE_HIGH' END], lambda x: x IS NOT NULL)) AS reason FROM d)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+SELECT model, reason, CASE reason WHEN 'DTI_HIGH' THEN 'Debt-to-income ratio too high' WHEN 'LTV_HIGH' THEN 'Loan-to-value ratio exceeds guidelines'
+         WHEN 'INCOME_LOW' THEN 'Insufficient income for requested amount' ELSE 'Interest rate indicates elevated risk' END AS reason_text,
+       count(*) AS n FROM r GROUP BY model, reason""")
 def reason_codes(spark, d):
     apps = fx.ratio_features(applications(spark, d))
-    p = predictions(spark, d, applications(spark, d)).where(F.col("model") == "signal").select("application_id", "pred")
+    p = predictions(spark, d, applications(spark, d)).select("application_id", "model", "pred")
     j = p.join(apps.select("application_id", "loan_to_income_ratio", "loan_to_value_ratio", "income",
                            "interest_rate"), "application_id")
-    r = j.select(F.explode(fx.reason_codes("pred")).alias("reason"))
-    return r.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    codes = j.select("model", fx.reason_codes("pred").alias("codes"))
+    r = codes.select("model", F.explode(F.arrays_zip("codes", fx.reason_texts("codes").alias("texts"))).alias("r"))
+    return r.groupBy("model", F.col("r.codes").alias("reason"), F.col("r.texts").alias("reason_text")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("f19_explanation_text", sql="""
@@ -272,9 +275,9 @@ SELECT application_id, model,
          CASE WHEN score >= 0.5 THEN 'APPROVED' ELSE 'DENIED' END, round(score * 100e0, 0),
          round(abs(score - 0.5e0) * 200e0, 0),
          printf('score (%+.2f)', floor((score - 0.5e0) * 100e0) / 100e0)) AS text
-FROM predictions WHERE model = 'signal'""")
+FROM predictions""")
 def explanation_text(spark, d):
-    p = predictions(spark, d).where(F.col("model") == "signal")
+    p = predictions(spark, d)
     val = F.floor((F.col("score") - 0.5) * 100.0) / 100.0
     fac = F.array(F.struct(F.lit("score").alias("feature"), val.alias("value")))
     empty = F.array().cast("array<struct<feature:string,value:double>>")
@@ -324,10 +327,10 @@ def decode_lookup(spark, d):
 
 @register("j09_what_if_grid", dbl=["value", "monthly_payment"], sql=f"""
 WITH g AS (SELECT a.application_id, a.loan_amount, a.loan_term, round(3e0 + i * 0.5e0, 10) AS value
-           FROM applications a, range(0, 9) t(i) WHERE a.grp_b = 'EUROPE')
+           FROM applications a, range(0, 9) t(i))
 SELECT application_id, value, {PAY_SQL.replace('interest_rate', 'value')} AS monthly_payment FROM g""")
 def what_if(spark, d):
-    base = applications(spark, d).where(F.col("grp_b") == "EUROPE").select("application_id", "loan_amount", "loan_term")
+    base = applications(spark, d).select("application_id", "loan_amount", "loan_term")
     g = joins.what_if_grid(base, "interest_rate", 3.0, 7.0, 0.5)
     return g.select("application_id", "value",
                     fx.monthly_payment("loan_amount", "interest_rate", "loan_term").alias("monthly_payment"))

@@ -66,15 +66,15 @@ def roc_auc(spark, d):
 
 
 @register("a22_roc_auc_by_group", dbl=["auc"], sql="""
-WITH c AS (SELECT model, grp_b, score, CAST(sum(y_true) AS BIGINT) AS pos, count_if(y_true = 0) AS neg
-           FROM predictions WHERE score IS NOT NULL AND y_true IS NOT NULL GROUP BY model, grp_b, score),
+WITH c AS (SELECT model, nullif(grp_b, 'ASIA') AS grp_b, score, CAST(sum(y_true) AS BIGINT) AS pos, count_if(y_true = 0) AS neg
+           FROM predictions WHERE score IS NOT NULL AND y_true IS NOT NULL GROUP BY model, nullif(grp_b, 'ASIA'), score),
 a AS (SELECT *, sum(neg) OVER (PARTITION BY model, grp_b ORDER BY score
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM c)
 SELECT model, grp_b, sum(pos * (cum_neg - neg + neg / 2e0)) / (sum(pos) * sum(neg)) AS auc,
        CAST(sum(pos) AS BIGINT) AS p, CAST(sum(neg) AS BIGINT) AS n
 FROM a GROUP BY model, grp_b""")
 def roc_auc_by_group(spark, d):
-    p = predictions(spark, d).where(F.col("grp_b").isNotNull())
+    p = predictions(spark, d).withColumn("grp_b", F.when(F.col("grp_b") != "ASIA", F.col("grp_b")))     # a null group too
     return met.roc_auc(p, by=["model", "grp_b"])
 
 

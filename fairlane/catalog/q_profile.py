@@ -293,6 +293,13 @@ def duplicates(spark, d):
     return prof.duplicate_rows(applications(spark, d).select(*_DUP))
 
 
+@register("a09_duplicate_rows_all_columns", dbl=["duplicate_pct"], sql="""
+SELECT CAST(sum(k) AS BIGINT) AS rows, CAST(sum(k - 1) AS BIGINT) AS duplicates, sum(k - 1) / sum(k) * 100e0 AS duplicate_pct
+FROM (SELECT count(*) AS k FROM applications GROUP BY applications)""")
+def duplicates_all(spark, d):
+    return prof.duplicate_rows(applications(spark, d))
+
+
 @register("a13_range_check", dbl=["min", "max"], sql=_union([
     f"SELECT '{c}' AS \"column\", {lo}e0 AS min, {hi}e0 AS max, count_if({c} < {lo}) AS below_min, "
     f"count_if({c} > {hi}) AS above_max, count_if({c} < {lo}) > 0 OR count_if({c} > {hi}) > 0 AS at_fault "

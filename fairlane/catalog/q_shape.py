@@ -27,6 +27,19 @@ def fill_gaps(spark, d):
     return windows.fill_gaps(a, ["income", "property_value"], "application_id", "grp_a", min_rows=1000)
 
 
+@register("w01_fill_gaps_null_key_by_time", dbl=["income"], sql="""
+SELECT application_id, nullif(grp_b, 'ASIA') AS grp_b,
+  coalesce(last_value(income IGNORE NULLS) OVER wf, first_value(income IGNORE NULLS) OVER wb) AS income
+FROM (SELECT *, TIMESTAMP '2020-01-01 00:00:00' + to_seconds(application_id * 7) AS seen FROM applications)
+WINDOW wf AS (PARTITION BY nullif(grp_b, 'ASIA') ORDER BY seen ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       wb AS (PARTITION BY nullif(grp_b, 'ASIA') ORDER BY seen ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def fill_gaps_null_key(spark, d):
+    a = applications(spark, d).select(
+        "application_id", F.when(F.col("grp_b") != "ASIA", F.col("grp_b")).alias("grp_b"), "income",
+        F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, application_id * 7)").alias("seen"))
+    return windows.fill_gaps(a, ["income"], "seen", "grp_b", min_rows=1000).drop("seen")
+
+
 @register("w02_rank_states", dbl=["rate"], sql="""
 SELECT state_code, rate, row_number() OVER (ORDER BY rate DESC, state_code) AS rank
 FROM (SELECT state_code, avg(target) AS rate FROM applications WHERE state_code IS NOT NULL GROUP BY state_code)""")
@@ -53,13 +66,13 @@ def share(spark, d):
     return windows.share_of_total(g, "n", "grp_b")
 
 
-@register("t02_order_by_list_head", sql="""
+@register("t02_order_by_list", sql="""
 SELECT application_id, risk_band FROM applications
 ORDER BY CASE risk_band WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '1-URGENT' THEN 3 ELSE 4 END,
-         application_id LIMIT 25""")
+         application_id""")
 def order_by_list(spark, d):
     a = applications(spark, d).select("application_id", "risk_band")
-    return ordering.order_by_list(a, "risk_band", ["5-LOW", "3-MEDIUM", "1-URGENT"], tie="application_id").limit(25)
+    return ordering.order_by_list(a, "risk_band", ["5-LOW", "3-MEDIUM", "1-URGENT"], tie="application_id")
 
 
 @register("t03_top_n", dbl=["loan_amount"], sql="""

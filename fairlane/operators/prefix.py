@@ -19,10 +19,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlane.operators._util import as_list
 
 
+def _cut_points(df: DataFrame, order: str, probs: list[float], n: int):
+    """Cut points of the order key in its own type: approximate quantiles, or
+    for types without them (text) a sample of ``n`` values drawn by hash."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.percentile_approx(order, probs, 1000)
+    h = F.xxhash64(order)
+    picks = [F.min_by(order, F.when(F.pmod(h, F.lit(n)) == i, F.xxhash64(F.lit(1), order))) for i in range(n)]
+    return F.array_sort(F.array_compact(F.array(*picks)))
+
+
 def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int, min_rows: int = 0):
     """Bucket of each row within its key by literal cut points.
 
@@ -47,12 +59,14 @@ def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int, m
             cond = c if cond is None else cond | c
         src = df.where(cond)
     cuts = (src.groupBy(*part)
-            .agg(F.percentile_approx(F.col(order).cast("double"), probs, 1000).alias("_cuts"))
+            .agg(_cut_points(src, order, probs, n_buckets).alias("_cuts"))
             .collect())
+    kind = df.schema[order].dataType
 
     def bucket_of(arr):
-        return F.size(F.filter(F.array(*[F.lit(float(v)) for v in arr]),
-                               lambda b: b < F.col(order).cast("double")))
+        if not arr:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(v).cast(kind) for v in arr]), lambda b: b < F.col(order)))
     if not part:
         return bucket_of(sorted(set(cuts[0]["_cuts"] or []))) if cuts else F.lit(0)
     expr = None

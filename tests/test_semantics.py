@@ -109,3 +109,61 @@ def test_schema_diff_missing_and_extra(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     got = sorted(tuple(r) for r in reshape.schema_diff(spark, df, ["a", "c"]).collect())
     assert got == [("b", "extra"), ("c", "missing")]
+
+
+def test_prefix_sums_by_text_and_date_with_null_groups(spark):
+    from pyspark.sql import functions as F
+
+    from fairlane.operators.prefix import ordered_prefix_sums
+    rows = [(None if i % 3 == 0 else "g", f"k{i:04d}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k string, v long").withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("v").cast("int")))
+    for order in ("k", "d"):
+        got = {(r["g"], r["v"]): r["cum_v"] for r in ordered_prefix_sums(df, ["g"], order, ["v"], 8).collect()}
+        want, run = {}, {}
+        for g, _, v in rows:
+            run[g] = run.get(g, 0) + v
+            want[(g, v)] = run[g]
+        assert got == want
+
+
+def test_auc_of_more_rows_than_a_long_product_holds(spark):
+    from pyspark.sql import functions as F
+
+    from fairlane.operators import metrics
+    big = 5_000_000_000
+    counts = spark.createDataFrame([("m", 0.1, 0, big), ("m", 0.9, big, 0)], "model string, score double, pos long, neg long")
+    old = metrics.score_counts
+    metrics.score_counts = lambda *a: counts
+    try:
+        r = metrics.roc_auc(counts.select("model", "score", F.lit(1).alias("y_true"))).first()
+    finally:
+        metrics.score_counts = old
+    assert r["auc"] == 1.0 and r["p"] == big
+
+
+def test_names_that_must_not_be_model_inputs(spark):
+    from fairlane.operators import columns
+    names = ["income", "minority_tract_flag", "tract_minority_population_percent", "is_hispanic", "aus_result", "action_taken_name",
+             "census_tract", "applicant_age", "has_coborrower", "application_type", "derived_race", "application_id", "target"]
+    df = spark.createDataFrame([tuple(range(len(names)))], names)
+    assert columns.select_features(df).columns == ["income", "applicant_age", "has_coborrower", "application_type"]
+
+
+def test_empty_tables_and_all_null_columns(spark):
+    from fairlane.operators import encode, profile, windows
+    df = spark.createDataFrame([], "target int, a double")
+    assert [r["null_pct"] for r in profile.null_profile(df).collect()] == [None, None]
+    assert profile.completeness(df, ["a"]).first()["complete_pct"] is None
+    assert profile.class_balance(df).first()["approved_pct"] is None
+    zero = spark.createDataFrame([("x", 0.0)], "k string, v double")
+    assert windows.share_of_total(zero, "v").first()["share"] is None
+    nulls = spark.createDataFrame([(None,), (None,)], "v double")
+    assert encode.fit_quantile_one_hot(nulls, "v").transform(nulls).count() == 2
+
+
+def test_split_of_any_number_of_parts(spark):
+    from fairlane.operators import split
+    df = spark.range(40000).withColumnRenamed("id", "application_id")
+    got = {r["split"]: r["share"] for r in split.split_shares(split.split(df, fractions=(0.875, 0.0625, 0.03125, 0.03125))).collect()}
+    assert set(got) == {"part_1", "part_2", "part_3", "part_4"}
+    assert abs(got["part_1"] - 0.875) < 0.006 and abs(got["part_4"] - 0.03125) < 0.004
