@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlane.llm.common import (
-    U64, binaries, bounded_batches, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes,
+    U64, bounded_batches, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes,
     word_hashes, word_spans,
 )
-from fairlane.llm.links import cluster
+from fairlane.llm.links import cluster, sketch
 
 WORDS = 5
 BUCKET_BYTES = 16 << 20         # text whose tokens one bucket gets
@@ -108,8 +108,8 @@ def _unpack(blocks: list[bytes]):
 
 
 def _shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
-    """(part, id, n, toks): each class's tokens that another class has too, with their frequency class."""
-    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("toks", pa.binary())])
+    """(part, block): each class's tokens that another class has too, with their frequency class, packed by class."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -117,40 +117,51 @@ def _shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
         _, one = np.unique(who, return_index=True)          # a class that several chunks sent counts once
         first = np.zeros(len(who), bool)
         first[one] = True
-        fp, own = fp[np.repeat(first, runs)], np.repeat(np.arange(len(who))[first], runs[first])
+        fp, own = fp[np.repeat(first, runs)], np.repeat(np.flatnonzero(first), runs[first])
         order = np.argsort(fp, kind="stable")
         s = fp[order]
         cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         df = np.repeat(np.diff(np.append(cut, len(s))), np.diff(np.append(cut, len(s))))
         many = df > 1
-        at = order[many]
+        own = own[order][many]
         tok = (np.minimum(df[many], CLASSES).astype(U64) << U64(58)) | (U64(bucket) << U64(FP_BITS)) | s[many]
-        back = np.argsort(at)                                # by class again, as entries came
-        tok, own = tok[back], own[at][back]
-        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-        ids = who[own[cut]]
-        return pa.Table.from_arrays(
-            [pa.array((ids % U64(parts)).astype(np.int32)), long(ids), pa.array(n[own[cut]].astype(np.int32)),
-             binaries(tok, np.append(cut, len(tok)))], schema=schema)
-
-    return entries.groupBy("bucket").applyInArrow(count, "part int, id long, n int, toks binary")
+        part = (who[own] % U64(parts)).astype(np.int64)
+        order = np.lexsort((own, part))
+        own, tok, part = own[order], tok[order], part[order]
+        if not len(own):
+            return schema.empty_table()
+        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        runs = np.diff(np.append(cut, len(own))).astype(np.uint32)
+        ids, size, p = who[own[cut]], n[own[cut]].astype(np.uint32), part[cut]
+        edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+        out = []
+        for i, j in zip(edge, np.append(edge[1:], len(cut))):
+            s, e = cut[i], cut[j] if j < len(cut) else len(tok)
+            out.append(b"".join((np.array([j - i, e - s], np.uint32).tobytes(), ids[i:j].tobytes(), size[i:j].tobytes(), runs[i:j].tobytes(), tok[s:e].tobytes())))
+        return pa.Table.from_arrays([pa.array(p[edge].astype(np.int32)), pa.array(out, pa.binary())], schema=schema)
+
+    return entries.groupBy("bucket").applyInArrow(count, "part int, block binary")
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(id, n, toks, p1, p2, p3) of the classes whose prefixes are not empty."""
+    """(id, n, sketch, toks, p1, p2, p3) of the classes whose prefixes are not empty."""
     arr = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("toks", arr), ("p1", arr), ("p2", arr), ("p3", arr)])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("toks", arr), ("p1", arr), ("p2", arr), ("p3", arr)])
 
     def order(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("id"))
-        sizes = np.array([len(x) >> 3 for x in table.column("toks").to_pylist()], np.int64)
-        tok = np.frombuffer(b"".join(table.column("toks").to_pylist()), U64)
+        ids, sizes, runs, tok = [], [], [], []
+        for raw in table.column("block").to_pylist():
+            m, e = np.frombuffer(raw, np.uint32, 2)
+            ids.append(np.frombuffer(raw, np.int64, m, 8))
+            sizes.append(np.frombuffer(raw, np.uint32, m, 8 + 8 * int(m)))
+            runs.append(np.frombuffer(raw, np.uint32, m, 8 + 12 * int(m)))
+            tok.append(np.frombuffer(raw, U64, e, 8 + 16 * int(m)))
+        ids, runs, tok = np.concatenate(ids), np.concatenate(runs).astype(np.int64), np.concatenate(tok)
         u, inv = np.unique(ids, return_inverse=True)
         n = np.zeros(len(u), np.int64)
-        n[inv] = np.asarray(table.column("n"))
-        seq = np.argsort(np.repeat(inv, sizes), kind="stable")
-        tok = tok[seq]
-        off = np.concatenate(([0], np.cumsum(np.bincount(inv, weights=sizes, minlength=len(u)).astype(np.int64))))
+        n[inv] = np.concatenate(sizes)
+        tok = tok[np.argsort(np.repeat(inv, runs), kind="stable")]
+        off = np.concatenate(([0], np.cumsum(np.bincount(inv, weights=runs, minlength=len(u)).astype(np.int64))))
         need = -(-percent * n // 100)
         out = {f: [] for f in schema.names}
         for i in np.flatnonzero(np.diff(off) >= need):
@@ -158,13 +169,14 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
             p = len(t) - need[i] + 1
             out["id"].append(u[i])
             out["n"].append(n[i])
+            out["sketch"].append(sketch(t))
             out["toks"].append(t.view(np.int64))
             out["p1"].append(t[:p].view(np.int64))
             for f, seed in zip(("p2", "p3"), ORDER_SEEDS):
                 out[f].append(t[np.lexsort((mix(t ^ U64(seed)), t >> U64(58)))[:p]].view(np.int64))
         return pa.Table.from_pydict(out, schema=schema)
 
-    return shared.groupBy("part").applyInArrow(order, "id long, n int, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
+    return shared.groupBy("part").applyInArrow(order, "id long, n int, sketch binary, toks array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +209,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = keep(signatures(docs, k), "jaccard-sigs")
     shared = _shared_tokens(_entries(docs, k, buckets), buckets)
     sets = keep(_prefixes(shared, percent), "jaccard-sets")
-    comps = cluster(sets.select(F.explode("p1").alias("key"), "id").distinct(), lambda pairs: _verified(pairs, sets, percent), "jaccard")
+    comps = cluster(sets.select(F.explode("p1").alias("key"), "id").distinct(), sets.select("id", "n", "sketch"),
+                    lambda pairs: _verified(pairs, sets, percent), percent, "jaccard")
     full, empty = sigs.filter("n_shingles > 0"), sigs.filter("n_shingles = 0")
     if comps is None:
         full = full.withColumn("comp", F.col("s1"))

@@ -1,25 +1,40 @@
 """Exact clusters of near-duplicates from posting lists, without all pairs of a list.
 
 ``cluster`` takes posting lists (key, id): two items may be linked only if
-they share a key. In each round every list names one hub, and only the hub is
-verified against the list's members of other clusters; verified links merge
-clusters. Members that a hub has joined are never compared with each other,
-since their cluster is already known. When the hubs have left few pairs over,
-the remaining pairs of different clusters are verified outright, so no link
-between different clusters is lost.
+they share a key. In each of the first rounds every list names one hub, and
+only the hub is verified against the list's members of other clusters;
+verified links merge clusters. Members that a hub has joined are never
+compared with each other, since their cluster is already known. What is left
+are lists of several clusters: their pairs of different clusters are held
+against an upper bound of their similarity inside the tasks (long lists as
+pairs of blocks), and only pairs that the bound leaves are emitted and
+verified. No link between different clusters is lost.
+
+The bound: an item's ``sketch`` counts its tokens in ``SKETCH`` hash buckets;
+two items share at most the sum of the smaller counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import keep
+from fairlane.llm.common import U64, keep, mix, parts_for
+
+HUB_ROUNDS = 3
+SKETCH = 256
+BLOCK = 256             # members of a long list that meet in one task
+ROWS_PER_TASK = 8000
 
-HUB_ROUNDS = 8          # rounds before the rest is verified outright
-PAIRS_PER_ROW = 4       # the rest is small when it has fewer pairs than this for each posting
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of an item's tokens in hash buckets; empty (no bound) if a count does not fit."""
+    c = np.bincount((mix(tokens.view(U64)) % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame | None:
@@ -63,12 +78,62 @@ def _merge(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return keep(labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), f"{name}-labels")
 
 
-def cluster(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame | None:
+def _pairs(percent: int):
+    """Task: pairs (x, y) of different clusters in its lists and blocks that the bound leaves."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def find(table: pa.Table) -> pa.Table:
+        key, a, b, own, ids, comp, n = (np.asarray(table.column(c)) for c in ("key", "a", "b", "own", "id", "comp", "n"))
+        raw = table.column("sketch").to_pylist()
+        free = np.array([not r for r in raw])
+        bags = np.frombuffer(b"".join(r or bytes(SKETCH) for r in raw), np.uint8).reshape(-1, SKETCH)
+        order = np.lexsort((own, b, a, key))
+        cut = np.flatnonzero(np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (key, a, b)], axis=0))))
+        found = []
+        for s, e in zip(cut, np.append(cut[1:], len(order))):
+            rows = order[s:e]
+            first = rows[own[rows] == a[rows[0]]]
+            second = rows[own[rows] == b[rows[0]]]
+            least = -(-percent * (n[first][:, None] + n[second][None, :]) // (100 + percent))
+            ok = comp[first][:, None] != comp[second][None, :]
+            if a[rows[0]] == b[rows[0]]:
+                ok &= ids[first][:, None] < ids[second][None, :]
+            i, j = np.nonzero(ok & (np.minimum(n[first][:, None], n[second][None, :]) >= least))
+            if not len(i):
+                continue
+            i, j = first[i], second[j]
+            bound = np.concatenate([np.minimum(bags[i[k:k + 4096]], bags[j[k:k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)])
+            good = (bound >= -(-percent * (n[i] + n[j]) // (100 + percent))) | free[i] | free[j]
+            if good.any():
+                x, y = ids[i[good]], ids[j[good]]
+                found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1))
+        if not found:
+            return schema.empty_table()
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.Table.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=schema)
+
+    return find
+
+
+def _rest(marked: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different clusters within the lists ``marked`` (key, id, comp) that the bound leaves."""
+    cuts = marked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    rows = marked.join(cuts, "key").join(items, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("cuts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    tasks = parts_for(marked.count(), ROWS_PER_TASK)
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key", "a", "b"), F.lit(tasks)).cast("int"))
+    rows = rows.select("task", "key", "a", "b", "own", "id", "comp", "n", "sketch")
+    return rows.groupBy("task").applyInArrow(_pairs(percent), "x long, y long")
+
+
+def cluster(postings: DataFrame, items: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame | None:
     """(id, comp) of the ids in lists of two or more; comp is the smallest linked id.
 
-    ``postings`` has (key, id), both long, without repeats; ``verify`` takes
-    distinct pairs (x, y) and returns those that are links. None if no list
-    has two ids.
+    ``postings`` has (key, id), both long, without repeats; ``items`` has (id,
+    n, sketch) with the number of an item's tokens; ``verify`` takes distinct
+    pairs (x, y) and returns those of Jaccard similarity ``percent`` / 100 or
+    more. None if no list has two ids.
     """
     postings = keep(postings, f"{name}-postings")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
@@ -78,23 +143,17 @@ def cluster(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], name:
     labels = keep(lists.select("id").distinct().withColumn("comp", F.col("id")), f"{name}-labels")
     for turn in range(HUB_ROUNDS + 1):
         marked = lists.join(labels, "id")
-        per = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        per = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        per = keep(per.filter("comps > 1"), f"{name}-open")
-        rows, pairs = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not rows:
-            break
-        lists = keep(lists.join(per.select("key"), "key", "left_semi"), f"{name}-lists") if turn else lists
-        marked = lists.join(labels, "id")
-        last = turn and (pairs <= PAIRS_PER_ROW * rows or turn == HUB_ROUNDS)
-        if last:
-            other = marked.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            found = marked.join(other, "key").filter("comp <> comp2 AND id < id2").select(F.col("id").alias("x"), F.col("id2").alias("y"))
-        else:
+        if turn:        # lists of several clusters stay open
+            still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+            marked = keep(marked.join(still, "key").select("key", "id", "comp"), f"{name}-open")
+            if marked.isEmpty():
+                break
+            lists = marked.select("key", "id")
+        if turn < HUB_ROUNDS:
             hub = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("hub"))
             found = marked.join(hub, "key").filter("comp <> hub.comp").select(F.least("id", "hub.id").alias("x"), F.greatest("id", "hub.id").alias("y"))
+        else:
+            found = _rest(marked, items, percent)
         links = keep(verify(found.distinct()), f"{name}-links")
         labels = _merge(labels, links, f"{name}-{turn}")
-        if last:
-            break
     return labels
