@@ -3,7 +3,10 @@ folder, sizes taken from the data, and vectorised word and shingle hashes."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +14,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import fairlane
 from fairlane.session import checkpoint_dir
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20           # text hashed at once inside a task
+CHUNK_BYTES = 3 << 20           # text hashed at once inside a task
 BATCH_BYTES = 32 << 20          # Arrow batch sent to a Python worker
+_shipped: set[str] = set()
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of one Arrow batch, so that long texts can't fill a worker."""
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for the operators' Python tasks.
+
+    Bounds the bytes of one Arrow batch, so that long texts can't fill a
+    worker, and sends this package to the executors once per application.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(fairlane.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="fairlane-")) / "fairlane.zip"    # the driver serves it to the executors
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import bounded_batches
+from fairlane.llm.common import prepare
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -263,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lists and tables. Rows that repeat an id are each returned; other columns
     are not read; an empty table gives an empty result.
     """
-    bounded_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlane.llm.common import (
-    U64, bounded_batches, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes,
+    U64, prepare, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes,
     word_hashes, word_spans,
 )
 from fairlane.llm.links import cluster, sketch
@@ -202,7 +202,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has a null component_id). Other columns are not read. An empty table
     gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = text_bytes(docs)
     buckets = parts_for(size, BUCKET_BYTES, 1 << BUCKET_BITS)

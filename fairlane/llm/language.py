@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import U64, bounded_batches, bytes_of, chunks
+from fairlane.llm.common import U64, prepare, bytes_of, chunks
 
 PER_LANG = 300
 LANDMARKS = 256
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, kernel: Kernel | None, id_col: str = "doc_id", tex
     every text when there is no kernel. Rows that repeat an id or a text get
     the same language; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if kernel is None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import U64, binaries, bounded_batches, bytes_of, chunks, keep, long, mix, parts_for, text_bytes, word_hashes, word_spans
+from fairlane.llm.common import U64, binaries, prepare, bytes_of, chunks, keep, long, mix, parts_for, text_bytes, word_hashes, word_spans
 
 MIN_WORDS = 6                   # shorter lines say too little to be judged by one word
 BUCKET_BYTES = 5 << 20
@@ -184,7 +184,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     don't drop each other. Null and empty texts have no lines; other columns
     are not read; an empty table gives no row.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = parts_for(2 * text_bytes(docs), BUCKET_BYTES)
     near = _travel(docs, buckets).groupBy("bucket").applyInArrow(_join_variants, "h1 long, h2 long, doc_id long, line_no int")

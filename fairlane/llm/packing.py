@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import binaries, bounded_batches, bytes_of, chunks, keep, word_hashes, word_spans
+from fairlane.llm.common import binaries, prepare, bytes_of, chunks, keep, word_hashes, word_spans
 
 TABLE_PARTS = 1_500_000      # parts a worker remembers: about 30 bytes each
 ENCODE_AT_ONCE = 5000
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, eos: int = 1, window: int = 2048, id_c
     rows that repeat an id or have none; other columns are not read. An empty
     table gives no piece.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     done = keep(tokenize(docs, tokenizer, eos), "pack-ids")
     totals = done.groupBy("part").agg(F.sum("doc_tokens").alias("n"))

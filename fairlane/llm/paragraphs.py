@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlane.llm.common import (
-    ASCII_SPACE, U64, bounded_batches, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes, word_hashes, word_spans,
+    ASCII_SPACE, U64, prepare, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes, word_hashes, word_spans,
 )
 from fairlane.llm.links import cluster, sketch
 
@@ -159,7 +159,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE
     are the same document, so they don't remove each other. Other columns are
     not read; an empty table gives no row.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = parts_for(text_bytes(docs), BUCKET_BYTES)
     places = keep(_places(docs), "paragraph-places")

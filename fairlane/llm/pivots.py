@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import bounded_batches, keep
+from fairlane.llm.common import prepare, keep
 from fairlane.llm.links import components
 
 PIVOTS, NEAREST, SHARED = 256, 8, 2
@@ -135,7 +135,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     one node of the components. Other columns are not read; an empty table
     gives an empty result.
     """
-    bounded_batches(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = _coded(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("embedding")))
     rows = keep(rows.withColumn("h1", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.xxhash64("v"))).withColumn(
         "h2", F.xxhash64(F.lit(1), "v")).withColumn("dim", (F.octet_length("v") / 8).cast("int")), "pivot-vectors")

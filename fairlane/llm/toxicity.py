@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import bounded_batches
+from fairlane.llm.common import prepare
 
 SAMPLE = 5000
 LEXICON = 5000
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     With no labelled rows, or rows of one class only, the lexicon is empty and
     every score is the share of toxic rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows, counts = _sample(docs, labels, sample)
     lexicon = _lexicon(rows)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
@@ -273,7 +273,7 @@ def tag(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "
     no span and the score of a text without toxic words. Rows that repeat an
     id or a text are scored alike; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -306,7 +306,7 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that score below ``THRESHOLD``; every row is scored where it lies."""
     field = fit(docs, labels)
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = docs.schema
 
     def clean(batches):
