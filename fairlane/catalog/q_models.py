@@ -9,12 +9,16 @@ correctness run short; the operators take any setting.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
+from fairlane.catalog.q_fit import SPLIT_SQL
 from fairlane.functions import features as fx
 from fairlane.operators import encode, metrics, models
 from fairlane.operators import split as sp
+from fairlane.session import checkpoint_dir
 from fairlane.sources.tables import applications, predictions
 
 FEATURES = ["loan_amount", "income", "property_value", "interest_rate", "loan_term", "has_coborrower",
@@ -32,7 +36,7 @@ def model_table(spark, d):
 def _fit_and_score(spark, d, kinds: dict):
     t = model_table(spark, d).select("application_id", "split", "label", *FEATURES)
     tr, te = t.where("split = 'train'"), t.where("split = 'test'")
-    fitted = {name: models.train(tr, FEATURES, kind, **params) for name, (kind, params) in kinds.items()}
+    fitted = {name: models.train(tr, FEATURES, kind, weight="balanced", **params) for name, (kind, params) in kinds.items()}
     return fitted, models.score_batch(fitted, te)
 
 
@@ -63,6 +67,29 @@ def score_batch(spark, d):
     return p
 
 
+@register("m19_score_batch_counts", ctes=SPLIT_SQL, sql="""
+SELECT m.model, count(*) AS rows, true AS in_range, count(label_signal) AS labelled
+FROM sa, (VALUES ('logistic'), ('sparse_logistic'), ('forest'), ('gbt'), ('mlp'), ('tree')) m(model) WHERE split = 'test' GROUP BY m.model""")
+def score_batch_counts(spark, d):
+    """All kinds of model in one scoring pass."""
+    _, p = _fit_and_score(spark, d, {"logistic": ("logistic", {}), "sparse_logistic": ("sparse_logistic", {}), "tree": ("tree", {}),
+                                     "forest": ("forest", {"numTrees": 10, "maxDepth": 5}), "gbt": ("gbt", {"maxIter": 5, "maxDepth": 3}),
+                                     "mlp": ("mlp", {"layers": (8,), "maxIter": 20})})
+    return p.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.every(F.col("score").between(0.0, 1.0)).alias("in_range"),
+                                  F.count("y_true").alias("labelled"))
+
+
+@register("m12_saved_model_scores_the_same", ctes=SPLIT_SQL, sql="""
+SELECT count(*) AS rows, true AS same FROM sa WHERE split = 'test'""")
+def saved_model(spark, d):
+    t = model_table(spark, d).select("application_id", "split", "label", *FEATURES)
+    m = models.train(t.where("split = 'train'"), FEATURES, "logistic", weight="balanced")
+    again = models.load_model(models.save_model(m, f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"))
+    p = models.score_batch({"fitted": m, "loaded": again}, t.where("split = 'test'"))
+    per = p.groupBy("application_id").agg((F.max("score") == F.min("score")).alias("same"))
+    return per.agg(F.count(F.lit(1)).alias("rows"), F.every("same").alias("same"))
+
+
 @register("m20_model_importance")
 def importance(spark, d):
     t = model_table(spark, d).where("split = 'train'")

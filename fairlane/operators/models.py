@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list
+from fairlane.operators.encode import class_weights
 
 # Reference settings per model kind (trees, depth, rates, layers).
 KINDS = {
@@ -49,9 +50,23 @@ def _classifier(kind: str, label: str, weight: str | None, params: dict, n_featu
 
 
 def train(train_df: DataFrame, features: list[str], kind: str = "logistic", label: str = "label",
-          weight: str | None = None, scale: bool = True, **params) -> PipelineModel:
-    """Assemble (nulls must be imputed first), scale, fit one classifier."""
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")]
+          weight: str | None = None, scale: bool = True, validation: str | None = None, **params) -> PipelineModel:
+    """Assemble (nulls must be imputed first), scale, fit one classifier.
+
+    ``weight="balanced"`` weighs the classes alike (M9). ``validation`` names a
+    boolean column: boosted trees stop when those rows get no better.
+    """
+    counts = train_df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features]).first()
+    missing = [c for c in features if counts[c]]
+    if missing:
+        raise ValueError(f"nulls in {', '.join(missing)}: impute first")
+    if weight == "balanced" and kind != "mlp":
+        train_df, weight = class_weights(train_df, label, out="_weight"), "_weight"
+    elif weight == "balanced":
+        weight = None           # the network has no weights
+    if validation and kind == "gbt":
+        params["validationIndicatorCol"] = validation
+    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="error")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     else:
@@ -73,13 +88,27 @@ def score(model: PipelineModel, df: DataFrame, name: str, key: str = "applicatio
 
 def score_batch(models: dict[str, PipelineModel], df: DataFrame, key: str = "application_id",
                 label: str | None = "label", keep=()) -> DataFrame:
-    """Every model on one table, as one long prediction table. The input
-    should be persisted by the caller when several models read it."""
-    parts = [score(m, df, n, key, label, keep=keep) for n, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every model on one table, as one long prediction table: one pass
+    over the rows, each model's probability added to the row, then unpivoted."""
+    names = list(models)
+    wide = df
+    for i, n in enumerate(names):
+        wide = models[n].transform(wide).withColumn(f"_p{i}", vector_to_array(F.col("probability"))[1])
+        wide = wide.drop("raw_features", "features", "rawPrediction", "probability", "prediction")
+    parts = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p{i}").alias("score")) for i, n in enumerate(names)])
+    y = F.col(label).cast("int") if label else F.lit(None).cast("int")
+    out = wide.select(F.col(key), y.alias("y_true"), *[F.col(c) for c in keep], F.inline(parts))
+    return out.select(key, "model", "y_true", "score", (F.col("score") >= F.lit(0.5)).cast("int").alias("pred"), *keep)
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline, its scaler included; an older one there is replaced."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def soft_vote(preds: DataFrame, min_models: int = 3, key: str = "application_id", name: str = "vote") -> DataFrame:
