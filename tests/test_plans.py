@@ -39,5 +39,5 @@ def test_top_n_is_take_ordered(spark):
 def test_quantiles_are_exact_unless_a_sketch_is_asked_for(spark):
     from fairlane.operators import segment
     a = applications(spark, SMALL)
-    assert "percentile_approx" not in _plan(segment.median_by(a, "grp_a", "income"))
-    assert "percentile_approx" in _plan(segment.median_by(a, "grp_a", "income", approx=True))
+    assert "percentile_approx" not in _plan(segment.median_by(a, "income", "grp_a"))
+    assert "percentile_approx" in _plan(segment.median_by(a, "income", "grp_a", approx=True))
