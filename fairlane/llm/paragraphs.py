@@ -1,16 +1,20 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-Texts are cut into paragraphs at line feeds; a block of more than
-``LONG_BLOCK`` words is cut further after words that end a sentence and after
-words whose hash says so (one in ``CUT_EVERY``), so a passage inside a long
-block is cut alike wherever it stands. Paragraphs of ``MIN_WORDS`` words or
-more take part. Equal shingle sets are one class. ``BANDS`` bands of ``ROWS``
-minima each collide with probability 1 - (1 - J^ROWS)^BANDS: 0.986 at Jaccard
-J = 0.8 and 0.9995 at 0.9. Colliding classes are verified by the exact Jaccard
-similarity of their 5-word shingles (0.8 or more) and clustered by components
-(``links.cluster``, without all pairs of a bucket). Of each cluster the
-paragraphs of the first document stay; those of later documents are removed
-where neighbouring ones make a passage of ``PASSAGE`` words or more.
+Texts are cut into paragraphs at line feeds; a line of fewer than
+``MIN_WORDS`` words belongs to the one before. A paragraph of more than
+``LONG`` words is looked at through windows of ``WINDOW`` words that start
+where its text says so: at the smallest hash of every ``SPREAD`` consecutive
+5-word shingles. A passage of WINDOW + SPREAD - 1 words or more that stands
+inside long paragraphs therefore has a window in common wherever it stands.
+
+Paragraphs and windows ("units" from here on) with equal shingles are one
+class. ``BANDS`` bands of ``ROWS`` minima each collide with probability
+1 - (1 - J^ROWS)^BANDS: 0.972 at Jaccard J = 0.8 and 0.998 at 0.9. Colliding
+classes are verified by the exact Jaccard similarity of their 5-word shingles
+(0.8 or more) and clustered by components (``links.cluster``, without all
+pairs of a bucket). Of each cluster the units of the first document stay;
+those of later documents are removed where they make up a passage of
+``PASSAGE`` words or more.
 """
 
 from __future__ import annotations
@@ -21,47 +25,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlane.llm.common import (
-    ASCII_SPACE, U64, prepare, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes, word_hashes, word_spans,
+    U64, bytes_of, chunks, keep, long, mix, parts_for, prepare, set_hash, text_bytes, word_hashes, word_spans,
 )
 from fairlane.llm.links import cluster, sketch
 
 WORDS = 5
-MIN_WORDS, LONG_BLOCK, CUT_EVERY = 8, 32, 32
-BANDS, ROWS = 6, 3
-PASSAGE = 25
+MIN_WORDS, LONG, WINDOW, SPREAD = 8, 40, 20, 24
+BANDS, ROWS = 5, 3
+PASSAGE = 20
 BUCKET_BYTES = 16 << 20
-_STOPS = np.zeros(256, bool)
-_STOPS[[ord(c) for c in ".!?"]] = True
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
-def _cut(chunk):
-    """Paragraphs of a chunk: (word hashes, paragraph of each word, text of each paragraph, its first word in the text, its words)."""
+def _window_starts(s: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words at which the windows of long paragraphs start; s are the shingle hashes, lo and n their words."""
+    starts = n - WINDOW + 1
+    block = np.repeat(np.arange(len(lo)), starts)
+    first = np.concatenate(([0], np.cumsum(starts)[:-1])).astype(np.int64)
+    at = np.arange(starts.sum()) - np.repeat(first - lo, starts)
+    h, picks = s[at], [np.zeros(0, np.int64)]
+    step = 1 << 18
+    for i in range(0, max(0, len(h) - SPREAD + 1), step):
+        view = np.lib.stride_tricks.sliding_window_view(h[i:i + step + SPREAD - 1], SPREAD)
+        best = view.argmin(1) + np.arange(i, i + len(view))
+        whole = block[i:i + len(view)] == block[i + SPREAD - 1:i + len(view) + SPREAD - 1]
+        picks.append(np.unique(best[whole]))
+    few = np.flatnonzero(starts < SPREAD)
+    picks.append(np.array([first[i] + h[first[i]:first[i] + starts[i]].argmin() for i in few], np.int64))
+    return at[np.unique(np.concatenate(picks))]
+
+
+def _units(chunk):
+    """Units of a chunk: (text number, first word in its text, words, shingles, offsets, class); equal shingles may repeat in a unit."""
     data, off = bytes_of(chunk.column("text"))
-    start, end, text = word_spans(data, off, ASCII_SPACE)
+    start, end, text = word_spans(data, off)
     h = word_hashes(data, start, end)
-    if not len(h):
-        z = np.zeros(0, np.int64)
-        return h, z, z, z, z
+    z = np.zeros(0, np.int64)
+    if len(h) < WORDS:
+        return z, z, z, np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, U64)
+    with np.errstate(over="ignore"):
+        s = np.zeros(len(h) - WORDS + 1, U64)
+        for j in range(WORDS):
+            s = s * U64(0xD6E8FEB86659FD93) + h[j:j + len(s)]
+        s = mix(s)
     line = np.searchsorted(np.flatnonzero(data == 10), start, "right") + text
-    new = np.concatenate(([True], line[1:] != line[:-1]))
-    block = np.cumsum(new) - 1
-    long_block = np.bincount(block)[block] > LONG_BLOCK
-    ends = (_STOPS[data[end - 1]] | (h % U64(CUT_EVERY) == 0)) & long_block
-    new[1:] |= ends[:-1]
-    unit = np.cumsum(new) - 1
-    lo = np.flatnonzero(new)
+    lo = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    new_text = np.concatenate(([True], text[lo][1:] != text[lo][:-1]))
+    lo = lo[(np.diff(np.append(lo, len(h))) >= MIN_WORDS) | new_text]
+    n = np.diff(np.append(lo, len(h)))
+    short = (n >= MIN_WORDS) & (n <= LONG)
+    windows = _window_starts(s, lo[n > LONG], n[n > LONG])
+    at = np.concatenate((lo[short], windows))
+    n = np.concatenate((n[short], np.full(len(windows), WINDOW)))
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    size = n - WORDS + 1
+    cut = np.concatenate(([0], np.cumsum(size)))
+    sh = s[np.repeat(at - cut[:-1], size) + np.arange(cut[-1])]
     first_of_text = np.searchsorted(text, np.arange(chunk.num_rows), "left")
-    return h, unit, text[lo], lo - first_of_text[text[lo]], np.diff(np.append(lo, len(h)))
-
-
-def _units(chunk):
-    """Paragraphs that take part: (text number, first word, words, shingles, offsets, class)."""
-    h, unit, text, first, n = _cut(chunk)
-    big = n >= MIN_WORDS
-    take = big[unit] if len(unit) else np.zeros(0, bool)
-    sh, off = shingles(h[take], (np.cumsum(big) - 1)[unit[take]], int(big.sum()), WORDS)
-    return text[big], first[big], n[big], sh, off, set_hash(sh, off, 3)
+    return text[at], at - first_of_text[text[at]], n, sh, cut, set_hash(sh, cut, 3)
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -134,8 +156,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             mine = ids.view(np.int64).tolist()
             pick = [i for i, (t, c) in enumerate(zip(text.tolist(), mine)) if c in want[t]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([mine[i] for i in pick], pa.int64()), pa.array([sketch(sh[off[i]:off[i + 1]]) for i in pick], pa.binary()),
-                 pa.array([sh[off[i]:off[i + 1]].view(np.int64) for i in pick], pa.list_(pa.int64()))], ["id", "sketch", "toks"])
+                [pa.array([mine[i] for i in pick], pa.int64()), pa.array([sketch(np.unique(sh[off[i]:off[i + 1]])) for i in pick], pa.binary()),
+                 pa.array([np.unique(sh[off[i]:off[i + 1]]).view(np.int64) for i in pick], pa.list_(pa.int64()))], ["id", "sketch", "toks"])
 
     return rows.mapInArrow(extract, "id long, sketch binary, toks array<long>").dropDuplicates(["id"])
 
@@ -148,13 +170,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage to remove: doc_id, first_word, last_word, n_words, n_paragraphs, kept_doc_id.
+    """One row per passage to remove: doc_id, first_word, last_word, n_words, n_units, kept_doc_id.
 
     Words are runs without ASCII white space, numbered from 0 in their text.
-    The first document of a cluster, by id, keeps its paragraphs; kept_doc_id
-    is that of the passage's first paragraph. A passage is a run of removed
-    paragraphs with fewer than ``MIN_WORDS`` words between any two of them;
-    runs of fewer than ``passage`` words stay. Null and empty texts have no
+    The first document of a cluster, by id, keeps its units; kept_doc_id is
+    the smallest of those that keep the passage's units. A passage is a run of removed units
+    that overlap or have at most ``MIN_WORDS`` words between them; runs of
+    fewer than ``passage`` words stay. Null and empty texts have no
     paragraphs; a null id counts as the smallest, and rows that repeat an id
     are the same document, so they don't remove each other. Other columns are
     not read; an empty table gives no row.
@@ -173,13 +195,13 @@ def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE
     gone = places.join(first, "id").filter(~F.struct("doc_id").eqNullSafe(F.col("kept")))
     units = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("kept.doc_id").alias("kept")))).alias("units"))
     runs = F.aggregate(
-        "units", F.expr("cast(array() as array<struct<at:int,last:int,paragraphs:int,kept:bigint>>)"),
+        "units", F.expr("cast(array() as array<struct<at:int,last:int,units:int,kept:bigint>>)"),
         lambda a, u: F.when(
             (F.size(a) > 0) & (u["at"] - F.try_element_at(a, F.lit(-1))["last"] <= MIN_WORDS),
             F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(
-                F.try_element_at(a, F.lit(-1))["at"].alias("at"), (u["at"] + u["n"] - 1).alias("last"),
-                (F.try_element_at(a, F.lit(-1))["paragraphs"] + 1).alias("paragraphs"), F.try_element_at(a, F.lit(-1))["kept"].alias("kept")))),
-        ).otherwise(F.concat(a, F.array(F.struct(u["at"].alias("at"), (u["at"] + u["n"] - 1).alias("last"), F.lit(1).alias("paragraphs"), u["kept"].alias("kept"))))))
+                F.try_element_at(a, F.lit(-1))["at"].alias("at"), F.greatest(u["at"] + u["n"] - 1, F.try_element_at(a, F.lit(-1))["last"]).alias("last"),
+                (F.try_element_at(a, F.lit(-1))["units"] + 1).alias("units"), F.least(F.try_element_at(a, F.lit(-1))["kept"], u["kept"]).alias("kept")))),
+        ).otherwise(F.concat(a, F.array(F.struct(u["at"].alias("at"), (u["at"] + u["n"] - 1).alias("last"), F.lit(1).alias("units"), u["kept"].alias("kept"))))))
     out = units.select("doc_id", F.explode(runs).alias("r"))
     return out.select("doc_id", F.col("r.at").alias("first_word"), F.col("r.last").alias("last_word"), (F.col("r.last") - F.col("r.at") + 1).alias("n_words"),
-                      F.col("r.paragraphs").alias("n_paragraphs"), F.col("r.kept").alias("kept_doc_id")).filter(F.col("n_words") >= passage)
+                      F.col("r.units").alias("n_units"), F.col("r.kept").alias("kept_doc_id")).filter(F.col("n_words") >= passage)

@@ -28,7 +28,8 @@ def brute(texts, passage=paragraphs.PASSAGE):
         mine = sorted((u[1], u[2], kept[g.find(k)]) for k, u in enumerate(units) if u[0] == d and kept[g.find(k)] != d)
         for at, m, keep in mine:
             if runs and runs[-1][0] == d and at - runs[-1][2] <= paragraphs.MIN_WORDS:
-                runs[-1][2], runs[-1][3] = at + m - 1, runs[-1][3] + 1
+                runs[-1][2], runs[-1][3] = max(runs[-1][2], at + m - 1), runs[-1][3] + 1
+                runs[-1][4] = min(runs[-1][4], keep)
             else:
                 runs.append([d, at, at + m - 1, 1, keep])
     return {(d, s, e, e - s + 1, c, k) for d, s, e, c, k in runs if e - s + 1 >= passage}
@@ -65,7 +66,7 @@ def test_passages_equal_brute_force(spark):
 def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(12)
     texts = {i: " ".join(words(rng, 200)) for i in range(100)}
-    passage = " ".join(words(rng, 20)) + ". " + " ".join(words(rng, 25)) + ". " + " ".join(words(rng, 30))
+    passage = " ".join(words(rng, 51))
     for i in range(40, 60):
         w = texts[i].split()
         at = rng.randrange(len(w))
