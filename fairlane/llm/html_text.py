@@ -46,13 +46,15 @@ DROP_WORDS = frozenset(
     "widgets ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox dfp sponsor sponsored sponsors promo promos promotion cookie "
     "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search share sharing sharebar "
     "social comment comments commentlist disqus respond reply replies discussion related recommended recommendations pagination pager paginator toolbar skip "
-    "copyright legal disclaimer form forms paywall outbrain taboola".split())
+    "copyright legal disclaimer form forms paywall outbrain taboola adsbygoogle".split())
 HEADER_WORDS = frozenset(("header", "masthead", "banner"))
 ARTICLE_WORDS = frozenset(("article", "post", "entry", "story", "content", "title"))
+# Of DROP_WORDS, those that also name wrappers of a whole page.
+WRAPPER_WORDS = frozenset("header banner widget widgets share social form forms alert modal overlay popup paywall skip".split())
 KEEP_TAGS = frozenset("html body main article".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；]")
 
@@ -74,8 +76,9 @@ def _open(tag: str, attrs: str, parent: _Element) -> _Element:
         drop = 2
     elif "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
         drop = 2
-    elif tag not in KEEP_TAGS and words & (DROP_WORDS - HEADER_WORDS if parent.in_main or words & ARTICLE_WORDS else DROP_WORDS):
-        drop = 1
+    elif tag not in KEEP_TAGS:
+        hit = words & (DROP_WORDS - HEADER_WORDS if parent.in_main or words & ARTICLE_WORDS else DROP_WORDS)
+        drop = 0 if not hit else 3 if hit <= WRAPPER_WORDS else 1
     path = f"{parent.path}/{tag}" + ("." + got["class"].strip() if got.get("class", "").strip() else "")
     e = _Element(tag, path, parent, drop, in_main)
     if in_main and not parent.in_main:
@@ -164,9 +167,25 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
     return out
 
 
+def _spare_wrappers(blocks: list[tuple[_Element, str, int]]) -> None:
+    """Keep elements that only a wrapper's word marks when they hold more than half of the text."""
+    chars: dict[int, int] = {}
+    marked: dict[int, _Element] = {}
+    for e, text, _ in blocks:
+        while e is not None:
+            chars[id(e)] = chars.get(id(e), 0) + len(text)
+            if e.drop == 3:
+                marked[id(e)] = e
+            e = e.parent
+    total = sum(len(text) for _, text, _ in blocks)
+    for k, e in marked.items():
+        if 2 * chars[k] > total:
+            e.drop = 0
+
+
 def _dropped(e: _Element) -> bool:
     while e is not None:
-        if e.drop == 2 or (e.drop == 1 and not e.holds_main):
+        if e.drop == 2 or (e.drop and not e.holds_main):
             return True
         e = e.parent
     return False
@@ -190,7 +209,9 @@ def _content(paths: dict[str, list[float]]) -> dict[str, float]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks in page order joined by one space; empty if there is none."""
-    blocks = [b for b in _blocks(page or "") if not _dropped(b[0])]
+    blocks = _blocks(page or "")
+    _spare_wrappers(blocks)
+    blocks = [b for b in blocks if not _dropped(b[0])]
     if not blocks:
         return ""
     paths: dict[str, list[float]] = {}

@@ -39,3 +39,11 @@ def test_table_with_nulls_repeats_and_clashing_names(spark):
     text = html_text.main_text(PAGE)
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "x", 1)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_marks_are_read_from_class_id_and_role_only():
+    text = "Long text, with commas, and more. " * 8
+    page = f'<body><div data-id="comment-1" data-state="hidden" title="a menu"><p>{text}</p></div><div CLASS=adsbygoogle><p>buy, now.</p></div><p hidden>x</p></body>'
+    assert html_text.main_text(page) == text.strip()
+    page = f'<body><div class="page-widget"><h1>Head</h1><p>{text}</p></div><div class="widget"><p>small, one.</p></div></body>'
+    assert html_text.main_text(page) == "Head " + text.strip()
