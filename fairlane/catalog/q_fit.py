@@ -3,6 +3,7 @@ apply to every row."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
@@ -39,11 +40,17 @@ def split_uneven(spark, d):
     return sp.split_shares(sp.split(applications(spark, d), fractions=(0.5, 0.25, 0.125, 0.125)))
 
 
-@register("m07_stratified_split_shares")
+@register("m07_stratified_split_shares", sql="""
+SELECT t.target, s.split, true AS share_as_asked, t.n AS rows_of_class
+FROM (SELECT target, count(*) AS n FROM applications WHERE target IS NOT NULL GROUP BY target) t,
+     (VALUES ('train'), ('validation'), ('test')) s(split)""")
 def stratified_split(spark, d):
+    """Every class is split in the asked shares, within half a percent and a row."""
     a = applications(spark, d).where(F.col("target").isNotNull())
-    s = sp.split(a, stratify="target")
-    return s.groupBy("split", "target").agg(F.count(F.lit(1)).alias("rows"))
+    s = sp.split(a, stratify="target").groupBy("target", "split").agg(F.count(F.lit(1)).alias("n"))
+    s = s.withColumn("rows_of_class", F.sum("n").over(Window.partitionBy("target")))
+    asked = F.when(F.col("split") == "train", 0.70).otherwise(0.15)
+    return s.select("target", "split", (F.abs(F.col("n") - asked * F.col("rows_of_class")) <= 1 + 0.005 * F.col("rows_of_class")).alias("share_as_asked"), "rows_of_class")
 
 
 @register("j07_split_overlap", ctes=SPLIT_SQL, sql="""

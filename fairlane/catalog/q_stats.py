@@ -104,7 +104,22 @@ def information_reduction(spark, d):
     return stats.information_reduction(a, stats.decorrelate(a, MI_COLS, "grp_b"), MI_COLS, "grp_b")
 
 
-@register("a43_leakage_report")
+_NUMERIC = ["application_id", "loan_amount", "income", "property_value", "interest_rate", "total_loan_costs", "loan_term", "target",
+            "has_coborrower", "score_signal", "score_random"]
+_OTHER = ["action_taken", "grp_a", "grp_b", "grp_c", "state_code", "county_code", "risk_band", "decision_ts"]
+_LEAKAGE_SQL = " UNION ALL ".join(
+    ["SELECT 'outcome_name' AS \"check\", 'action_taken' AS \"column\", CAST(NULL AS DOUBLE) AS value, true AS flagged",
+     "SELECT 'id_name', 'application_id', NULL, true"]
+    + [f"SELECT 'label_corr', '{c}', corr({c}, label_signal), abs(corr({c}, label_signal)) > 0.95 FROM applications" for c in _NUMERIC]
+    + [f"SELECT 'constant', '{c}', NULL, min({c}) IS NULL OR min({c}) = max({c}) FROM applications" for c in _NUMERIC + _OTHER]
+    + [f"SELECT 'null_rate_by_label', '{c}', abs(avg(CAST({c} IS NULL AS INTEGER)) FILTER (label_signal = 1) - avg(CAST({c} IS NULL AS INTEGER)) FILTER (label_signal = 0)), "
+       f"abs(avg(CAST({c} IS NULL AS INTEGER)) FILTER (label_signal = 1) - avg(CAST({c} IS NULL AS INTEGER)) FILTER (label_signal = 0)) > 0.2 FROM applications"
+       for c in _NUMERIC + _OTHER]
+    + [f"SELECT 'split_overlap', '{x}/{y}', CAST(count(*) AS DOUBLE), count(*) > 0 FROM sa a JOIN sa b ON a.application_id = b.application_id "
+       f"WHERE a.split = '{x}' AND b.split = '{y}'" for x, y in (("train", "validation"), ("train", "test"), ("validation", "test"))])
+
+
+@register("a43_leakage_report", dbl=["value"], ctes=SPLIT_SQL, sql=_LEAKAGE_SQL)
 def leakage(spark, d):
     a = sp.split(applications(spark, d))
     parts = {n: a.where(F.col("split") == n) for n in sp.NAMES}
