@@ -145,7 +145,10 @@ def _collisions(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, sketch, toks): shingles of the wanted classes, from one paragraph each: wanted has (doc_id, id)."""
+    """(id, sketch, toks): shingles of the wanted classes, from one unit each: wanted has (doc_id, id).
+
+    A class comes again for each row that repeats its document, which changes no link.
+    """
     per = wanted.groupBy("doc_id").agg(F.collect_set("id").alias("ids")).withColumnRenamed("doc_id", "_doc")
     rows = docs.join(per, docs["doc_id"].eqNullSafe(per["_doc"])).select("text", "ids")
 
@@ -154,12 +157,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             text, _, _, sh, off, ids = _units(chunk)
             want = [set(x) for x in chunk.column("ids").to_pylist()]
             mine = ids.view(np.int64).tolist()
-            pick = [i for i, (t, c) in enumerate(zip(text.tolist(), mine)) if c in want[t]]
+            pick = []
+            for i, (t, c) in enumerate(zip(text.tolist(), mine)):
+                if c in want[t]:
+                    want[t].remove(c)
+                    pick.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([mine[i] for i in pick], pa.int64()), pa.array([sketch(np.unique(sh[off[i]:off[i + 1]])) for i in pick], pa.binary()),
                  pa.array([np.unique(sh[off[i]:off[i + 1]]).view(np.int64) for i in pick], pa.list_(pa.int64()))], ["id", "sketch", "toks"])
 
-    return rows.mapInArrow(extract, "id long, sketch binary, toks array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(extract, "id long, sketch binary, toks array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
