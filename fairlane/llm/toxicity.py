@@ -32,7 +32,7 @@ from fairlane.llm.common import prepare
 
 SAMPLE = 5000
 LEXICON = 5000
-WINDOWS, WINDOW = 3000, 256
+WINDOWS, WINDOW, STEPS = 3000, 256, 60
 SIGNIFICANT = 18.0              # likelihood ratio of a feature's counts in the two classes
 EDGES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)    # of the strengths (log odds)
 THRESHOLD = 0.3
@@ -169,16 +169,22 @@ class Tagger:
 
 def _fit_chain(x: np.ndarray, y: np.ndarray, length: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Node and transition weights of greatest likelihood for windows x (strengths) and y (states), by gradient ascent."""
+    total = len(x)
+    rows, often = np.unique(np.concatenate((x, y, length[:, None]), 1), axis=0, return_counts=True)     # equal windows count together
+    x, y, length = rows[:, :x.shape[1]], rows[:, x.shape[1]:-1], rows[:, -1]
     n, t = x.shape
+    many = often.astype(float)
     inside = np.arange(t)[None, :] < length[:, None]
     node, move = np.zeros(bins), np.zeros((2, 2))
     prev = np.concatenate((np.zeros((n, 1), int), y[:, :-1]), 1)
-    seen_node = np.bincount(x[inside & (y == 1)], minlength=bins).astype(float)
+    each = np.repeat(many[:, None], t, 1)
+    toxic = inside & (y == 1)
+    seen_node = np.bincount(x[toxic], weights=each[toxic], minlength=bins)
     seen_move = np.zeros((2, 2))
-    np.add.at(seen_move, (prev[inside], y[inside]), 1)
+    np.add.at(seen_move, (prev[inside], y[inside]), each[inside])
     speed = [np.zeros(bins), np.zeros((2, 2))]
     square = [np.zeros(bins), np.zeros((2, 2))]
-    for turn in range(1, 151):
+    for turn in range(1, STEPS + 1):
         m, w = np.exp(move), np.exp(node)[x]
         a = np.zeros((t, n, 2))
         p = np.tile([1.0, 0.0], (n, 1))
@@ -196,16 +202,16 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, length: np.ndarray, bins: int) -> t
             e = b.copy()
             e[:, 1] *= w[:, k]
             pair = before[:, :, None] * m[None] * e[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
+            pair *= (many / pair.sum((1, 2)))[:, None, None]
             want_move += pair[live].sum(0)
             want_node += np.bincount(x[live, k], weights=pair[live, :, 1].sum(1), minlength=bins)
             c = e @ m.T
             c /= c.sum(1, keepdims=True)
             b = np.where(live[:, None], c, b)
-        for i, (v, g) in enumerate(((node, (seen_node - want_node) / n - 0.002 * node), (move, (seen_move - want_move) / n - 0.002 * move))):
+        for i, (v, g) in enumerate(((node, (seen_node - want_node) / total - 0.002 * node), (move, (seen_move - want_move) / total - 0.002 * move))):
             speed[i] = 0.9 * speed[i] + 0.1 * g
             square[i] = 0.99 * square[i] + 0.01 * g * g
-            v += 0.15 * (speed[i] / (1 - 0.9 ** turn)) / (np.sqrt(square[i] / (1 - 0.99 ** turn)) + 1e-8)
+            v += 0.25 * (speed[i] / (1 - 0.9 ** turn)) / (np.sqrt(square[i] / (1 - 0.99 ** turn)) + 1e-8)
     return node, move
 
 
