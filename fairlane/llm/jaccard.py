@@ -30,10 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import (
-    U64, prepare, bytes_of, chunks, keep, long, mix, parts_for, set_hash, shingles, text_bytes,
-    word_hashes, word_spans,
-)
+from fairlane.llm.common import U64, bytes_of, chunks, keep, long, mix, parts_for, prepare, set_hash, shingles, text_bytes, word_hashes, word_spans
 from fairlane.llm.links import cluster, sketch
 
 WORDS = 5

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import U64, prepare, bytes_of, chunks
+from fairlane.llm.common import U64, bytes_of, chunks, prepare
 
 PER_LANG = 300
 LANDMARKS = 256

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import U64, binaries, prepare, bytes_of, chunks, keep, long, mix, parts_for, text_bytes, word_hashes, word_spans
+from fairlane.llm.common import U64, binaries, bytes_of, chunks, keep, long, mix, parts_for, prepare, text_bytes, word_hashes, word_spans
 
 MIN_WORDS = 6                   # shorter lines say too little to be judged by one word
 BUCKET_BYTES = 5 << 20

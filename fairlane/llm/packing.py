@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import binaries, prepare, bytes_of, chunks, keep, word_hashes, word_spans
+from fairlane.llm.common import binaries, bytes_of, chunks, keep, prepare, word_hashes, word_spans
 
 TABLE_PARTS = 1_500_000      # parts a worker remembers: about 30 bytes each
 ENCODE_AT_ONCE = 5000

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import prepare, keep
+from fairlane.llm.common import keep, prepare
 from fairlane.llm.links import components
 
 PIVOTS, NEAREST, SHARED = 256, 8, 2
