@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlane.llm.common import prepare
+from fairlane.llm.common import keep, prepare
 
 SAMPLE = 5000
 LEXICON = 5000
-WINDOWS, WINDOW, STEPS = 3000, 256, 60
+WINDOWS, WINDOW, STEPS = 3000, 256, 150
 SIGNIFICANT = 18.0              # likelihood ratio of a feature's counts in the two classes
 EDGES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)    # of the strengths (log odds)
 THRESHOLD = 0.3
@@ -55,12 +55,20 @@ def _words(text: str) -> list[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, dict[int, int]]:
-    """(toxic, text) of at most ``limit`` labelled rows of each class that are not held out; the classes' true counts."""
+    """(toxic, text) of at most ``limit`` labelled rows of each class that are not held out; the classes' true counts.
+
+    Copies and most near-copies (texts whose three smallest word hashes are
+    equal) count once, lest the words of a toxic text seem toxic because the
+    text is repeated.
+    """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picks = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for c in (0, 1)]
     # at most 2 * limit rows of 12 bytes
-    return docs.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("toxic", "text"), counts
+    rows = docs.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    hashes = F.array_sort(F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: F.xxhash64(w)))
+    rows = rows.groupBy(F.slice(hashes, 1, 3).alias("same")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return keep(rows.select("toxic", "text"), "toxicity-sample"), counts
 
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:
@@ -211,7 +219,7 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, length: np.ndarray, bins: int) -> t
         for i, (v, g) in enumerate(((node, (seen_node - want_node) / total - 0.002 * node), (move, (seen_move - want_move) / total - 0.002 * move))):
             speed[i] = 0.9 * speed[i] + 0.1 * g
             square[i] = 0.99 * square[i] + 0.01 * g * g
-            v += 0.25 * (speed[i] / (1 - 0.9 ** turn)) / (np.sqrt(square[i] / (1 - 0.99 ** turn)) + 1e-8)
+            v += 0.15 * (speed[i] / (1 - 0.9 ** turn)) / (np.sqrt(square[i] / (1 - 0.99 ** turn)) + 1e-8)
     return node, move
 
 
