@@ -196,7 +196,8 @@ def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE
     comps = cluster(postings, sets.select("id", F.size("toks").alias("n"), "sketch"), lambda pairs: _verified(pairs, sets, percent), percent, "paragraphs")
     if comps is not None:
         places = places.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id")).drop("comp")
-    first = places.groupBy("id").agg(F.min(F.struct("doc_id")).alias("kept"), F.max(F.struct("doc_id")).alias("last")).filter("kept <> last").drop("last")
+    # a table of its own, so that Spark can split the rows of a very common unit in the join
+    first = keep(places.groupBy("id").agg(F.min(F.struct("doc_id")).alias("kept"), F.max(F.struct("doc_id")).alias("last")).filter("kept <> last").drop("last"), "paragraph-first")
     gone = places.join(first, "id").filter(~F.struct("doc_id").eqNullSafe(F.col("kept")))
     units = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("kept.doc_id").alias("kept")))).alias("units"))
     runs = F.aggregate(
