@@ -1,11 +1,12 @@
 """Substring dedup: MinHash banding of paragraphs.
 
 Texts are cut into paragraphs at line feeds; a line of fewer than
-``MIN_WORDS`` words belongs to the one before. A paragraph of more than
-``LONG`` words is looked at through windows of ``WINDOW`` words that start
-where its text says so: at the smallest hash of every ``SPREAD`` consecutive
-5-word shingles. A passage of WINDOW + SPREAD - 1 words or more that stands
-inside long paragraphs therefore has a window in common wherever it stands.
+``MIN_WORDS`` words belongs to the one before. Every paragraph of that many
+words is looked at as a whole. One of more than ``LONG`` words is also looked
+at through windows of ``WINDOW`` words that start where its text says so: at
+the smallest hash of every ``SPREAD`` consecutive 5-word shingles. A passage
+of WINDOW + SPREAD - 1 words or more that stands inside long paragraphs
+therefore has a window in common wherever it stands.
 
 Paragraphs and windows ("units" from here on) with equal shingles are one
 class. ``BANDS`` bands of ``ROWS`` minima each collide with probability
@@ -14,7 +15,9 @@ classes are verified by the exact Jaccard similarity of their 5-word shingles
 (0.8 or more) and clustered by components (``links.cluster``, without all
 pairs of a bucket). Of each cluster the units of the first document stay;
 those of later documents are removed where they make up a passage of
-``PASSAGE`` words or more.
+``PASSAGE`` words or more. Where a window goes but not its whole paragraph,
+the passage is extended word by word to the whole run that both texts have in
+common there.
 """
 
 from __future__ import annotations
@@ -55,12 +58,17 @@ def _window_starts(s: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _units(chunk):
     """Units of a chunk: (text number, first word in its text, words, shingles, offsets, class); equal shingles may repeat in a unit."""
+    return _cut(chunk)[:6]
+
+
+def _cut(chunk):
+    """``_units``, and for each window the first word of its paragraph in its text (-1: a whole paragraph)."""
     data, off = bytes_of(chunk.column("text"))
     start, end, text = word_spans(data, off)
     h = word_hashes(data, start, end)
     z = np.zeros(0, np.int64)
     if len(h) < WORDS:
-        return z, z, z, np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, U64)
+        return z, z, z, np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, U64), z
     with np.errstate(over="ignore"):
         s = np.zeros(len(h) - WORDS + 1, U64)
         for j in range(WORDS):
@@ -71,28 +79,32 @@ def _units(chunk):
     new_text = np.concatenate(([True], text[lo][1:] != text[lo][:-1]))
     lo = lo[(np.diff(np.append(lo, len(h))) >= MIN_WORDS) | new_text]
     n = np.diff(np.append(lo, len(h)))
-    short = (n >= MIN_WORDS) & (n <= LONG)
+    whole = n >= MIN_WORDS
     windows = _window_starts(s, lo[n > LONG], n[n > LONG])
-    at = np.concatenate((lo[short], windows))
-    n = np.concatenate((n[short], np.full(len(windows), WINDOW)))
+    within = lo[np.searchsorted(lo, windows, "right") - 1]
+    at = np.concatenate((lo[whole], windows))
+    n = np.concatenate((n[whole], np.full(len(windows), WINDOW)))
+    within = np.concatenate((np.full(whole.sum(), -1), within))
     order = np.argsort(at, kind="stable")
-    at, n = at[order], n[order]
+    at, n, within = at[order], n[order], within[order]
     size = n - WORDS + 1
     cut = np.concatenate(([0], np.cumsum(size)))
     sh = s[np.repeat(at - cut[:-1], size) + np.arange(cut[-1])]
     first_of_text = np.searchsorted(text, np.arange(chunk.num_rows), "left")
-    return text[at], at - first_of_text[text[at]], n, sh, cut, set_hash(sh, cut, 3)
+    first = first_of_text[text[at]]
+    return text[at], at - first, n, sh, cut, set_hash(sh, cut, 3), np.where(within < 0, -1, within - first)
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, n, id): first word, number of words and class of every paragraph that takes part."""
+    """(doc_id, at, n, within, id): first word, number of words, paragraph (-1: itself) and class of every unit."""
     def place(batches):
         for chunk in chunks(batches):
-            text, first, n, _, _, ids = _units(chunk)
+            text, first, n, _, _, ids, within = _cut(chunk)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), long(ids)], ["doc_id", "at", "n", "id"])
+                [chunk.column("doc_id").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(within.astype(np.int32)), long(ids)],
+                ["doc_id", "at", "n", "within", "id"])
 
-    return docs.mapInArrow(place, "doc_id long, at int, n int, id long")
+    return docs.mapInArrow(place, "doc_id long, at int, n int, within int, id long")
 
 
 def _bands(docs: DataFrame, buckets: int) -> DataFrame:
@@ -174,14 +186,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= (F.size("x_toks") + F.size("y_toks") - shared) * percent).select("x", "y")
 
 
-def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _agree(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of leading words that two texts have in common."""
+    at, step, most = 0, 64, min(len(x), len(y))
+    while at < most:
+        differ = np.flatnonzero(x[at:min(at + step, most)] != y[at:min(at + step, most)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = min(at + step, most), 2 * step
+    return most
+
+
+def _common_run(x: np.ndarray, y: np.ndarray, a: int, n: int, b: int, m: int) -> tuple[int, int] | None:
+    """First and last word of x in the run around x[a:a + n] that y has around y[b:b + m]; None if they share no shingle."""
+    if n == m and np.array_equal(x[a:a + n], y[b:b + m]):
+        hits = [(a, b)]
+    else:
+        of = {y[j:j + WORDS].tobytes(): j for j in range(b, min(b + m, len(y)) - WORDS + 1)}
+        hits = [(i, of[k]) for i in range(a, min(a + n, len(x)) - WORDS + 1) if (k := x[i:i + WORDS].tobytes()) in of]
+    if not hits:
+        return None
+    (i, j), (p, q) = hits[0], hits[-1]
+    return min(a, i - _agree(x[:i][::-1], y[:j][::-1])), max(a + n, p + _agree(x[p:], y[q:])) - 1
+
+
+def _extended(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, at, n, kept): the common runs around linked windows; links has (doc_id, at, n, kept, other: (doc_id, at, n))."""
+    per = links.groupBy("doc_id", F.col("other.doc_id").alias("_other")).agg(
+        F.collect_set(F.struct("at", "n", F.col("other.at").alias("b"), F.col("other.n").alias("m"), F.col("kept.doc_id").alias("kept"))).alias("links"))
+    rows = per.withColumnRenamed("doc_id", "_doc").join(docs, F.col("_doc").eqNullSafe(docs["doc_id"])).select("_doc", "_other", "links", "text")
+    rows = rows.join(docs.select("doc_id", F.col("text").alias("y")), F.col("_other").eqNullSafe(F.col("doc_id"))).select(F.col("_doc").alias("doc_id"), "links", "text", "y")
+
+    def words(column):
+        data, off = bytes_of(column)
+        start, end, text = word_spans(data, off)
+        return word_hashes(data, start, end), np.searchsorted(text, np.arange(len(column) + 1), "left")
+
+    def extend(batches):
+        for part in chunks(batches):
+            for chunk in chunks([part], "y"):
+                (x, x_off), (y, y_off) = words(chunk.column("text")), words(chunk.column("y"))
+                row, at, n, kept = [], [], [], []
+                for r, found in enumerate(chunk.column("links").to_pylist()):
+                    mine, theirs = x[x_off[r]:x_off[r + 1]], y[y_off[r]:y_off[r + 1]]
+                    done: dict[int, tuple[int, int]] = {}       # the last run of each shift
+                    for k in sorted(found, key=lambda k: k["at"]):
+                        s, e = done.get(k["b"] - k["at"], (0, -1))
+                        if s <= k["at"] and k["at"] + k["n"] - 1 <= e:
+                            continue
+                        run = _common_run(mine, theirs, k["at"], k["n"], k["b"], k["m"])
+                        if run is not None:
+                            done[k["b"] - k["at"]] = run
+                            row.append(r)
+                            at.append(run[0])
+                            n.append(run[1] - run[0] + 1)
+                            kept.append(k["kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [chunk.column("doc_id").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(kept, pa.int64())],
+                    ["doc_id", "at", "n", "kept"])
+
+    return rows.mapInArrow(extend, "doc_id long, at int, n int, kept long")
+
+
+def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text", extend: bool = False) -> DataFrame:
     """One row per passage to remove: doc_id, first_word, last_word, n_words, n_units, kept_doc_id.
 
     Words are runs without ASCII white space, numbered from 0 in their text.
     The first document of a cluster, by id, keeps its units; kept_doc_id is
     the smallest of those that keep the passage's units. A passage is a run of removed units
     that overlap or have at most ``MIN_WORDS`` words between them; runs of
-    fewer than ``passage`` words stay. Null and empty texts have no
+    fewer than ``passage`` words stay. With ``extend`` a removed window whose
+    paragraph is not removed stands for the whole run of words around it that
+    its text shares with the first other text that has the window (one of
+    equal words if there is such a text). Null and empty texts have no
     paragraphs; a null id counts as the smallest, and rows that repeat an id
     are the same document, so they don't remove each other. Other columns are
     not read; an empty table gives no row.
@@ -194,20 +271,31 @@ def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE
     wanted = places.join(postings.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     sets = keep(_sets(docs, wanted), "paragraph-sets")
     comps = cluster(postings, sets.select("id", F.size("toks").alias("n"), "sketch"), lambda pairs: _verified(pairs, sets, percent), percent, "paragraphs")
+    own = places.filter("within >= 0").groupBy(F.col("id").alias("class")).agg(F.min(F.struct("doc_id", "at", "n")).alias("own"))
+    places = places.withColumn("class", F.col("id"))
     if comps is not None:
         places = places.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id")).drop("comp")
     # a table of its own, so that Spark can split the rows of a very common unit in the join
-    first = keep(places.groupBy("id").agg(F.min(F.struct("doc_id")).alias("kept"), F.max(F.struct("doc_id")).alias("last")).filter("kept <> last").drop("last"), "paragraph-first")
-    gone = places.join(first, "id").filter(~F.struct("doc_id").eqNullSafe(F.col("kept")))
-    units = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", F.col("kept.doc_id").alias("kept")))).alias("units"))
+    first = keep(places.groupBy("id").agg(F.min(F.struct("doc_id", "at", "n")).alias("kept"), F.max(F.struct("doc_id")).alias("last"))
+                 .filter("struct(kept.doc_id) <> last").drop("last"), "paragraph-first")
+    gone = places.join(first, "id").filter(~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
+    pieces = gone.select("doc_id", "at", "n", F.col("kept.doc_id").alias("kept"), F.lit(1).alias("c"))
+    if extend:
+        gone = keep(gone, "paragraph-gone")
+        pieces = gone.select("doc_id", "at", "n", F.col("kept.doc_id").alias("kept"), F.lit(1).alias("c"))
+        whole = gone.filter("within < 0").select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at")).distinct()
+        left = gone.filter("within >= 0").join(whole, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("within") == F.col("_at")), "left_anti").join(own, "class")
+        left = left.withColumn("other", F.when(F.col("own.doc_id").eqNullSafe(F.col("doc_id")), F.col("kept")).otherwise(F.col("own")))
+        pieces = pieces.union(_extended(docs, left).withColumn("c", F.lit(0)))
+    units = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "kept", "c"))).alias("units"))
     runs = F.aggregate(
         "units", F.expr("cast(array() as array<struct<at:int,last:int,units:int,kept:bigint>>)"),
         lambda a, u: F.when(
             (F.size(a) > 0) & (u["at"] - F.try_element_at(a, F.lit(-1))["last"] <= MIN_WORDS),
             F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(
                 F.try_element_at(a, F.lit(-1))["at"].alias("at"), F.greatest(u["at"] + u["n"] - 1, F.try_element_at(a, F.lit(-1))["last"]).alias("last"),
-                (F.try_element_at(a, F.lit(-1))["units"] + 1).alias("units"), F.least(F.try_element_at(a, F.lit(-1))["kept"], u["kept"]).alias("kept")))),
-        ).otherwise(F.concat(a, F.array(F.struct(u["at"].alias("at"), (u["at"] + u["n"] - 1).alias("last"), F.lit(1).alias("units"), u["kept"].alias("kept"))))))
+                (F.try_element_at(a, F.lit(-1))["units"] + u["c"]).alias("units"), F.least(F.try_element_at(a, F.lit(-1))["kept"], u["kept"]).alias("kept")))),
+        ).otherwise(F.concat(a, F.array(F.struct(u["at"].alias("at"), (u["at"] + u["n"] - 1).alias("last"), u["c"].alias("units"), u["kept"].alias("kept"))))))
     out = units.select("doc_id", F.explode(runs).alias("r"))
     return out.select("doc_id", F.col("r.at").alias("first_word"), F.col("r.last").alias("last_word"), (F.col("r.last") - F.col("r.at") + 1).alias("n_words"),
                       F.col("r.units").alias("n_units"), F.col("r.kept").alias("kept_doc_id")).filter(F.col("n_words") >= passage)

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_passages(_table(spark, sf_dir, "documents"))
+    return paragraphs.repeated_passages(_table(spark, sf_dir, "documents"), extend=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
