@@ -52,6 +52,7 @@ ARTICLE_WORDS = frozenset(("article", "post", "entry", "story", "content", "titl
 # Of DROP_WORDS, those that also name wrappers of a whole page.
 WRAPPER_WORDS = frozenset("header banner widget widgets share social form forms alert modal overlay popup paywall skip".split())
 KEEP_TAGS = frozenset("html body main article".split())
+WRAPS = 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -60,7 +61,7 @@ _PUNCT = re.compile(r"[.,;:!?…。，、！？；]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "drop", "holds_main", "in_main")
+    __slots__ = ("tag", "path", "parent", "drop", "holds_main", "in_main")      # drop: 1 by a word, 2 hidden, 3 by a wrapper's word, 4 by tag or role
 
     def __init__(self, tag, path, parent, drop, in_main):
         self.tag, self.path, self.parent, self.drop, self.in_main, self.holds_main = tag, path, parent, drop, in_main, False
@@ -73,9 +74,11 @@ def _open(tag: str, attrs: str, parent: _Element) -> _Element:
     in_main = parent.in_main or tag in ("article", "main") or got.get("role", "").lower() == "main" or "articlebody" in got.get("itemprop", "").lower()
     drop = 0
     if tag in DROP_TAGS or (tag == "header" and not parent.in_main) or got.get("role", "").lower() in DROP_ROLES:
+        drop = 4
+    if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
         drop = 2
-    elif "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
-        drop = 2
+    elif drop:
+        pass
     elif tag not in KEEP_TAGS:
         hit = words & (DROP_WORDS - HEADER_WORDS if parent.in_main or words & ARTICLE_WORDS else DROP_WORDS)
         drop = 0 if not hit else 3 if hit <= WRAPPER_WORDS else 1
@@ -168,7 +171,14 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
 
 
 def _spare_wrappers(blocks: list[tuple[_Element, str, int]]) -> None:
-    """Keep elements that only a wrapper's word marks when they hold more than half of the text."""
+    """Keep elements that are marked but wrap the page.
+
+    One that only a wrapper's word marks is kept when it holds more than half
+    of the text. One that another word, its tag or its role marks is kept when
+    it holds more than half of the prose and, without the marked elements
+    inside it, ``WRAPS`` times the text that would be left without it; no
+    prose of that may stand in an article or main element.
+    """
     chars: dict[int, int] = {}
     marked: dict[int, _Element] = {}
     for e, text, _ in blocks:
@@ -181,11 +191,44 @@ def _spare_wrappers(blocks: list[tuple[_Element, str, int]]) -> None:
     for k, e in marked.items():
         if 2 * chars[k] > total:
             e.drop = 0
+    # other marks, by the text that isn't mostly links; prose is what of it has punctuation
+    plain = [(e, len(text), len(text) if _PUNCT.search(text) else 0) for e, text, links in blocks if 2 * links < len(text)]
+    mass: dict[int, int] = {}
+    wraps: dict[int, tuple[_Element, int]] = {}
+    above = {}
+    for e, _, n in plain:
+        if id(e) not in above:
+            above[id(e)] = _above(e)
+        for depth, up in enumerate(reversed(above[id(e)])):
+            mass[id(up)] = mass.get(id(up), 0) + n
+            if up.drop in (1, 4):
+                wraps[id(up)] = up, depth
+    total = sum(n for _, _, n in plain)
+    for e, _ in sorted((w for k, w in wraps.items() if 2 * mass[k] > total), key=lambda w: -w[1]):
+        over = {id(up) for up in _above(e)}
+        own = rest = 0
+        for b, size, n in plain:
+            marks = {id(up) for up in above[id(b)] if up.drop}
+            if marks <= over:
+                if any(up is e for up in above[id(b)]):
+                    own += n
+                else:
+                    rest += size + (total if n and b.in_main else 0)
+        if own and own >= WRAPS * rest:
+            e.drop = 0
+
+
+def _above(e: _Element | None) -> list[_Element]:
+    out = []
+    while e is not None:
+        out.append(e)
+        e = e.parent
+    return out
 
 
 def _dropped(e: _Element) -> bool:
     while e is not None:
-        if e.drop == 2 or (e.drop and not e.holds_main):
+        if e.drop in (2, 4) or (e.drop and not e.holds_main):
             return True
         e = e.parent
     return False
