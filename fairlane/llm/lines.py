@@ -13,6 +13,9 @@ second longest. So a line travels at most twice, and its variants are hashed
 and sorted by the task that holds the word's bucket. Equal lines of one batch
 travel once, by their earliest place; a line of which the corpus is full
 reaches a bucket once per batch.
+
+Lines of fewer than ``MIN_WORDS`` words have no variants but themselves: on
+request they take part in the match of equal lines.
 """
 
 from __future__ import annotations
@@ -81,22 +84,22 @@ class _Lines:
             return mix(rest * self.inv[lo] + (hi - lo - 1).astype(U64) * U64(0x9E3779B1))
 
 
-def _batch_lines(chunk) -> tuple[_Lines, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of MIN_WORDS words or more: (lines, text number, line number, selected, bytes)."""
+def _batch_lines(chunk, least: int = MIN_WORDS) -> tuple[_Lines, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of ``least`` words or more: (lines, text number, line number, selected, bytes)."""
     data, off = bytes_of(chunk.column("text"))
     feed = np.flatnonzero(data == 10)
     # a line's number over the whole chunk: texts and line feeds before it
     ln = _Lines(data, off, lambda start, owner: np.searchsorted(feed, start, "right") + owner)
     text = np.searchsorted(off[1:], ln.start[ln.lo], "right") if len(ln.lo) else np.zeros(0, np.int64)
     number = ln.line - text - np.searchsorted(feed, off[:-1][text], "left")
-    return ln, text, number, np.flatnonzero(ln.n >= MIN_WORDS), data
+    return ln, text, number, np.flatnonzero(ln.n >= least), data
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line_no, h1, h2) of every line that takes part."""
     def place(batches):
         for chunk in chunks(batches):
-            ln, text, number, sel, _ = _batch_lines(chunk)
+            ln, text, number, sel, _ = _batch_lines(chunk, least)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id").take(pa.array(text[sel])), pa.array(number[sel].astype(np.int32)), long(ln.whole()[sel]), long(ln.whole(7)[sel])],
                 ["doc_id", "line_no", "h1", "h2"])
@@ -173,13 +176,14 @@ def _join_variants(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(out, schema=NEAR)
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per dropped line: doc_id, line_no (from 0), kept_doc_id, kept_line_no, near.
 
     Lines are cut at line feeds; words at ASCII white space, A-Z as a-z. A
     line of ``MIN_WORDS`` words or more is dropped when an earlier line, by
     (doc_id, line_no), matches it; the earliest matching line found is given,
-    and near tells that the two differ. A null id counts as the smallest; rows
+    and near tells that the two differ. With ``short`` a line of fewer words
+    (one at least) is dropped when an earlier line equals it. A null id counts as the smallest; rows
     that repeat an id are the same document, so lines of equal number in them
     don't drop each other. Null and empty texts have no lines; other columns
     are not read; an empty table gives no row.
@@ -189,7 +193,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = parts_for(2 * text_bytes(docs), BUCKET_BYTES)
     near = _travel(docs, buckets).groupBy("bucket").applyInArrow(_join_variants, "h1 long, h2 long, doc_id long, line_no int")
     near = keep(near.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("near")), "lines-near")
-    places = keep(_places(docs), "lines-places")
+    places = keep(_places(docs, 1 if short else MIN_WORDS), "lines-places")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = first.join(near, ["h1", "h2"], "left").filter("c > 1 OR near IS NOT NULL")
     hit = places.join(first, ["h1", "h2"]).withColumn("here", F.struct("doc_id", "line_no"))
@@ -198,9 +202,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return hit.select("doc_id", "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"), F.col("near").isNotNull().alias("near"))
 
 
-def without_duplicate_lines(docs: DataFrame) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, n_chars, ...) without the dropped lines; a document that loses all its words goes."""
-    dropped = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc_id", "_doc")
+    dropped = duplicate_lines(docs, short=short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc_id", "_doc")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
     rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_doc"]), "left").withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left))
     rows = rows.filter(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

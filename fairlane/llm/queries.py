@@ -47,7 +47,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.duplicate_lines(_table(spark, sf_dir, "documents"))
+    return lines.duplicate_lines(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
