@@ -1,6 +1,6 @@
 """Licence scan by canonical digests. Built-in functions only.
 
-A text is brought to a canonical form: copyright lines go, letters are
+A text is brought to a canonical form: lines that state a copyright go, letters are
 lower-cased, equivalent spellings are made one, and everything but letters and
 digits becomes one blank. The digest of the whole canonical text is joined to
 the digests of known licence texts and notices; the same is done for each
@@ -62,8 +62,9 @@ KNOWN = (
 
 BROADCAST_ROWS = 100_000        # known digests: about 100 bytes each
 
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?im)^[^\S\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A line that states a copyright: the word or (c) with a sign, a year, a place for one or all rights reserved, or the sign.
+COPYRIGHT_LINE = (r"(?im)^[^\S\n]*(?:copyright[^\S\n]*[:,]?[^\S\n]*(?:\(c\)|©|&copy;|[\[<{]|[0-9]{4})|copyright[^\n]*all rights reserved|"
+                  r"\(c\)[^\S\n]*(?:copyright|[\[<{]|[0-9]{4})|©)[^\n]*$")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
