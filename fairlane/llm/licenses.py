@@ -9,6 +9,9 @@ line, since most documents only carry a notice line.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,37 @@ _ISC = (
     "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
     "PERFORMANCE OF THIS SOFTWARE."
 )
+
+
+def _whole_texts(folder: Path = Path(__file__).parent / "license_texts") -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the files ID.txt and ID_other.txt, as they are and in the forms in which they are usually given."""
+    out = []
+    for file in sorted(folder.glob("*.txt")):
+        name, text = file.stem.split("_")[0], file.read_text(encoding="utf-8")
+        forms = [text]
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        if end:         # without the advice on how to apply the licence
+            forms += [text[:end.end()], text[:end.start()]]
+        if name.startswith("BSD"):
+            title = name.replace("-", " ", 1).replace("-Clause", "-Clause License")
+            bare = text[text.index("Redistribution and use"):]
+            bare = [f(x) for x in (bare, re.sub(r"(?m)^\d\. ", "* ", bare)) for f in (str, lambda x: x.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))]
+            forms = [h + r + x for x in bare for h in ("", f"{title}\n\n") for r in ("", "All rights reserved.\n\n")]
+        if name == "Unlicense":
+            forms += [text[:text.index("For more information")], text.replace("http://unlicense.org/", "https://unlicense.org")]
+        if name == "Zlib":
+            forms += ["zlib License\n\n" + text, "The zlib/libpng License\n\n" + text]
+        out += [(name, x) for x in dict.fromkeys(forms)]
+        out += [(as_name, text[text.index(a):text.index(b) + len(b)]) for as_name, of, a, b in _NOTICES if of == file.stem]
+    return tuple(out)
+
+
+# The notices that whole licence texts recommend: (licence of the notice, file, beginning, end).
+_NOTICES = (
+    ("Apache-2.0", "Apache-2.0", "Licensed under the Apache License, Version 2.0 (the", "limitations under the License."),
+    ("GPL-2.0-or-later", "GPL-2.0", "This program is free software; you can redistribute", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("GPL-3.0-or-later", "GPL-3.0", "This program is free software: you can redistribute", "along with this program.  If not, see <https://www.gnu.org/licenses/>."),
+)
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC),
@@ -58,6 +92,7 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *_whole_texts(),
 )
 
 BROADCAST_ROWS = 100_000        # known digests: about 100 bytes each
