@@ -6,9 +6,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlane.llm import decontam, html_text, jaccard, language, licenses, lines, packing, paragraphs, pivots, toxicity
+from fairlane.llm import (collocations, decontam, html_text, jaccard, language, licenses, lines, packing, paragraphs, pivots, repair,
+                          sentencepieces, toxicity)
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +60,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(sentencepieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_decoded=True))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = (op1_substring_dedup, op2_toxicity, op3_html_extraction, op4_license_scan, op5_embedding_near_dedup, op6_language_id,
-           op7_benchmark_decontamination, op8_line_dedup, op9_ngram_jaccard_join, op10_packing)
+           op7_benchmark_decontamination, op8_line_dedup, op9_ngram_jaccard_join, op10_packing, op11_sentencepiece, op12_phrase_collocations,
+           op13_conversation_repair)
 
 
 def queries() -> dict:
@@ -67,4 +82,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op7_benchmark_decontamination": decontam.SQL}
+    return {"op4_license_scan": licenses.sql(), "op7_benchmark_decontamination": decontam.SQL,
+            "op12_phrase_collocations": collocations.SQL, "op13_conversation_repair": repair.SQL}
