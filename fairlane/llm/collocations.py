@@ -46,6 +46,7 @@ def phrase_counts(docs: DataFrame, least: int = 10) -> DataFrame:
     """(lang, phrase, k, f): phrases of k = 1 to 3 words that occur ``least`` times or more in their language,
     and with k = 0 and an empty phrase the number of all its words."""
     counted = windows(docs).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("window")).groupBy("lang", "window").agg(F.count("*").alias("f"))
+    counted = keep(counted, "phrase-windows")           # read twice; the shuffle above goes once it is written
     w = F.split("window", " ")
     tops = counted.select("lang", "f", "window", w[0].alias("w1"), F.coalesce(F.get(w, F.lit(1)), F.lit("")).alias("w2"), F.size(w).alias("k"))
     # after the rollup a null is a summed column, "" the end of a piece

@@ -20,6 +20,7 @@ from fairlane.session import checkpoint_dir
 U64 = np.uint64
 CHUNK_BYTES = 3 << 20           # text hashed at once inside a task
 BATCH_BYTES = 32 << 20          # Arrow batch sent to a Python worker
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -45,10 +46,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks it was running.
+    The shuffle files of the write go with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
