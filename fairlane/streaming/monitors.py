@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import safe_div
+from fairlane.operators._util import as_list, safe_div
+from fairlane.operators.prefix import ordered_prefix_sums
 from fairlane.session import checkpoint_dir
 from fairlane.sources.tables import hash_bucket
 
@@ -104,17 +105,17 @@ AUC_LIMIT, ACCURACY_LIMIT, F1_LIMIT, AUC_DROP = 0.75, 0.90, 0.85, 0.05
 
 
 def performance_by_window(counts: DataFrame, auc_limit: float = AUC_LIMIT, accuracy_limit: float = ACCURACY_LIMIT,
-                          f1_limit: float = F1_LIMIT) -> DataFrame:
+                          f1_limit: float = F1_LIMIT, by=None) -> DataFrame:
     """X3 step 3: exact AUC (ties averaged), accuracy and F1 at 0.5 and the
-    retrain flag per window, from the counts per (window, score). A window of
-    one class only has no AUC, which is no reason to retrain."""
-    from fairlane.operators.prefix import ordered_prefix_sums
-    c = ordered_prefix_sums(counts, ["window_start", "window_end"], "score", ["neg"])
+    retrain flag per window (and ``by``), from the counts per (window, score).
+    A window of one class only has no AUC, which is no reason to retrain."""
+    keys = ["window_start", "window_end", *as_list(by)]
+    c = ordered_prefix_sums(counts, keys, "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     hit, miss = F.sum(F.when(F.col("score") >= 0.5, F.col("pos"))), F.sum(F.when(F.col("score") < 0.5, F.col("pos")))
     false = F.sum(F.when(F.col("score") >= 0.5, F.col("neg")))
     tp, fn, fp = (F.coalesce(x, F.lit(0)).cast("double") for x in (hit, miss, false))
-    g = c.groupBy("window_start", "window_end").agg(
+    g = c.groupBy(*keys).agg(
         safe_div(F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0))),
                  F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
         safe_div(F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("neg"))),
