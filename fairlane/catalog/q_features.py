@@ -218,6 +218,22 @@ def serving_defaults(spark, d):
     return out
 
 
+@register("f14_serving_defaults_all", sql="SELECT application_id, coalesce(CAST(loan_term AS DOUBLE), 360e0) AS loan_term, " + ", ".join(
+    f"{v!r}e0 AS {c}" for c, v in fx.SERVING_DEFAULTS.items() if c != "loan_term") + " FROM applications")
+def serving_defaults_all(spark, d):
+    """All fifteen constants; the term is carried by the request."""
+    return fx.serving_defaults(applications(spark, d).select("application_id", F.col("loan_term").cast("double").alias("loan_term")))
+
+
+@register("f20_housing_band", dbl=["her"], ctes=FEAT_CTE, sql=f"""
+WITH p AS (SELECT application_id, CASE WHEN income > 0 THEN {PAY_SQL} * 12e0 / nullif(income, 0) * 100e0 ELSE 0e0 END AS her FROM feat)
+SELECT application_id, her, CASE WHEN her < 28 THEN 'Ideal' WHEN her <= 33 THEN 'Acceptable' WHEN her <= 36 THEN 'Elevated'
+                                 WHEN her IS NOT NULL THEN 'High' END AS band FROM p""")
+def housing_band(spark, d):
+    her = fx.payment_share_of_income("loan_amount", "interest_rate", "loan_term", "income")
+    return applications(spark, d).select("application_id", her.alias("her"), fx.housing_band(her).alias("band"))
+
+
 @register("f16_decide", dbl=["score", "confidence"], sql="""
 SELECT application_id, model, score, CASE WHEN score >= 0.5 THEN 'Approved' ELSE 'Denied' END AS decision,
        abs(score - 0.5e0) * 200e0 AS confidence,
@@ -334,3 +350,25 @@ def what_if(spark, d):
     g = joins.what_if_grid(base, "interest_rate", 3.0, 7.0, 0.5)
     return g.select("application_id", "value",
                     fx.monthly_payment("loan_amount", "interest_rate", "loan_term").alias("monthly_payment"))
+
+
+@register("f19_explanation_block", sql="""
+WITH v AS (SELECT *, floor((score - 0.5e0) * 100e0) / 100e0 AS v FROM predictions)
+SELECT application_id, model, concat_ws(chr(10),
+  '📋 LOAN DECISION: ' || CASE WHEN score >= 0.5 THEN 'APPROVED' ELSE 'DENIED' END,
+  printf('   Approval Probability: %.1f%%', round(score * 1000e0) / 10e0),
+  printf('   Confidence Level: %.0f%%', round(abs(score - 0.5e0) * 200e0)), '',
+  CASE WHEN score >= 0.5 THEN '✅ FACTORS SUPPORTING APPROVAL:' ELSE '⚠️ RISK FACTORS / CONCERNS:' END,
+  printf(CASE WHEN score >= 0.5 THEN '   • Model Score (impact: +%.3f)' ELSE '   • Model Score (impact: -%.3f)' END, round(abs(v) * 1000e0) / 1000e0), '',
+  '💡 RECOMMENDATION: ' || CASE WHEN score * 100e0 >= 75 THEN 'Strong candidate for approval'
+    WHEN score * 100e0 >= 50 THEN 'Review required - borderline case'
+    WHEN score * 100e0 >= 25 THEN 'High risk - consider additional documentation'
+    ELSE 'Likely denial - significant risk factors present' END) AS text
+FROM v""")
+def explanation_block(spark, d):
+    p = predictions(spark, d)
+    fac = F.array(F.struct(F.lit("model_score").alias("feature"), (F.floor((F.col("score") - 0.5) * 100.0) / 100.0).alias("value")))
+    empty = F.array().cast("array<struct<feature:string,value:double>>")
+    p = p.withColumn("top_positive", F.when(F.col("score") >= 0.5, fac).otherwise(empty)) \
+         .withColumn("top_negative", F.when(F.col("score") < 0.5, fac).otherwise(empty))
+    return p.select("application_id", "model", fx.explanation_block("score").alias("text"))

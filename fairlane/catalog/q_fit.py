@@ -134,6 +134,20 @@ def hash_enc(spark, d):
     return encode.hash_encode(a, "state_code", 8).drop("state_code")
 
 
+HASHED = (("state_code", 16), ("risk_band", 5), ("county_code", 32))
+
+
+@register("m05_hash_encode_columns", sql="SELECT application_id, " + ", ".join(
+    f"CASE WHEN {hash_bucket_sql('h', c, n)} = {i} THEN CASE WHEN {hash_bucket_sql('s', c, 2)} = 0 THEN 1 ELSE -1 END ELSE 0 END AS {c}_h{i}"
+    for c, n in HASHED for i in range(n)) + " FROM applications")
+def hash_enc_columns(spark, d):
+    """State, band and county in 16, 5 and 32 buckets."""
+    a = applications(spark, d).select("application_id", *[c for c, _ in HASHED])
+    for c, n in HASHED:
+        a = encode.hash_encode(a, c, n)
+    return a.drop(*[c for c, _ in HASHED])
+
+
 @register("m06_standard_scale", dbl=["loan_amount", "interest_rate"], ctes=SPLIT_SQL + """,
 st AS (SELECT avg(loan_amount) AS ma, stddev_pop(loan_amount) AS sa_, avg(interest_rate) AS mr,
               stddev_pop(interest_rate) AS sr FROM sa WHERE split = 'train')""", sql="""

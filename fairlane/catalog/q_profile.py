@@ -194,6 +194,21 @@ def wide_categories(spark, d):
     return colops.wide_category_counts(applications(spark, d))
 
 
+@register("p13_wide_category_plan", sql=_union([
+    f"SELECT '{c}' AS \"column\", least(count(DISTINCT {c}), 51) AS n_distinct, count(DISTINCT {c}) > 50 AS dropped "
+    f"FROM applications" for c in TEXT]))
+def wide_category_plan(spark, d):
+    return colops.wide_category_plan(applications(spark, d))
+
+
+@register("p13_drop_wide_categories", sql="""
+SELECT application_id, action_taken, grp_a, grp_b, grp_c, state_code, risk_band FROM applications""")
+def drop_wide_categories(spark, d):
+    """Of the text columns, only the county has more than 50 labels."""
+    a = applications(spark, d).select("application_id", "action_taken", "grp_a", "grp_b", "grp_c", "state_code", "county_code", "risk_band")
+    return colops.drop_wide_categories(a)
+
+
 @register("p14_align_schema", dbl=["loan_amount"], sql="""
 SELECT application_id, loan_amount, 0 AS has_fha_flag, grp_a FROM applications""")
 def align(spark, d):

@@ -24,7 +24,7 @@ def fill_gaps(spark, d):
     a = applications(spark, d).where(F.col("grp_a").isNotNull()).select(
         "application_id", "grp_a", "income", "property_value")
     # Keys above 1,000 rows are split into ordered ranges (exercises the hot-key path).
-    return windows.fill_gaps(a, ["income", "property_value"], "application_id", "grp_a", min_rows=1000)
+    return windows.fill_gaps(a, ["income", "property_value"], "application_id", "grp_a", rows_per_range=1000)
 
 
 @register("w01_fill_gaps_null_key_by_time", dbl=["income"], sql="""
@@ -37,7 +37,7 @@ def fill_gaps_null_key(spark, d):
     a = applications(spark, d).select(
         "application_id", F.when(F.col("grp_b") != "ASIA", F.col("grp_b")).alias("grp_b"), "income",
         F.expr("timestamp'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, application_id * 7)").alias("seen"))
-    return windows.fill_gaps(a, ["income"], "seen", "grp_b", min_rows=1000).drop("seen")
+    return windows.fill_gaps(a, ["income"], "seen", "grp_b", rows_per_range=1000).drop("seen")
 
 
 @register("w02_rank_states", dbl=["rate"], sql="""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlane.session import written
+
 
 def as_list(x) -> list:
     if x is None:
@@ -70,3 +72,9 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def count_if(cond: Column) -> Column:
     return F.count_if(cond)
+
+
+def with_constants(df: DataFrame, *aggs: Column) -> tuple:
+    """``df``, written once, and aggregates over all its rows as constants."""
+    t = written(df, "grouped")
+    return (t, *t.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).first())

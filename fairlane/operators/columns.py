@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlane.operators._util import as_list, not_null_all, string_columns
+from fairlane.operators.quantiles import fitted_quantiles
 
 # Outcome text (lower case) → label; 1 = decision to lend,
 # 0 = denial, null = not an underwriting decision.
@@ -217,25 +220,33 @@ def select_features(df: DataFrame, exclude_terms=PROTECTED_TERMS + ID_TERMS + OU
     return df.select(*cols)
 
 
-def wide_category_plan(df: DataFrame, limit: int = 50, cols=None, rsd: float = 0.05) -> DataFrame:
-    """P13 decision table: distinct labels per text column; dropped above ``limit``.
+def wide_category_plan(df: DataFrame, limit: int = 50, cols=None) -> DataFrame:
+    """P13 decision table (column, n_distinct, dropped): non-null labels per
+    text column, exact up to ``limit``; any more are given as ``limit`` + 1.
 
-    ``approx_count_distinct`` screens every column in one pass; only columns
-    whose estimate is within the error band of the limit get an exact count,
-    so the exact pass (a shuffle of values) runs on few columns.
+    A saturating count: a task keeps at most ``limit`` + 1 labels of a column
+    and sends no more than these, so a column of any width costs a few rows a
+    task, and a column within the limit sends every label it has.
     """
     cols = as_list(cols) or string_columns(df)
-    approx = df.agg(*[F.approx_count_distinct(F.col(c), rsd).alias(c) for c in cols]).first()
-    near = [c for c in cols if abs(approx[c] - limit) <= max(3 * rsd * limit, 2)]
-    exact = {}
-    if near:
-        long = df.select(*near).unpivot([], near, "column", "value").where(F.col("value").isNotNull())
-        for r in long.distinct().groupBy("column").count().collect():
-            exact[r["column"]] = r["count"]
-    spark = df.sparkSession
-    rows = [(c, int(exact.get(c, approx[c])), c in exact) for c in cols]
-    plan = spark.createDataFrame(rows, "column string, n_distinct long, exact boolean")
-    return plan.withColumn("dropped", F.col("n_distinct") > F.lit(limit))
+
+    def few(batches):
+        seen = {c: pa.array([], pa.string()) for c in cols}
+        for batch in batches:
+            for c in cols:
+                if len(seen[c]) <= limit:
+                    labels = pc.drop_null(pc.unique(batch.column(c))).cast(pa.string())
+                    seen[c] = pc.unique(pa.concat_arrays([seen[c], labels])).slice(0, limit + 1)
+        names = pa.array([c for c in cols for _ in range(len(seen[c]))], pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.concat_arrays([seen[c] for c in cols])], ["column", "value"])
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long, dropped boolean")
+    labels = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).mapInArrow(few, "column string, value string")
+    found = labels.distinct().groupBy("column").agg(F.count("value").alias("n"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    n = F.least(F.coalesce(F.col("n"), F.lit(0)), F.lit(limit + 1)).cast("bigint")
+    return every.join(found, "column", "left").select("column", n.alias("n_distinct"), (n > F.lit(limit)).alias("dropped"))
 
 
 def wide_category_counts(df: DataFrame, cols=None, limit: int = 50) -> DataFrame:
@@ -274,11 +285,12 @@ def plot_domain_filters(df: DataFrame, income_max: float = 500_000.0, amount_q:
                         ratio_col: str | None = None, ratio_max: float = 5.0,
                         approx: bool = False) -> DataFrame:
     """Income below a cap, amount below its ``amount_q`` quantile (a
-    scalar sub-query), optional ratio below a cap."""
-    pq = (F.percentile_approx("loan_amount", amount_q, 10000) if approx
-          else F.percentile(F.col("loan_amount"), F.lit(amount_q)))
-    q = df.agg(pq.alias("q")).select("q").scalar()
-    cond = (F.col("income") < F.lit(income_max)) & (F.col("loan_amount") < q)
+    constant of one fit), optional ratio below a cap."""
+    if approx:
+        q = df.agg(F.percentile_approx("loan_amount", amount_q, 10000)).first()[0]
+    else:
+        q = next(iter(fitted_quantiles(df, "loan_amount", [amount_q])["loan_amount"]), None)
+    cond = (F.col("income") < F.lit(income_max)) & (F.col("loan_amount") < F.lit(q).cast("double"))
     if ratio_col:
         cond = cond & (F.col(ratio_col) < F.lit(ratio_max))
     return df.where(cond)

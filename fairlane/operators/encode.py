@@ -14,7 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div
+from fairlane.operators._util import as_list, safe_div, with_constants
+from fairlane.operators.prefix import ordered_prefix_sums
+from fairlane.operators.quantiles import fitted_quantiles
+from fairlane.session import written
 from fairlane.sources.tables import hash_bucket
 
 
@@ -38,12 +41,13 @@ def fit_median_imputer(train: DataFrame, cols, max_null_share: float | None = 0.
     """M1: medians of the training rows; an all-null column gets 0; a column
     above ``max_null_share`` nulls is skipped unless in ``keep``."""
     cols = as_list(cols)
-    q = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double")) if approx else \
-        (lambda c: F.percentile(F.col(c).cast("double"), F.lit(0.5)))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [q(c).alias(f"_m{i}"), F.count(F.col(c)).alias(f"_c{i}")]
+        aggs.append(F.count(F.col(c)).alias(f"_c{i}"))
+        if approx:
+            aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(f"_m{i}"))
     row = train.agg(*aggs).first()
+    medians = {c: [row[f"_m{i}"]] for i, c in enumerate(cols)} if approx else fitted_quantiles(train, cols, [0.5])
     values, skipped = {}, []
     for i, c in enumerate(cols):
         n, nn = row["_n"], row[f"_c{i}"]
@@ -51,7 +55,7 @@ def fit_median_imputer(train: DataFrame, cols, max_null_share: float | None = 0.
         if max_null_share is not None and share > max_null_share and c not in keep:
             skipped.append(c)
             continue
-        m = row[f"_m{i}"]
+        m = next(iter(medians[c]), None)
         values[c] = float(m) if m is not None else 0.0
     return ImputerModel(values, skipped)
 
@@ -94,10 +98,9 @@ def fit_one_hot(train: DataFrame, cols, max_labels: int = 10, drop_first: bool =
 def fit_quantile_one_hot(train: DataFrame, col: str, n_bins: int = 4, approx: bool = False):
     """``n_bins`` quantile bins (edges from one aggregate), one 0/1 column per bin."""
     ps = [i / n_bins for i in range(1, n_bins)]
-    arr = F.array(*[F.lit(p) for p in ps])
-    q = F.percentile_approx(col, arr, 10000) if approx else F.percentile(F.col(col), arr)
-    edges = [float(v) for v in train.agg(q.alias("q")).first()["q"] or []]
-    return QuantileBins(col, edges)
+    if approx:
+        return QuantileBins(col, [float(v) for v in train.agg(F.percentile_approx(col, ps, 10000)).first()[0] or []])
+    return QuantileBins(col, fitted_quantiles(train, col, ps)[col])
 
 
 @dataclass
@@ -128,31 +131,29 @@ def target_encode_out_of_fold(train: DataFrame, key: str, label: str = "target",
     """M3 (out-of-fold): each training row gets the smoothed label mean of its
     key computed WITHOUT its own fold, so its own label never leaks in.
 
-    One grouped pass per (key, fold) – tiny – then totals per key by a window
-    on that table, subtraction of the own fold, and a join back on
-    (key, fold). A hot key is pre-aggregated map-side like any other.
+    One grouped pass per (key, fold), pre-aggregated map-side; the folds of a
+    key become one map in its row, so that all rows are joined once, on the
+    key. The fold totals of the out-of-fold prior are constants.
     """
     out = out or f"{key}_te"
     t = train.withColumn("_fold", hash_bucket(seed, F.col(id_col), folds).cast("int"))
-    lab = t.where(F.col(label).isNotNull())
-    g = lab.groupBy(key, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_c"))
-    w = Window.partitionBy(key)
-    g = g.withColumn("_ts", F.sum("_s").over(w)).withColumn("_tc", F.sum("_c").over(w))
+    g = written(t.where(F.col(label).isNotNull()).groupBy(key, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_c")), "folds")
+    totals = {r["_fold"]: (r["s"], r["c"]) for r in g.groupBy("_fold").agg(F.sum("_s").alias("s"), F.sum("_c").alias("c")).collect()}
+    s_all, c_all = sum(s for s, _ in totals.values()), sum(c for _, c in totals.values())
     # The prior is out-of-fold too: all labels less those of the row's fold.
-    fold_tot = lab.groupBy("_fold").agg(F.sum(label).alias("_fs"), F.count(label).alias("_fc"))
-    all_w = Window.partitionBy()
-    fold_tot = fold_tot.select("_fold", safe_div(F.sum("_fs").over(all_w) - F.col("_fs"),
-                                                 F.sum("_fc").over(all_w) - F.col("_fc")).alias("_p"))
-    # Folds of a key that hold no labelled row still need the key's totals.
-    keys = g.select(key, "_ts", "_tc").distinct()
+    p = F.lit(None).cast("double")
+    for fold in range(folds):
+        s, c = totals.get(fold, (0, 0))
+        p = F.when(F.col("_fold") == fold, F.lit(float(s_all - s) / float(c_all - c) if c_all > c else None).cast("double")).otherwise(p)
+    per = g.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"),
+        F.map_from_entries(F.collect_list(F.struct("_fold", F.struct("_s", "_c")))).alias("_own"))
+    own = F.try_element_at("_own", F.col("_fold"))
     m = F.lit(float(smoothing))
-    enc = (t.join(keys, key, "left").join(g.select(key, "_fold", "_s", "_c"), [key, "_fold"], "left")
-           .join(fold_tot, "_fold", "left"))
-    p = F.col("_p")
-    s_out = F.col("_ts") - F.coalesce(F.col("_s"), F.lit(0))
-    c_out = F.col("_tc") - F.coalesce(F.col("_c"), F.lit(0))
+    s_out = F.col("_ts") - F.coalesce(own["_s"], F.lit(0))
+    c_out = F.col("_tc") - F.coalesce(own["_c"], F.lit(0))
     val = F.coalesce(safe_div(s_out + p * m, c_out + m), p)
-    return enc.select(*train.columns, val.alias(out))
+    return t.join(per, key, "left").select(*train.columns, val.alias(out))
 
 
 def fit_target_encoder(train: DataFrame, key: str, label: str = "target", smoothing: float = 10.0) -> DataFrame:
@@ -235,14 +236,12 @@ def class_weights(df: DataFrame, label: str = "target", group: str | None = None
     pass on a tiny table joined back."""
     lab = df.where(F.col(label).isNotNull())
     if group is None:
-        g = lab.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-        w = Window.partitionBy()
-        g = g.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w).cast("double") * F.col("_nc"))).alias(out))
+        g, n, k = with_constants(lab.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")), F.sum("_nc"), F.count(F.lit(1)))
+        g = g.select(label, (F.lit(float(n or 0)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
         return df.join(g, label, "left")
     lab = lab.where(F.col(group).isNotNull())
-    g = lab.groupBy(group, label).agg(F.count(F.lit(1)).alias("_nay"))
-    all_ = Window.partitionBy()
-    g = (g.withColumn("_n", F.sum("_nay").over(all_))
+    g, n = with_constants(lab.groupBy(group, label).agg(F.count(F.lit(1)).alias("_nay")), F.sum("_nay"))
+    g = (g.withColumn("_n", F.lit(n))
           .withColumn("_na", F.sum("_nay").over(Window.partitionBy(group)))
           .withColumn("_ny", F.sum("_nay").over(Window.partitionBy(label))))
     g = g.select(group, label, (F.col("_na").cast("double") * F.col("_ny") / (F.col("_n").cast("double") * F.col("_nay"))).alias(out))
@@ -253,8 +252,8 @@ def class_weights(df: DataFrame, label: str = "target", group: str | None = None
 
 def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Label → 0-based alphabetical index over the distinct labels
-    (``dense_rank`` on the small distinct table, joined back)."""
+    (a prefix sum over the distinct labels, joined back)."""
     out = out or f"{col}_idx"
-    labels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    idx = labels.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
+    labels = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    idx = ordered_prefix_sums(labels, [], col, ["_one"]).select(col, (F.col("cum__one") - 1).cast("int").alias(out))
     return df.join(idx, col, "left")

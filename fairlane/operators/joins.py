@@ -10,6 +10,8 @@ literals inside the projection, so they need no join at all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +44,15 @@ def attach_protected(preds: DataFrame, attrs: DataFrame, key: str = "application
 
 
 def split_overlap(splits: dict[str, DataFrame], key: str = "application_id") -> DataFrame:
-    """Rows shared by each pair of splits (must all be 0), via semi joins."""
+    """Rows shared by each pair of splits (must all be 0): rows of the left
+    one whose key the right one has. All pairs from one count per key and split."""
     names = list(splits)
-    out = None
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            n = (splits[a].select(key).join(splits[b].select(key), key, "left_semi")
-                 .agg(F.count(F.lit(1)).alias("shared"))
-                 .select(F.lit(a).alias("left"), F.lit(b).alias("right"), "shared"))
-            out = n if out is None else out.unionByName(n)
-    return out
+    tagged = reduce(DataFrame.union, [splits[s].select(F.col(key).alias("_k"), F.lit(i).alias("_s")) for i, s in enumerate(names)])
+    per = tagged.where(F.col("_k").isNotNull()).groupBy("_k").agg(*[F.count_if(F.col("_s") == i).alias(f"n{i}") for i in range(len(names))])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    row = per.agg(*[F.coalesce(F.sum(F.when(F.col(f"n{j}") > 0, F.col(f"n{i}"))), F.lit(0)).alias(f"p{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), F.col(f"p{i}_{j}").alias("shared")) for i, j in pairs]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def what_if_grid(base: DataFrame, param: str, start: float, stop: float, step: float,

@@ -1,114 +1,83 @@
-"""Two-level ordered prefix sums without a single-task window.
+"""Ordered prefix sums over any number of keys, without a task that holds a key.
 
-A running total over a whole ordered column is the core of exact AUC, ROC /
-PR curves and rank tests. ``Window.orderBy`` with no partition would pull
-every row into one task. Instead:
+A running total over an ordered column is the core of exact AUC, ROC / PR
+curves, rank tests and quantiles. A window over a key would sort all of its
+values in one task, and a window without keys the whole table. Instead:
 
 1. the caller pre-aggregates to one row per distinct order value (the input
-   here is a "counts per score" table, much smaller than the rows);
-2. approximate quantiles of the order value cut each partition key into
-   ``n_buckets`` ranges. The cut points are brought back once (at most
-   keys × n_buckets numbers) and put in the plan as literals, so every
-   recomputation after a lost executor assigns rows to the same bucket;
-3. running totals inside each (key, bucket) window, bucket totals in a tiny
-   table, exclusive running totals of those, joined back (AQE broadcasts the
-   bucket table, whose size is bounded by keys × n_buckets).
+   here is a "counts per value" table, much smaller than the rows); it is
+   written once, so that nothing above it runs again;
+2. if some key has more than ``ROWS_PER_RANGE`` rows, ONE global range
+   partitioning by (key, order) cuts the table into as many ranges as it has
+   that many rows. A hot key spans many ranges, rare keys share one. The range
+   of each row is written with it, so a recomputed task finds the same ranges;
+   no cut points come to the driver, however many keys there are;
+3. running totals inside each (range, key), totals of those, exclusive running
+   totals per key over its ranges, joined back.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fairlane.operators._util import as_list
+from fairlane.session import written
 
-
-def _cut_points(df: DataFrame, order: str, probs: list[float], n: int):
-    """Cut points of the order key in its own type: approximate quantiles, or
-    for types without them (text) a sample of ``n`` values drawn by hash."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.percentile_approx(order, probs, 1000)
-    h = F.xxhash64(order)
-    picks = [F.min_by(order, F.when(F.pmod(h, F.lit(n)) == i, F.xxhash64(F.lit(1), order))) for i in range(n)]
-    return F.array_sort(F.array_compact(F.array(*picks)))
-
-
-def _bucket_column(df: DataFrame, part: list[str], order: str, n_buckets: int, min_rows: int = 0):
-    """Bucket of each row within its key by literal cut points.
-
-    With ``min_rows`` only keys holding at least that many rows (the hot
-    ones, at most N / min_rows of them) are cut; every other key stays in
-    bucket 0, so the literal table stays small however many keys exist.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if n_buckets <= 1:
-        return F.lit(0)
-    src = df
-    if min_rows and part:
-        heavy = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).collect()
-        if not heavy:
-            return F.lit(0)
-        cond = None
-        for row in heavy:
-            c = None
-            for k in part:
-                e = F.col(k) == F.lit(row[k]) if row[k] is not None else F.col(k).isNull()
-                c = e if c is None else c & e
-            cond = c if cond is None else cond | c
-        src = df.where(cond)
-    cuts = (src.groupBy(*part)
-            .agg(_cut_points(src, order, probs, n_buckets).alias("_cuts"))
-            .collect())
-    kind = df.schema[order].dataType
-
-    def bucket_of(arr):
-        if not arr:
-            return F.lit(0)
-        return F.size(F.filter(F.array(*[F.lit(v).cast(kind) for v in arr]), lambda b: b < F.col(order)))
-    if not part:
-        return bucket_of(sorted(set(cuts[0]["_cuts"] or []))) if cuts else F.lit(0)
-    expr = None
-    for row in cuts:
-        cond = None
-        for k in part:
-            c = F.col(k) == F.lit(row[k]) if row[k] is not None else F.col(k).isNull()
-            cond = c if cond is None else cond & c
-        val = bucket_of(sorted(set(row["_cuts"] or [])))
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.otherwise(F.lit(0)) if expr is not None else F.lit(0)
+ROWS_PER_RANGE = 1_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet; the right side's keys are not kept."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str],
-                        n_buckets: int = 64, descending: bool = False, min_rows: int = 0) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum in ``order``) for each column.
+def ordered_ranges(df: DataFrame, part, order: str, rows_per_range: int | None = None, stored: bool = False) -> tuple[DataFrame, bool]:
+    """``df``, written (unless it is a ``stored`` table), with the number ``_b`` of its row's range, and whether there are several.
 
-    ``order`` must be unique within ``part`` (aggregate first).
+    Ranges ascend with ``order`` inside a key. Tables without a key of more
+    than ``rows_per_range`` rows are one range.
+    """
+    part, most = as_list(part), rows_per_range or ROWS_PER_RANGE
+    t = df if stored else written(df, "ordered")
+    n = heaviest = t.count()                             # from the footers of what was just written
+    if n > most and part:
+        heaviest = t.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if heaviest <= most:
+        return t.withColumn("_b", F.lit(0)), False
+    t = t.repartitionByRange(-(-n // most), *part, order).withColumn("_b", F.spark_partition_id())
+    return written(t, "ranges"), True
+
+
+def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str], descending: bool = False,
+                        totals: bool = False, rows_per_range: int | None = None) -> DataFrame:
+    """Add ``cum_<c>`` (inclusive running sum in ``order``) for each column,
+    and with ``totals`` its sum over the key as ``tot_<c>``.
+
+    ``order`` must be unique within ``part`` (aggregate first). Null keys are
+    a key like any other.
     """
     part = as_list(part)
-    b = _bucket_column(df, part, order, n_buckets, min_rows)
-    if descending:
-        b = F.lit(n_buckets) - b
-    t = df.withColumn("_b", b.cast("int"))
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    w_in = Window.partitionBy(*part, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in cols])
-    tot = t.groupBy(*part, "_b").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
-    w_off = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*part, "_b", *[F.coalesce(F.sum(f"_bt_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}")
-                                    for c in cols])
+    t, several = ordered_ranges(df, part, order, rows_per_range)
+
+    def by(c):
+        return F.col(c).desc() if descending else F.col(c).asc()
+    w = Window.partitionBy(*part, *(["_b"] if several else []))
+    run = w.orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("*", *[F.sum(c).over(run).alias(f"_in_{c}") for c in cols],
+                 *([F.sum(c).over(w).alias(f"_all_{c}") for c in cols] if totals and not several else []))
+    if not several:
+        return t.select(*df.columns, *[F.col(f"_in_{c}").alias(f"cum_{c}") for c in cols],
+                        *([F.col(f"_all_{c}").alias(f"tot_{c}") for c in cols] if totals else []))
+    sums = t.groupBy(*part, "_b").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
+    before = Window.partitionBy(*part).orderBy(by("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    off = sums.select(*part, "_b", *[F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols],
+                      *[F.sum(f"_bt_{c}").over(whole).alias(f"tot_{c}") for c in cols if totals])
     j = null_safe_join(t, off, [*part, "_b"])
-    out_cols = [c for c in df.columns] + [(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
-                                          for c in cols]
-    return j.select(*out_cols)
+    return j.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],
+                    *([f"tot_{c}" for c in cols] if totals else []))

@@ -30,8 +30,11 @@ def _long_strings(df: DataFrame, cols: list[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, cols=None, dropna: bool = True, exact: bool = True) -> DataFrame:
     """Distinct values per column: ``(column, n_distinct)``.
 
-    Exact form: unpivot → distinct (column, value) → count per column; with
-    ``dropna=False`` a null counts as one more value (pandas ``nunique(dropna=False)``).
+    Exact form: each value goes as its column's number and 128 hash bits of
+    the value in its own type, distinct pairs are counted per column (two
+    different values of a column meet with a chance of 2^-128). With
+    ``dropna=False`` a null counts as one more value (pandas
+    ``nunique(dropna=False)``).
     """
     cols = as_list(cols) or df.columns
     if not exact:
@@ -41,10 +44,14 @@ def distinct_counts(df: DataFrame, cols=None, dropna: bool = True, exact: bool =
                           (F.col(c) + (F.lit(0) if dropna else F.coalesce(F.col(f"_null_{c}"), F.lit(0))))
                           .cast("bigint").alias("n_distinct")) for c in cols]
         return row.select(F.inline(F.array(*cells)))
-    long = _long_strings(df, cols)
-    d = long.select("column", "value").distinct()
-    agg = (F.count("value") if dropna else F.count(F.lit(1))).alias("n_distinct")
-    return d.groupBy("column").agg(agg)
+
+    def cell(i, c):
+        known = F.col(f"`{c}`").isNotNull()
+        return F.struct(F.lit(i).alias("i"), F.when(known, F.xxhash64(f"`{c}`")).alias("h"),
+                        F.when(known, F.xxhash64(F.lit("second"), f"`{c}`")).alias("g"))
+    d = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).distinct()
+    n = (F.count("h") if dropna else F.count(F.lit(1))).alias("n_distinct")
+    return d.groupBy("i").agg(n).select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"), "n_distinct")
 
 
 def null_profile(df: DataFrame, cols=None, limit: float = 0.4, exact: bool = True) -> DataFrame:
@@ -160,15 +167,16 @@ def class_balance(df: DataFrame, label: str = "target", high: float = 2.0, low:
 
 def quality_report(df: DataFrame, rules: dict | None = None, limit: float = 0.4) -> DataFrame:
     """Rows, columns, sparse columns, duplicate rows, columns at fault –
-    one row; each part is a scalar sub-query over a small aggregate."""
-    nulls = null_profile(df, limit=limit)
-    dup = duplicate_rows(df)
-    rc = range_check(df, rules)
-    return dup.select(
-        F.col("rows"), F.lit(len(df.columns)).alias("columns"),
-        nulls.agg(F.count_if("over_limit")).scalar().alias("sparse_columns"),
-        F.col("duplicates"),
-        rc.agg(F.count_if("at_fault")).scalar().alias("faulty_columns"))
+    one row from two passes: one aggregate for nulls and ranges, one for repeats."""
+    rules = {c: r for c, r in (rules or RANGE_RULES).items() if c in df.columns}
+    n, x = F.count(F.lit(1)), (lambda c: F.col(c).cast("double"))
+    sparse = [(F.try_divide((n - F.count(F.col(f"`{c}`"))).cast("double"), n) > limit) for c in df.columns]
+    faulty = [F.count_if((x(c) < float(lo)) | (x(c) > float(hi))) > 0 for c, (lo, hi) in rules.items()]
+    row = df.agg(*[F.coalesce(c, F.lit(False)).alias(f"_{i}") for i, c in enumerate([*sparse, *faulty])]).first()
+    marks = list(row)
+    return duplicate_rows(df).select(
+        "rows", F.lit(len(df.columns)).alias("columns"), F.lit(sum(marks[:len(sparse)])).cast("bigint").alias("sparse_columns"),
+        "duplicates", F.lit(sum(marks[len(sparse):])).cast("bigint").alias("faulty_columns"))
 
 
 def constant_columns(df: DataFrame, cols=None) -> DataFrame:

@@ -5,7 +5,8 @@ A10-A12, A16, A44, A47, A48).
 All of these are one grouped pass with map-side partial aggregation, so a hot
 key (a third of all rows in one group) is reduced to one partial row per task
 before the shuffle. Totals that a result needs (overall rate, shares) are taken
-from the grouped rows with an un-ordered window, never by re-reading the input.
+from the grouped rows, written once, as constants: never by re-reading the
+input, and without a window that would end in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div
-from fairlane.operators.quantiles import exact_quantiles
+from fairlane.operators._util import as_list, drop_null_keys, median, not_null_all, quantiles as _q, safe_div, with_constants
+from fairlane.operators.quantiles import column_quantiles, exact_quantiles
+
 
 def _all():
     return Window.partitionBy()
@@ -47,11 +49,10 @@ def flag_rate_gap(df: DataFrame, key: str, label: str = "target", points: float
     overall rate of all labelled rows (null-key rows count in the overall)."""
     g = (df.groupBy(key)
          .agg(F.count(label).alias("n"), F.sum(label).cast("bigint").alias("approved")))
-    g = (g.withColumn("_tn", F.sum("n").over(_all()))
-          .withColumn("_ta", F.sum("approved").over(_all()))
-          .where(F.col(key).isNotNull() & (F.col("n") > 0)))
+    g, total, approved = with_constants(g, F.sum("n"), F.sum("approved"))
+    g = g.where(F.col(key).isNotNull() & (F.col("n") > 0))
     rate_pct = F.col("approved") / F.col("n") * F.lit(100.0)
-    overall = F.col("_ta") / F.col("_tn") * F.lit(100.0)
+    overall = F.lit(approved) / F.lit(total) * F.lit(100.0)
     out = g.select(key, "n", rate_pct.alias("rate_pct"), overall.alias("overall_pct"),
                    (rate_pct - overall).alias("diff_pct"))
     if min_count:
@@ -67,20 +68,21 @@ def segment_profile(df: DataFrame, key: str, label: str = "target", income: str
                            F.avg(label).alias("approval_rate"),
                            *([median(income, True).alias("median_income"), median(amount, True).alias("median_amount")] if approx else []))
     if not approx:
-        for value, name in ((income, "median_income"), (amount, "median_amount")):
-            g = g.join(exact_quantiles(d, key, value, [0.5], name).withColumn(name, F.col(name)[0]), key, "left")
-    return g.withColumn(
-        "market_share_pct", F.col("applications") / F.sum("applications").over(_all()) * F.lit(100.0))
+        q = column_quantiles(d, [income, amount], [0.5], key).groupBy(key).agg(
+            *[F.max(F.when(F.col("column") == value, F.col("quantiles")[0])).alias(name)
+              for value, name in ((income, "median_income"), (amount, "median_amount"))])
+        g = g.join(q, key, "left")
+    g, total = with_constants(g, F.sum("applications"))
+    return g.withColumn("market_share_pct", F.col("applications") / F.lit(total) * F.lit(100.0))
 
 
 def disparate_impact_overall(df: DataFrame, key: str, label: str = "target",
                              limit: float = 0.8) -> DataFrame:
     """A27 (overall-rate form): group rate / overall rate, pass at ``limit``."""
-    g = (df.groupBy(key).agg(F.count(label).alias("n"), F.sum(label).alias("s"))
-         .withColumn("_tn", F.sum("n").over(_all())).withColumn("_ts", F.sum("s").over(_all()))
-         .where(F.col(key).isNotNull()))
+    g, total, approved = with_constants(df.groupBy(key).agg(F.count(label).alias("n"), F.sum(label).alias("s")), F.sum("n"), F.sum("s"))
+    g = g.where(F.col(key).isNotNull())
     rate = safe_div(F.col("s"), F.col("n"))
-    overall = safe_div(F.col("_ts"), F.col("_tn"))
+    overall = safe_div(F.lit(approved), F.lit(total))
     ratio = F.when(overall > 0, rate / overall).otherwise(F.lit(0.0))
     return g.select(key, "n", rate.alias("rate"), overall.alias("overall_rate"),
                     ratio.alias("impact_ratio"), (ratio >= F.lit(limit)).alias("passes"))
@@ -91,7 +93,8 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True, dropna: bool =
     d = df.where(F.col(col).isNotNull()) if dropna else df
     g = d.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        g = g.withColumn("share", F.col("count") / F.sum("count").over(_all()))
+        g, total = with_constants(g, F.sum("count"))
+        g = g.withColumn("share", F.col("count") / F.lit(total))
     return g
 
 
@@ -102,8 +105,9 @@ def median_by(df: DataFrame, value: str, by: str, approx: bool = False) -> DataF
     if approx:
         g = d.groupBy(by).agg(median(value, True).alias("median"))
     else:
-        g = d.select(by).distinct().join(exact_quantiles(d, by, value, [0.5], "median"), by, "left").withColumn("median", F.col("median")[0])
-    return g.withColumn("gap", F.max("median").over(_all()) - F.min("median").over(_all()))
+        g = exact_quantiles(d, by, value, [0.5], "median").withColumn("median", F.col("median")[0])
+    g, gap = with_constants(g, F.max("median") - F.min("median"))
+    return g.withColumn("gap", F.lit(gap).cast("double"))
 
 
 def quantile_table(df: DataFrame, col: str, ps=(0.25, 0.33, 0.67, 0.75, 0.99),

@@ -2,9 +2,10 @@
 
 Gap filling over a whole ordered partition is done in two levels so that one
 hot partition key (a third of all rows) is not sorted and scanned by a single
-task: the order range of each key is cut into buckets, fills are computed
-inside each bucket in parallel, and the last / first non-null value of the
-preceding / following buckets is carried over from a tiny per-bucket table.
+task: if a key has very many rows, one global range partitioning by (key,
+order) cuts it, fills are computed inside each (key, range), and the last /
+first non-null value of the preceding / following ranges of the key is carried
+over from a tiny per-range table.
 """
 
 from __future__ import annotations
@@ -12,26 +13,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list
-from fairlane.operators.prefix import _bucket_column, null_safe_join
+from fairlane.operators._util import as_list, with_constants
+from fairlane.operators.prefix import null_safe_join, ordered_ranges
 
 
-def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, n_buckets: int = 32,
-              min_rows: int = 1_000_000) -> DataFrame:
+def fill_gaps(df: DataFrame, cols, order_by: str, partition_by, rows_per_range: int | None = None,
+              stored: bool = False) -> DataFrame:
     """Forward fill, then backward fill, within each partition key in
-    ``order_by`` order (which must be unique within a key). Keys with at
-    least ``min_rows`` rows are split into ``n_buckets`` ordered ranges."""
+    ``order_by`` order (which must be unique within a key). The table is
+    written once; if a key has more than ``rows_per_range`` rows, it is cut
+    into ordered ranges of about that many. ``stored`` tells that ``df`` is
+    a written table already."""
     cols = as_list(cols)
     part = as_list(partition_by)
     if not part:
         raise ValueError("fill_gaps needs a partition key (a whole-table window runs on one task)")
-    b = _bucket_column(df.select(*part, order_by), part, order_by, n_buckets, min_rows)
-    t = df.withColumn("_b", b.cast("int"))
+    t, several = ordered_ranges(df, part, order_by, rows_per_range, stored)
     o = F.col(order_by)
     w_f = Window.partitionBy(*part, "_b").orderBy(o.asc()).rowsBetween(Window.unboundedPreceding, 0)
     w_b = Window.partitionBy(*part, "_b").orderBy(o.desc()).rowsBetween(Window.unboundedPreceding, 0)
     t = t.select("*", *[F.last(c, True).over(w_f).alias(f"_lf_{c}") for c in cols],
                  *[F.last(c, True).over(w_b).alias(f"_lb_{c}") for c in cols])
+    if not several:
+        return t.select(*[F.coalesce(f"_lf_{c}", f"_lb_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
     # Last / first non-null value of each bucket, by order.
     bk = t.groupBy(*part, "_b").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(f"_bl_{c}") for c in cols],
@@ -70,6 +74,9 @@ def top_k_per_key(df: DataFrame, key, order: Column | str, k: int, tie=None) ->
 
 def share_of_total(df: DataFrame, value: str, by=None, out: str = "share") -> DataFrame:
     """Value / total of the value within the partition (on result tables)."""
+    if not as_list(by):
+        t, total = with_constants(df, F.sum(value))
+        return t.withColumn(out, F.try_divide(F.col(value).cast("double"), F.lit(total)))
     w = Window.partitionBy(*as_list(by))
     return df.withColumn(out, F.try_divide(F.col(value).cast("double"), F.sum(value).over(w)))
 

@@ -92,14 +92,15 @@ def prepare_batch(df: DataFrame, label_from: str = "action_taken", label: str =
     """
     from fairlane.operators.columns import derive_label, drop_sparse_columns, keep_labelled, standardize_columns
     from fairlane.operators.windows import fill_gaps
+    from fairlane.session import written
 
     out = standardize_columns(df)
     if label not in out.columns and label_from in out.columns:
         out = derive_label(out, label_from, label)
-    out = drop_sparse_columns(out, threshold, keep=list(keep) + [label])
+    out = drop_sparse_columns(written(out, "batch"), threshold, keep=list(keep) + [label])
     if order_by and partition_by:
         cols = [c for c in out.columns if c not in (order_by, partition_by, label)]
-        out = fill_gaps(out, cols, order_by, partition_by)
+        out = fill_gaps(out, cols, order_by, partition_by, stored=True)
     return keep_labelled(out, label)
 
 

@@ -48,7 +48,7 @@ def test_value_counts_dropna_flag(spark):
 def test_fill_gaps_forward_then_backward(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, None), ("a", 4, 7.0), ("b", 1, None)],
                                "k string, o int, v double")
-    got = {(r["k"], r["o"]): r["v"] for r in windows.fill_gaps(df, ["v"], "o", "k", n_buckets=2, min_rows=1).collect()}
+    got = {(r["k"], r["o"]): r["v"] for r in windows.fill_gaps(df, ["v"], "o", "k", rows_per_range=1).collect()}
     assert got == {("a", 1): 5.0, ("a", 2): 5.0, ("a", 3): 5.0, ("a", 4): 7.0, ("b", 1): None}
 
 
