@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
+from fairlane.catalog.q_fit import SPLIT_SQL
 from fairlane.catalog.q_models import FEATURES, model_table
 from fairlane.operators import balance, columns, models, ordering
 from fairlane.session import checkpoint_dir
@@ -80,10 +81,31 @@ def batch_summary(spark, d):
     return models.batch_summary(predictions(spark, d))
 
 
-@register("m08_smote_class_counts")
+@register("m08_smote_class_counts", ctes=SPLIT_SQL, sql="""
+WITH c AS (SELECT CAST(label_signal AS DOUBLE) AS label, count(*) AS n FROM sa WHERE split = 'train' GROUP BY 1)
+SELECT label, false AS synthetic, n AS rows FROM c
+UNION ALL
+SELECT arg_min(label, n), true, max(n) - min(n) FROM c HAVING max(n) > min(n)""")
 def smote_counts(spark, d):
+    """Rows per class before and by SMOTE over all nine features."""
     t = model_table(spark, d).where("split = 'train'").select("application_id", "label", *FEATURES)
-    syn = balance.smote(t, ["loan_amount", "interest_rate", "loan_to_value_ratio", "loan_to_income_ratio"],
-                        "label")
+    syn = balance.smote(t, FEATURES, "label")
     out = t.select("label", F.lit(False).alias("synthetic")).unionByName(syn.select("label", "synthetic"))
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("m08_nearest_neighbours", dbl=["dist"], sql="""
+WITH m AS (SELECT application_id AS id, loan_amount AS a, interest_rate AS b, score_random AS c FROM applications
+           WHERE grp_a = 'BUILDING' AND grp_c = 'Female' AND interest_rate IS NOT NULL),
+s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM m),
+z AS (SELECT id, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM m, s),
+p AS (SELECT x.id, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)) AS dist
+      FROM z x JOIN z y ON x.id <> y.id)
+SELECT id AS application_id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS rank FROM p
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5""")
+def nearest_neighbours(spark, d):
+    """Distances of the five nearest of each row of a group, in standardised space."""
+    a = applications(spark, d).where("grp_a = 'BUILDING' AND grp_c = 'Female' AND interest_rate IS NOT NULL")
+    nb = balance.neighbours(a.select("application_id", "loan_amount", "interest_rate", "score_random"),
+                            ["loan_amount", "interest_rate", "score_random"], "application_id", cell_rows=200)
+    return nb.select("application_id", "dist", F.col("rank").cast("long").alias("rank"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
+from fairlane.catalog.q_fit import SPLIT_SQL
 from fairlane.catalog.q_models import FEATURES, model_table
-from fairlane.operators import explain, fairness, models, windows
+from fairlane.operators import explain, fairness, models, tree_shapley, windows
 from fairlane.sources.tables import applications, hash_bucket, predictions
 
 COEFS = {"interest_rate": 0.5, "loan_amount": -0.00001, "has_coborrower": 1.0}
@@ -97,3 +98,29 @@ def sampled_contributions(spark, d):
           .limit(50).select(*FEATURES))
     c = explain.sampled_contributions(m, t.select("application_id", *FEATURES), FEATURES, bg, n_samples=4)
     return explain.mean_abs_importance(c)
+
+
+def _tree_contributions(spark, d):
+    """Every row and feature, by the trees' own paths."""
+    t = model_table(spark, d).select("application_id", "split", "label", *FEATURES)
+    train = t.where("split = 'train'")
+    for kind, params in (("tree", {}), ("gbt", {"maxIter": 20, "maxDepth": 5})):
+        m = models.train(train, FEATURES, kind, **params)
+        yield kind, tree_shapley.tree_contributions(m, t, FEATURES)
+
+
+@register("m21_tree_contributions")
+def tree_contributions(spark, d):
+    parts = [c.withColumn("model", F.lit(kind)) for kind, c in _tree_contributions(spark, d)]
+    return explain.mean_abs_importance(parts[0].unionByName(parts[1]), "model")
+
+
+@register("m21_tree_contributions_add_up", ctes=SPLIT_SQL, sql="""
+SELECT m.model, count(*) AS rows, 9 * count(*) AS cells, true AS adds_up FROM sa, (VALUES ('tree'), ('gbt')) m(model) GROUP BY m.model""")
+def tree_contributions_add_up(spark, d):
+    """Each row's contributions are its score less the base."""
+    out = []
+    for kind, c in _tree_contributions(spark, d):
+        rows = c.groupBy("application_id").agg(F.count("contribution").alias("k"), (F.abs(F.sum("contribution") - F.max("score") + F.max("base")) < 1e-9).alias("ok"))
+        out.append(rows.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("rows"), F.sum("k").alias("cells"), F.every("ok").alias("adds_up")))
+    return out[0].unionByName(out[1])

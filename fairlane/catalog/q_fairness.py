@@ -8,7 +8,7 @@ from fairlane.catalog import register
 from fairlane.catalog.q_metrics import AUC_SQL, COUNTS_SQL
 from fairlane.operators import fairness as fair
 from fairlane.operators import metrics as met
-from fairlane.sources.tables import predictions
+from fairlane.sources.tables import applications, predictions
 
 ATTRS = ["grp_a", "grp_b", "grp_c"]
 
@@ -181,6 +181,20 @@ def pareto(spark, d):
     return fair.pareto_front(fair.fairness_score(_ft(spark, d)), ["fairness_score", "f1"])
 
 
+@register("j05_pareto_front_rows", dbl=["income", "property_value", "score_random"], sql="""
+WITH k AS (SELECT application_id, income, property_value, score_random FROM applications
+           WHERE income IS NOT NULL AND property_value IS NOT NULL)
+SELECT application_id, income, property_value, score_random FROM applications WHERE income IS NULL OR property_value IS NULL
+UNION ALL
+SELECT * FROM k a WHERE NOT EXISTS (
+  SELECT 1 FROM k b WHERE b.income >= a.income AND b.property_value >= a.property_value AND b.score_random >= a.score_random
+    AND (b.income > a.income OR b.property_value > a.property_value OR b.score_random > a.score_random))""")
+def pareto_rows(spark, d):
+    """The front of all applications in three columns; rows with a null in one stay."""
+    a = applications(spark, d).select("application_id", "income", "property_value", "score_random")
+    return fair.pareto_front(a, ["income", "property_value", "score_random"], "application_id")
+
+
 @register("j08_join_scores", dbl=["fairness_score", "f1", "accuracy"], ctes=FT + "," + FS_SQL, sql="""
 SELECT s.model, s.fairness_score, p.f1, p.accuracy FROM fs2 s JOIN perf p ON s.model = p.model""")
 def join_scores(spark, d):

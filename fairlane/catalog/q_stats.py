@@ -160,3 +160,30 @@ SELECT max(abs(cb / tb - cc / tc)) AS ks, max(tb) AS n_base, max(tc) AS n_curren
 def input_drift_ks(spark, d):
     a = sp.split(applications(spark, d))
     return stats.ks_statistic(a.where("split = 'train'"), a.where("split = 'test'"), "interest_rate")
+
+
+# Four degrees of freedom: the upper tail is exp(-x / 2) (1 + x / 2).
+@register("a17_chi_square_test", dbl=["chi2", "p_value"], sql="""
+WITH c AS (SELECT grp_b, target, count(*) AS o FROM applications WHERE grp_b IS NOT NULL AND target IS NOT NULL GROUP BY grp_b, target),
+e AS (SELECT *, sum(o) OVER (PARTITION BY grp_b) AS ra, sum(o) OVER (PARTITION BY target) AS cb, sum(o) OVER () AS n FROM c),
+x AS (SELECT sum(o * o / (ra * cb / n)) - max(n) AS chi2, max(n) AS n FROM e)
+SELECT chi2, CAST(4 AS BIGINT) AS dof, CAST(n AS BIGINT) AS n, exp(-chi2 / 2e0) * (1e0 + chi2 / 2e0) AS p_value FROM x""")
+def chi_square_test(spark, d):
+    """The statistic of a17_chi_square with its p-value."""
+    return stats.chi_square_test(applications(spark, d), "grp_b", "target")
+
+
+# The normal tail by Simpson's rule over 2000 steps.
+@register("a18_mann_whitney_test", dbl=["u", "z", "p_value"], sql="""
+WITH c AS (SELECT income AS v, sum(CAST(grp_c = 'Female' AS BIGINT)) AS c1, count(*) AS t FROM applications
+           WHERE income IS NOT NULL AND grp_c IS NOT NULL GROUP BY income),
+r AS (SELECT *, sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_t FROM c),
+g AS (SELECT sum(c1 * (cum_t - t + (t + 1) / 2e0)) AS r1, sum(c1) AS n1, sum(t) AS n, sum(t * t * t - t) AS ties FROM r),
+s AS (SELECT r1 - n1 * (n1 + 1) / 2e0 AS u, CAST(n1 AS BIGINT) AS n1, CAST(n - n1 AS BIGINT) AS n2,
+             (r1 - n1 * (n1 + 1) / 2e0 - n1 * (n - n1) / 2e0) / sqrt(n1 * (n - n1) / 12e0 * ((n + 1) - ties / (n * (n - 1e0)))) AS z FROM g)
+SELECT *, 1e0 - 2e0 * abs(z) / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda i:
+         (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000) * (z * i / 2000) / 2e0) / sqrt(2e0 * pi()))) AS p_value
+FROM s""")
+def mann_whitney_test(spark, d):
+    """The statistic of a18_mann_whitney with its two-sided p-value."""
+    return stats.mann_whitney_test(applications(spark, d), "income", "grp_c", "Female")

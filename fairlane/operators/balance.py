@@ -3,31 +3,23 @@
 SMOTE on Spark without a pair explosion:
 
 1. minority rows only, features standardised (one aggregate);
-2. neighbour candidates: for each of ``projections`` random directions, the
-   ``window`` rows before and after a row in that projection's order. The
-   order is cut into quantile buckets so each window runs on its own task
-   (``Window.partitionBy(bucket)``), never one task for the whole order;
-   every row thus has at most 2 · window · projections candidates, even in a
-   dense or hot region, instead of all pairs of a bucket;
-3. exact distances to the candidates, the ``k`` nearest by ``row_number``;
-4. the number of synthetic rows is exact: every minority row makes
+2. the exact ``k`` nearest of each by a distributed k-d partition
+   (:mod:`fairlane.operators.knn`): a row asks its own cell, then only cells
+   nearer than its k-th distance;
+3. the number of synthetic rows is exact: every minority row makes
    ``need // n_min`` rows, and the first ``need % n_min`` rows in hash order
-   (an exact rank by the two-level prefix sum) make one more;
-5. each synthetic row interpolates towards a neighbour picked by hash with a
-   hash-drawn gap in [0, 1) – repeatable after a lost executor. A row whose
-   candidates all failed (no neighbour) is copied unchanged.
-
-The neighbour search is approximate (nearest among the candidates);
-tests/test_balance.py measures its recall against brute force.
+   (an exact rank by ordered prefix sums) make one more;
+4. each synthetic row interpolates towards a neighbour picked by hash with a
+   hash-drawn gap in [0, 1) – repeatable after a lost executor. A row without
+   neighbours (a minority of one, or a null feature) is copied unchanged.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlane.operators.knn import nearest
 from fairlane.operators.prefix import ordered_prefix_sums
 from fairlane.sources.tables import hash_bucket
 
@@ -42,39 +34,11 @@ def _standardised(mino: DataFrame, features: list[str]):
     return stats, int(row["_n"])
 
 
-def neighbours(mino: DataFrame, features: list[str], key: str, k: int = 5, projections: int = 6,
-               window: int = 10, max_buckets: int = 4096, seed: int = 42) -> DataFrame:
-    """Approximate k nearest minority neighbours: ``(key, nb, dist, rank)``.
-    Buckets hold about 100 windows of rows each, so few windows are cut at a
-    bucket edge; their number grows with the data up to ``max_buckets``."""
-    stats, n = _standardised(mino, features)
-    n_buckets = max(1, min(max_buckets, n // (100 * window)))
+def neighbours(mino: DataFrame, features: list[str], key: str, k: int = 5, cell_rows: int = 2000) -> DataFrame:
+    """The k nearest minority neighbours in standardised space: ``(key, nb, dist, rank)``."""
+    stats, _ = _standardised(mino, features)
     z = mino.select(key, *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in stats.items()])
-    rng = random.Random(seed)
-    cands = []
-    for r in range(projections):
-        w = [rng.gauss(0.0, 1.0) for _ in features]
-        proj = sum((F.lit(wi) * F.col(c) for wi, c in zip(w, features)), F.lit(0.0))
-        t = z.select(key, proj.alias("_p"))
-        cuts = (t.agg(F.percentile_approx("_p", [i / n_buckets for i in range(1, n_buckets)], 10000)).first()[0]
-                if n_buckets > 1 else [])
-        b = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda e: e < F.col("_p")))
-        win = Window.partitionBy("_b").orderBy("_p", key)
-        t = t.withColumn("_b", b)
-        nbs = F.array(*[F.lag(key, i).over(win) for i in range(1, window + 1)],
-                      *[F.lead(key, i).over(win) for i in range(1, window + 1)])
-        cands.append(t.select(key, nbs.alias("_nbs")).select(key, F.explode("_nbs").alias("nb")))
-    pairs = cands[0]
-    for c in cands[1:]:
-        pairs = pairs.unionByName(c)
-    pairs = pairs.where(F.col("nb").isNotNull()).distinct()
-    za = z.select(key, *[F.col(c).alias(f"_a_{c}") for c in features])
-    zb = z.select(F.col(key).alias("nb"), *[F.col(c).alias(f"_b_{c}") for c in features])
-    d = pairs.join(za, key).join(zb, "nb")
-    dist = sum(((F.col(f"_a_{c}") - F.col(f"_b_{c}")) ** 2 for c in features), F.lit(0.0))
-    d = d.select(key, "nb", F.sqrt(dist).alias("dist"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("dist", "nb"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest(z, features, key, k, cell_rows)
 
 
 def smote(df: DataFrame, features: list[str], label: str, key: str = "application_id", minority=None,
@@ -98,7 +62,7 @@ def smote(df: DataFrame, features: list[str], label: str, key: str = "applicatio
     nb_lists = nb.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "nb"))).alias("_nbs"))
     # Exact rank in hash order, without a single-task window.
     h = mino.select(key, hash_bucket(seed + "r", F.col(key), _U).alias("_h"))
-    ranked = ordered_prefix_sums(h.groupBy("_h").agg(F.count(F.lit(1)).alias("_one")), [], "_h", ["_one"], 64)
+    ranked = ordered_prefix_sums(h.groupBy("_h").agg(F.count(F.lit(1)).alias("_one")), [], "_h", ["_one"])
     # rows of one hash share its rank range: the key decides within it
     tie = F.row_number().over(Window.partitionBy("_h").orderBy(key))
     h = (h.withColumn("_tie", tie).join(ranked.select("_h", (F.col("cum__one") - F.col("_one")).alias("_before")), "_h")

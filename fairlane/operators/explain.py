@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list
+from fairlane.operators.quantiles import exact_quantiles
 from fairlane.sources.tables import hash_bucket
 
 MAX_BACKGROUND_ROWS = 1000
@@ -136,9 +137,8 @@ def group_thresholds(preds: DataFrame, group: str, target_rate: float | None = N
     ``target_rate`` (default: each model's own overall positive rate), then
     ``pred = score >= cut``.
 
-    One grouped pass per (model, group) computes the percentiles at all the
-    models' target rates at once (a literal array – percentiles need constant
-    probabilities); each row of the small cut table then picks its model's.
+    One count per (model, group, score) gives the quantiles at all the models'
+    target rates at once; each row of the small cut table then picks its model's.
     ``approx=True`` keeps bounded memory for very large groups.
     """
     by = as_list(by)
@@ -149,9 +149,8 @@ def group_thresholds(preds: DataFrame, group: str, target_rate: float | None = N
     else:
         rates = [((), float(target_rate))]
     ps = sorted({round(1.0 - r, 12) for _, r in rates})
-    arr = F.array(*[F.lit(p) for p in ps])
-    q = F.percentile_approx(score, arr, 10000) if approx else F.percentile(F.col(score), arr)
-    cuts = base.groupBy(*by, group).agg(q.alias("_qs"))
+    cuts = (base.groupBy(*by, group).agg(F.percentile_approx(score, ps, 10000).alias("_qs")) if approx
+            else exact_quantiles(base, [*by, group], score, ps, "_qs"))
     pick = None
     for key, r in rates:
         idx = F.lit(ps.index(round(1.0 - r, 12)) + 1)

@@ -9,10 +9,16 @@ per-model scores need. Everything downstream runs on that tiny table.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list, div0, safe_div
+from fairlane.session import written
 
 LIMITS = {"dpd": 0.05, "eod": 0.05, "di": 0.80}
 
@@ -183,6 +189,7 @@ def compliance(ft: DataFrame, model: str = "model", limits: dict | None = None,
 def recommend(ft: DataFrame, model: str = "model", limits: dict | None = None) -> DataFrame:
     """A33 (+ J8): combined score = (fairness score + F1) / 2, ranked with
     compliant models first; ``recommended`` marks the chosen row."""
+    ft = written(ft, "audit")           # read twice
     s = fairness_score(ft, model)
     c = compliance(ft, model, limits)
     j = s.join(c, model)
@@ -230,22 +237,54 @@ def compare_runs(old: DataFrame, new: DataFrame, name_map: DataFrame | None = No
                     "original_di", "fair_di")
 
 
-def pareto_front(df: DataFrame, maximise: list[str], key: str = "model") -> DataFrame:
+def _undominated(x: np.ndarray, block: int = 512) -> np.ndarray:
+    """Rows of ``x`` that no other row beats (≥ on all, > on one), sorted first by
+    their sum: only an earlier row can beat a later one."""
+    x = x[np.argsort(-x.sum(axis=1), kind="stable")]
+    front = x[:0]
+    for at in range(0, len(x), block):
+        new = x[at:at + block]
+        for against in (new, *(front[k:k + block] for k in range(0, len(front), block))):
+            beaten = ((against[:, None] >= new).all(2) & (against[:, None] > new).any(2)).any(0)
+            new = new[~beaten]
+        front = np.concatenate((front, new))
+    return front
+
+
+def pareto_front(df: DataFrame, maximise: list[str], key: str = "model", merge: int = 8) -> DataFrame:
     """Rows that no other row dominates (≥ on all, > on one).
 
-    A left-anti join with a theta condition; it is a nested loop, meant for
-    result tables (models × scores), not raw rows.
+    A skyline without a pairwise join: each task keeps the front of its
+    distinct score vectors, fronts of ``merge`` tasks meet and lose what the
+    others beat, until one front is left; the rows that have its vectors are
+    the result. A task holds fronts only, never rows. Rows with a null or NaN
+    score are not compared and stay.
     """
-    a, b = df.alias("a"), df.alias("b")
-    ge = None
-    gt = None
-    for m in maximise:
-        g1 = F.col(f"b.{m}") >= F.col(f"a.{m}")
-        g2 = F.col(f"b.{m}") > F.col(f"a.{m}")
-        ge = g1 if ge is None else ge & g1
-        gt = g2 if gt is None else gt | g2
-    cond = ge & gt & (F.col(f"b.{key}") != F.col(f"a.{key}"))
-    return a.join(b, cond, "left_anti")
+    cols = [f"m{i}" for i in range(len(maximise))]
+    known = reduce(lambda a, b: a & b, [F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")) for m in maximise])
+    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = df.where(known).select(*[F.col(m).cast("double").alias(c) for m, c in zip(maximise, cols)]).distinct()
+
+    def rows(front: np.ndarray, group: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(front[:, i]) for i in range(len(cols))), pa.array(np.full(len(front), group))], [*cols, "group"])
+
+    def local(batches):
+        front = np.zeros((0, len(cols)))
+        for batch in batches:
+            front = _undominated(np.concatenate((front, np.column_stack([c.to_numpy() for c in batch.columns]))))
+        yield rows(front, TaskContext.get().partitionId())
+
+    def merged(table: pa.Table) -> pa.Table:
+        front = _undominated(np.column_stack([table.column(c).to_numpy() for c in cols]))
+        return pa.Table.from_batches([rows(front, table.column("group")[0].as_py())])
+
+    schema = ", ".join(f"{c} double" for c in cols) + ", group long"
+    fronts = vectors.mapInArrow(local, schema)
+    while groups > 1:
+        groups = -(-groups // merge)
+        fronts = fronts.withColumn("group", F.pmod("group", F.lit(groups)).cast("bigint")).groupBy("group").applyInArrow(merged, schema)
+    on = reduce(lambda a, b: a & b, [F.col(m).cast("double") == F.col(c) for m, c in zip(maximise, cols)])
+    return df.join(fronts, on, "left_semi").unionByName(df.where(~known))
 
 
 def parity_gap_detail(ft: DataFrame, model: str = "model", gap: float = 0.05) -> DataFrame:
@@ -267,9 +306,8 @@ def actual_vs_predicted(preds: DataFrame, attr: str, y: str = "y_true", pred: st
                                    F.avg(pred).alias("predicted_rate")))
     size_w = Window.partitionBy(attr)
     g = g.withColumn("group_n", F.max("n").over(size_w))
-    rank_w = Window.orderBy(F.col("group_n").desc(), F.col(attr))
-    sizes = g.select(attr, "group_n").distinct()
-    top = sizes.withColumn("_r", F.row_number().over(rank_w)).where(F.col("_r") <= top_k).select(attr)
+    g = written(g, "groups")
+    top = g.select(attr, "group_n").distinct().orderBy(F.col("group_n").desc(), attr).limit(top_k).select(attr)
     g = g.join(top, attr, "left_semi")
     return g.select(attr, model, "group_n", "actual_rate", "predicted_rate",
                     (F.max("predicted_rate").over(size_w) - F.min("predicted_rate").over(size_w)).alias("spread"))

@@ -9,8 +9,10 @@ that every metric and fairness operator reads.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fairlane.operators._util import as_list
 from fairlane.operators.encode import class_weights
+from fairlane.session import checkpoint_dir, written
 
 # Reference settings per model kind (trees, depth, rates, layers).
 KINDS = {
@@ -54,25 +57,77 @@ def train(train_df: DataFrame, features: list[str], kind: str = "logistic", labe
     """Assemble (nulls must be imputed first), scale, fit one classifier.
 
     ``weight="balanced"`` weighs the classes alike (M9). ``validation`` names a
-    boolean column: boosted trees stop when those rows get no better.
+    boolean column whose rows are not learnt from: boosted trees and networks
+    stop when those rows get no better, other kinds leave them out.
     """
     counts = train_df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features]).first()
     missing = [c for c in features if counts[c]]
     if missing:
         raise ValueError(f"nulls in {', '.join(missing)}: impute first")
+    held = F.lit(False) if validation is None else F.coalesce(F.col(validation), F.lit(False))
     if weight == "balanced" and kind != "mlp":
-        train_df, weight = class_weights(train_df, label, out="_weight"), "_weight"
+        # weights of the rows learnt from; held rows carry their class's weight
+        learnt = class_weights(train_df.where(~held), label, out="_weight").groupBy(label).agg(F.first("_weight").alias("_weight"))
+        train_df, weight = train_df.join(learnt, label), "_weight"
     elif weight == "balanced":
         weight = None           # the network has no weights
-    if validation and kind == "gbt":
-        params["validationIndicatorCol"] = validation
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="error")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     else:
         stages[0].setOutputCol("features")
-    stages.append(_classifier(kind, label, weight, dict(params), len(features)))
-    return Pipeline(stages=stages).fit(train_df)
+    prepared = Pipeline(stages=stages).fit(train_df.where(~held))
+    # the scaled table, written once: every pass of a fit reads it
+    table = written(prepared.transform(train_df).select("features", label, held.alias("_held"), *([weight] if weight else [])), "training")
+    params = dict(params)
+    if kind == "mlp" and validation:
+        fitted = _stopped_network(table, label, params, len(features))
+    elif kind == "gbt" and validation:
+        fitted = _classifier(kind, label, weight, {"validationTol": VALIDATION_TOL, **params, "validationIndicatorCol": "_held"}, len(features)).fit(table)
+    else:
+        fitted = _classifier(kind, label, weight, params, len(features)).fit(table.where("NOT _held"))
+    return PipelineModel(stages=[*prepared.stages, fitted])
+
+
+# Boosting stops when the validation loss falls by less than this
+# share; a network is looked at every STEPS steps and stops after PATIENCE looks without a fall.
+VALIDATION_TOL, STEPS, PATIENCE = 0.001, 10, 3
+
+
+def log_loss(model, df: DataFrame, label: str = "label") -> float:
+    """Mean of −log of the probability of the true class."""
+    p = F.element_at(vector_to_array(F.col("probability")), F.col(label).cast("int") + 1)
+    return model.transform(df).agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
+
+
+def _stopped_network(table: DataFrame, label: str, params: dict, n_features: int):
+    """A network fitted in short runs, each from the last one's weights,
+    until the held rows' loss has not fallen for ``PATIENCE`` runs. The best
+    network so far is saved in the checkpoint folder and is the one returned."""
+    most = params.pop("maxIter", KINDS["mlp"]["maxIter"])
+    learn, held = table.where("NOT _held"), table.where("_held")
+    path = f"{checkpoint_dir(table.sparkSession).rstrip('/')}/network-{uuid.uuid4().hex}"
+    best, since, weights, taken = None, 0, None, 0
+    while taken < most and since < PATIENCE:
+        steps = min(STEPS, most - taken)
+        fit = _classifier("mlp", label, None, {**params, "maxIter": steps}, n_features)
+        if weights is not None:
+            fit.setInitialWeights(weights)
+        model = fit.fit(learn)
+        weights, taken = model.weights, taken + steps
+        loss = log_loss(model, held, label)
+        if best is None or loss < best:
+            best, since = loss, 0
+            model.write().overwrite().save(path)
+        else:
+            since += 1
+    return MultilayerPerceptronClassificationModel.load(path)
+
+
+def rounds(model: PipelineModel) -> int:
+    """Trees of an ensemble, or layers of weights of a network."""
+    last = model.stages[-1]
+    return last.getNumTrees if hasattr(last, "getNumTrees") else len(last.getLayers()) - 1
 
 
 def score(model: PipelineModel, df: DataFrame, name: str, key: str = "application_id",

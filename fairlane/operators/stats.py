@@ -14,11 +14,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlane.operators._util import as_list, safe_div
+from fairlane.operators._util import as_list, safe_div, with_constants
 from fairlane.operators.prefix import ordered_prefix_sums
+from fairlane.operators.quantiles import fitted_quantiles
+from fairlane.session import written
 
 
 # --- A17: chi-square ---------------------------------------------------------------
@@ -26,10 +30,10 @@ from fairlane.operators.prefix import ordered_prefix_sums
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed cell counts with row and column totals (null keys left out)."""
     g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    all_ = Window.partitionBy()
+    g, n = with_constants(g, F.sum("o"))
     return (g.withColumn("ra", F.sum("o").over(Window.partitionBy(a)))
              .withColumn("cb", F.sum("o").over(Window.partitionBy(b)))
-             .withColumn("n", F.sum("o").over(all_)))
+             .withColumn("n", F.lit(n).cast("bigint")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -75,20 +79,22 @@ def chi2_sf(x: float, k: int) -> float:
     return math.exp(-z + s * math.log(z) - math.lgamma(s)) * h
 
 
-def chi_square_test(df: DataFrame, a: str, b: str) -> dict:
+def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """A17 with the p-value of the one statistic: (chi2, dof, n, p_value); all null or 0 without rows."""
     r = chi_square(df, a, b).first()
-    return {"chi2": r["chi2"], "dof": r["dof"], "p_value": chi2_sf(r["chi2"], r["dof"])}
+    p = chi2_sf(r["chi2"], r["dof"]) if r["chi2"] is not None else None
+    return df.sparkSession.createDataFrame([(r["chi2"], r["dof"], r["n"], p)], "chi2 double, dof long, n long, p_value double")
 
 
 # --- A18: Mann-Whitney U -------------------------------------------------------------
 
-def mann_whitney(df: DataFrame, value: str, group: str, first, n_buckets: int = 64) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, first) -> DataFrame:
     """U of the ``first`` group against the rest, tie-averaged ranks,
     normal approximation z with the tie correction."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     is1 = (F.col(group) == F.lit(first)).cast("long")
     c = d.groupBy(value).agg(F.sum(is1).alias("c1"), F.count(F.lit(1)).alias("t"))
-    c = ordered_prefix_sums(c, [], value, ["t"], n_buckets)
+    c = ordered_prefix_sums(c, [], value, ["t"])
     avg_rank = F.col("cum_t") - F.col("t") + (F.col("t") + F.lit(1)) / F.lit(2.0)
     g = c.agg(F.sum(F.col("c1") * avg_rank).alias("r1"), F.sum("c1").alias("n1"), F.sum("t").alias("n"),
               F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -100,6 +106,13 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, n_buckets: int =
     return g.select(u.alias("u"), "n1", (F.col("n") - F.col("n1")).alias("n2"), z.alias("z"))
 
 
+def mann_whitney_test(df: DataFrame, value: str, group: str, first) -> DataFrame:
+    """A18 with the two-sided p-value of the normal approximation: (u, n1, n2, z, p_value)."""
+    r = mann_whitney(df, value, group, first).first()
+    p = math.erfc(abs(r["z"]) / math.sqrt(2.0)) if r["z"] is not None else None
+    return df.sparkSession.createDataFrame([(*r, p)], "u double, n1 long, n2 long, z double, p_value double")
+
+
 # --- A19 / A20: correlations -----------------------------------------------------------
 
 def corr_with_target(df: DataFrame, cols, target: str) -> DataFrame:
@@ -110,25 +123,63 @@ def corr_with_target(df: DataFrame, cols, target: str) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def pair_moments(df: DataFrame, cols) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every column pair i < j over the rows where both are known.
+
+    One pass for all pairs: a task multiplies blocks of rows (values, squares
+    and known marks as matrices) and sends one row per pair, which Spark adds
+    up. Values are taken off their column's mean first, so that sums of
+    squares keep their digits.
+    """
+    cols = as_list(cols)
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = numbers.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in numbers.columns]).first()
+    mean = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in first])
+    i, j = np.triu_indices(len(cols), 1)
+
+    def gram(batches):
+        n, s, q, p = (np.zeros((len(cols), len(cols))) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - mean
+            known = (~np.isnan(x)).astype(float)
+            x[known == 0] = 0.0
+            n += known.T @ known
+            s += x.T @ known
+            q += (x * x).T @ known
+            p += x.T @ x
+        parts = (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (i, j, *parts)], ["i", "j", *MOMENTS])
+
+    sums = numbers.mapInArrow(gram, "i long, j long, " + ", ".join(f"{m} double" for m in MOMENTS))
+    return sums.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
 def corr_pairs(df: DataFrame, cols) -> DataFrame:
-    """Pearson correlation of every column pair (upper triangle), one pass."""
+    """Pearson correlation of every column pair (upper triangle), one pass
+    however many columns there are; null without two known rows or with a constant column."""
     cols = as_list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr"))
-             for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+    n, sx, sy, sxx, syy, sxy = (F.col(m) for m in MOMENTS)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    r = F.when((vx > 0) & (vy > 0), (sxy - sx * sy / n) / F.sqrt(vx * vy))
+    names = F.array(*[F.lit(c) for c in cols])
+    return pair_moments(df, cols).where("n > 0").select(
+        F.element_at(names, (F.col("i") + 1).cast("int")).alias("a"), F.element_at(names, (F.col("j") + 1).cast("int")).alias("b"), r.alias("corr"))
 
 
 def high_corr_pairs(df: DataFrame, cols, target: str, threshold: float = 0.95) -> DataFrame:
     """Pairs with |r| above the threshold and the member to drop (the
-    one less correlated with the target; ties drop the later name)."""
-    p = corr_pairs(df, cols).where(F.abs("corr") > F.lit(threshold))
-    rel = corr_with_target(df, cols, target)
-    ra = rel.select(F.col("feature").alias("a"), F.abs("corr").alias("rel_a"))
-    rb = rel.select(F.col("feature").alias("b"), F.abs("corr").alias("rel_b"))
-    j = p.join(ra, "a").join(rb, "b")
+    one less correlated with the target; ties drop the later name). Features
+    and target are correlated in the same pass."""
+    cols = as_list(cols)
+    every = written(corr_pairs(df, [*cols, target]), "correlations")
+    p = every.where((F.col("b") != target) & (F.abs("corr") > F.lit(threshold)))
+    rel = every.where(F.col("b") == target)
+    ra = rel.select("a", F.abs("corr").alias("rel_a"))
+    rb = rel.select(F.col("a").alias("b"), F.abs("corr").alias("rel_b"))
+    j = p.join(ra, "a", "left").join(rb, "b", "left")
     drop = F.when(F.coalesce(F.col("rel_a"), F.lit(0.0)) < F.coalesce(F.col("rel_b"), F.lit(0.0)), F.col("a")) \
         .otherwise(F.col("b"))
     return j.select("a", "b", "corr", "rel_a", "rel_b", drop.alias("drop"))
@@ -140,10 +191,10 @@ def quantile_edges(df: DataFrame, cols, n_bins: int = 10, approx: bool = False)
     """Inner cut points of ``n_bins`` quantile bins per column (one aggregate)."""
     cols = as_list(cols)
     ps = [i / n_bins for i in range(1, n_bins)]
-    arr = F.array(*[F.lit(p) for p in ps])
-    q = (lambda c: F.percentile_approx(F.col(c).cast("double"), arr, 10000)) if approx else \
-        (lambda c: F.percentile(F.col(c).cast("double"), arr))
-    row = df.agg(*[q(c).alias(c) for c in cols]).first()
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), ps, 10000).alias(c) for c in cols]).first().asDict()
+    else:
+        row = fitted_quantiles(df, cols, ps)
     return {c: sorted(set(float(v) for v in (row[c] or []))) for c in cols}
 
 
@@ -179,10 +230,8 @@ def decorrelate(df: DataFrame, cols, group: str, suffix: str = "") -> DataFrame:
     cols = as_list(cols)
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         *[F.avg(c).alias(f"_gm_{c}") for c in cols], *[F.count(c).alias(f"_gn_{c}") for c in cols])
-    w = Window.partitionBy()
-    g = g.select(group, *[F.col(f"_gm_{c}") for c in cols],
-                 *[(F.sum(F.col(f"_gm_{c}") * F.col(f"_gn_{c}")).over(w) / F.sum(f"_gn_{c}").over(w)).alias(f"_om_{c}")
-                   for c in cols])
+    g, *means = with_constants(g, *[F.try_divide(F.sum(F.col(f"_gm_{c}") * F.col(f"_gn_{c}")), F.sum(f"_gn_{c}")) for c in cols])
+    g = g.select(group, *[F.col(f"_gm_{c}") for c in cols], *[F.lit(m).cast("double").alias(f"_om_{c}") for c, m in zip(cols, means)])
     j = df.join(g, group, "left")
     out = {c + suffix: F.coalesce(F.col(c) - F.col(f"_gm_{c}") + F.col(f"_om_{c}"), F.col(c)) for c in cols}
     return j.withColumns(out).drop(*[f"_gm_{c}" for c in cols], *[f"_om_{c}" for c in cols])
@@ -217,16 +266,15 @@ def population_stability(base: DataFrame, current: DataFrame, cols, n_bins: int
                           .otherwise("none"))
 
 
-def ks_statistic(base: DataFrame, current: DataFrame, col: str, n_buckets: int = 64) -> DataFrame:
+def ks_statistic(base: DataFrame, current: DataFrame, col: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance max |F_base − F_current|
     from counts per distinct value and the two-level prefix sum."""
     b = base.where(F.col(col).isNotNull()).select(F.col(col).alias("v"), F.lit(1).alias("_b"), F.lit(0).alias("_c"))
     c = current.where(F.col(col).isNotNull()).select(F.col(col).alias("v"), F.lit(0).alias("_b"), F.lit(1).alias("_c"))
     g = b.unionByName(c).groupBy("v").agg(F.sum("_b").alias("nb"), F.sum("_c").alias("nc"))
-    p = ordered_prefix_sums(g, [], "v", ["nb", "nc"], n_buckets)
-    j = p.withColumn("tb", g.agg(F.sum("nb")).scalar()).withColumn("tc", g.agg(F.sum("nc")).scalar())
-    return j.agg(F.max(F.abs(F.col("cum_nb") / F.col("tb") - F.col("cum_nc") / F.col("tc"))).alias("ks"),
-                 F.first("tb").alias("n_base"), F.first("tc").alias("n_current"))
+    j = ordered_prefix_sums(g, [], "v", ["nb", "nc"], totals=True)
+    gap = F.abs(safe_div(F.col("cum_nb"), F.col("tot_nb")) - safe_div(F.col("cum_nc"), F.col("tot_nc")))
+    return j.agg(F.max(gap).alias("ks"), F.max("tot_nb").alias("n_base"), F.max("tot_nc").alias("n_current"))
 
 
 # --- A43: leakage report ---------------------------------------------------------------------
