@@ -203,9 +203,19 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars, ...) without the dropped lines; a document that loses all its words goes."""
-    dropped = duplicate_lines(docs, short=short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc_id", "_doc")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_doc"]), "left").withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left))
-    rows = rows.filter(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    """``docs`` (doc_id, text, n_chars, ...) without the dropped lines; a document that loses all its words goes.
+
+    Null and empty texts have no lines and stay as they are, as do rows with a
+    null id unless an earlier line matches theirs; rows that repeat an id lose
+    the same lines. Other columns come through under any name; an empty table
+    gives an empty one.
+    """
+    found = duplicate_lines(docs, short=short).groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("line_no").alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"))          # so that no column of the table meets a name of this operator
+    rows = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("key")), "left")
+    text = F.col("row.text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("lines").isNull(), text).otherwise(left))
+    rows = rows.filter(F.col("lines").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    of = {"text": F.col("left"), "n_chars": F.length("left")}
+    return rows.select(*[(of[c].cast(docs.schema[c].dataType) if c in of else F.col("row").getField(c)).alias(c) for c in docs.columns])
