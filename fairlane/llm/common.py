@@ -3,6 +3,7 @@ folder, sizes taken from the data, and vectorised word and shingle hashes."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -22,6 +23,10 @@ CHUNK_BYTES = 3 << 20           # text hashed at once inside a task
 BATCH_BYTES = 32 << 20          # Arrow batch sent to a Python worker
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:                 # another C library: it keeps its own counsel
+    _libc = None
 
 
 def prepare(spark: SparkSession) -> None:
@@ -120,6 +125,15 @@ def chunks(batches, col: str = "text", size: int = CHUNK_BYTES):
             end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
+
+
+def release() -> None:
+    """Give memory back at the end of a task, before the worker runs another stage's tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = ASCII_SPACE, kinds: np.ndarray | None = None):

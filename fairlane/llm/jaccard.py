@@ -34,7 +34,7 @@ from fairlane.llm.common import U64, bytes_of, chunks, keep, long, mix, parts_fo
 from fairlane.llm.links import cluster, sketch
 
 WORDS = 5
-BUCKET_BYTES = 16 << 20         # text whose tokens one bucket gets
+BUCKET_BYTES = 4 << 20          # text whose tokens one bucket gets
 FP_BITS, BUCKET_BITS = 36, 22   # of a token; 6 bits for the frequency class lie above
 CLASSES = 63
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
