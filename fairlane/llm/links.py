@@ -127,15 +127,16 @@ def _rest(marked: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("task").applyInArrow(_pairs(percent), "x long, y long")
 
 
-def cluster(postings: DataFrame, items: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame | None:
+def cluster(postings: DataFrame, items: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, name: str,
+            stored: bool = False) -> DataFrame | None:
     """(id, comp) of the ids in lists of two or more; comp is the smallest linked id.
 
     ``postings`` has (key, id), both long, without repeats; ``items`` has (id,
     n, sketch) with the number of an item's tokens; ``verify`` takes distinct
     pairs (x, y) and returns those of Jaccard similarity ``percent`` / 100 or
-    more. None if no list has two ids.
+    more. ``stored`` tells that ``postings`` is a written table. None if no list has two ids.
     """
-    postings = keep(postings, f"{name}-postings")
+    postings = postings if stored else keep(postings, f"{name}-postings")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     lists = keep(postings.join(shared, "key"), f"{name}-lists")
     if lists.isEmpty():

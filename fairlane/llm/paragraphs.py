@@ -268,23 +268,24 @@ def repeated_passages(docs: DataFrame, percent: int = 80, passage: int = PASSAGE
     buckets = parts_for(text_bytes(docs), BUCKET_BYTES)
     places = keep(_places(docs), "paragraph-places")
     postings = keep(_bands(docs, buckets).groupBy("bucket").applyInArrow(_collisions, "key long, id long"), "paragraph-bands")
-    wanted = places.join(postings.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    sets = keep(_sets(docs, wanted), "paragraph-sets")
-    comps = cluster(postings, sets.select("id", F.size("toks").alias("n"), "sketch"), lambda pairs: _verified(pairs, sets, percent), percent, "paragraphs")
-    own = places.filter("within >= 0").groupBy(F.col("id").alias("class")).agg(F.min(F.struct("doc_id", "at", "n")).alias("own"))
-    places = places.withColumn("class", F.col("id"))
-    if comps is not None:
-        places = places.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id")).drop("comp")
+    # one row per class that several documents have or that collides with another; the others take no part any more
+    place = F.struct("doc_id", "at", "n")
+    classes = places.groupBy("id").agg(F.min(place).alias("first"), F.max(F.struct("doc_id")).alias("last"), F.min(F.when(F.col("within") >= 0, place)).alias("own"))
+    hit = postings.select("id").distinct().withColumn("hit", F.lit(True))
+    classes = keep(classes.join(hit, "id", "left").filter("hit OR struct(first.doc_id) <> last"), "paragraph-classes")
+    sets = keep(_sets(docs, classes.filter("hit").select("id", "first.doc_id")), "paragraph-sets")
+    comps = cluster(postings, sets.select("id", F.size("toks").alias("n"), "sketch"), lambda pairs: _verified(pairs, sets, percent), percent, "paragraphs", stored=True)
+    classes = classes.withColumn("comp", F.col("id")) if comps is None else classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    kept = classes.groupBy("comp").agg(F.min("first").alias("kept"), F.max("last").alias("end")).filter("struct(kept.doc_id) <> end").drop("end")
     # a table of its own, so that Spark can split the rows of a very common unit in the join
-    first = keep(places.groupBy("id").agg(F.min(F.struct("doc_id", "at", "n")).alias("kept"), F.max(F.struct("doc_id")).alias("last"))
-                 .filter("struct(kept.doc_id) <> last").drop("last"), "paragraph-first")
-    gone = places.join(first, "id").filter(~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
+    moving = keep(classes.join(kept, "comp").select("id", "kept", "own"), "paragraph-moving")
+    gone = places.join(moving, "id").filter(~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
     pieces = gone.select("doc_id", "at", "n", F.col("kept.doc_id").alias("kept"), F.lit(1).alias("c"))
     if extend:
         gone = keep(gone, "paragraph-gone")
         pieces = gone.select("doc_id", "at", "n", F.col("kept.doc_id").alias("kept"), F.lit(1).alias("c"))
         whole = gone.filter("within < 0").select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at")).distinct()
-        left = gone.filter("within >= 0").join(whole, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("within") == F.col("_at")), "left_anti").join(own, "class")
+        left = gone.filter("within >= 0").join(whole, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("within") == F.col("_at")), "left_anti")
         left = left.withColumn("other", F.when(F.col("own.doc_id").eqNullSafe(F.col("doc_id")), F.col("kept")).otherwise(F.col("own")))
         pieces = pieces.union(_extended(docs, left).withColumn("c", F.lit(0)))
     units = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "kept", "c"))).alias("units"))
