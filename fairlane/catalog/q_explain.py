@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
+from fairlane.catalog.q_fairness import FT_DBL, ft_sql
 from fairlane.catalog.q_fit import SPLIT_SQL
 from fairlane.catalog.q_models import FEATURES, model_table
 from fairlane.operators import explain, fairness, models, tree_shapley, windows
@@ -83,7 +84,15 @@ def group_thresholds(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg("pred").alias("rate"))
 
 
-@register("m26_group_thresholds_model_rate")
+@register("m26_group_thresholds_model_rate", dbl=FT_DBL, ctes="""
+own AS (SELECT model, round(1e0 - avg(pred), 12) AS p FROM predictions WHERE grp_b IS NOT NULL GROUP BY model),
+rk AS (SELECT model, grp_b, score, row_number() OVER (PARTITION BY model, grp_b ORDER BY score) - 1 AS k,
+              count(*) OVER (PARTITION BY model, grp_b) AS n FROM predictions WHERE grp_b IS NOT NULL),
+cut AS (SELECT rk.model, grp_b, max(score) FILTER (k = floor(p * (n - 1)))
+               + (max(score) FILTER (k = ceil(p * (n - 1))) - max(score) FILTER (k = floor(p * (n - 1)))) * max(p * (n - 1) - floor(p * (n - 1))) AS cut
+        FROM rk JOIN own ON own.model = rk.model GROUP BY 1, 2),
+adj AS (SELECT p.model, p.y_true, p.grp_a, p.grp_b, p.grp_c, coalesce(CAST(p.score >= cut.cut AS INTEGER), p.pred) AS pred
+        FROM predictions p LEFT JOIN cut ON cut.model = p.model AND cut.grp_b = p.grp_b),""" + ft_sql("adj"), sql="SELECT * FROM ft")
 def group_thresholds_own_rate(spark, d):
     adj = explain.group_thresholds(predictions(spark, d), "grp_b")
     return fairness.fairness_table(adj, ["grp_a", "grp_b", "grp_c"])

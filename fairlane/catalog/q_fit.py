@@ -3,12 +3,16 @@ apply to every row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlane.catalog import register
 from fairlane.operators import encode, joins
 from fairlane.operators import split as sp
+from fairlane.session import checkpoint_dir
 from fairlane.sources.tables import applications, hash_bucket_sql
 
 SPLIT_SQL = f"""
@@ -201,3 +205,20 @@ SELECT a.application_id, a.state_code, i.idx AS state_code_idx FROM applications
 def label_idx(spark, d):
     a = applications(spark, d).select("application_id", "state_code")
     return encode.label_index(a, "state_code")
+
+
+@register("m01_saved_fits", ctes=SPLIT_SQL, sql="""
+SELECT m.fit, count(*) AS rows, true AS same FROM sa, (VALUES ('imputer'), ('one_hot'), ('scaler'), ('bins')) m(fit) WHERE split = 'test' GROUP BY m.fit""")
+def saved_fits(spark, d):
+    """Test rows through each fitted encoder and through what is loaded of it again."""
+    t = _split_apps(spark, d).select("application_id", "split", "income", "loan_amount", "grp_b")
+    train, test = t.where("split = 'train'"), t.where("split = 'test'")
+    fits = {"imputer": encode.fit_median_imputer(train, ["income"]), "one_hot": encode.fit_one_hot(train, ["grp_b"]),
+            "scaler": encode.fit_standard_scaler(train, ["loan_amount"]), "bins": encode.fit_quantile_one_hot(train, "loan_amount")}
+    out = []
+    for name, fit in fits.items():
+        again = encode.load_fit(spark, encode.save_fit(spark, fit, f"{checkpoint_dir(spark).rstrip('/')}/fit-{uuid.uuid4().hex}"))
+        a, b = fit.transform(test), again.transform(test)
+        rows = a.unionByName(b).groupBy(*a.columns).agg(F.count(F.lit(1)).alias("k"))
+        out.append(rows.agg(F.lit(name).alias("fit"), F.sum(F.col("k") / 2).cast("bigint").alias("rows"), F.every(F.col("k") % 2 == 0).alias("same")))
+    return reduce(DataFrame.unionByName, out)

@@ -98,7 +98,18 @@ def decorrelate(spark, d):
     return stats.decorrelate(a, ["loan_amount", "income"], "grp_b")
 
 
-@register("m23_information_reduction")
+_GROUP_MEANS = ", ".join(f"avg({c}) AS g_{c}, count({c}) AS n_{c}" for c in MI_COLS)
+_ALL_MEANS = ", ".join(f"sum(g_{c} * n_{c}) OVER () / sum(n_{c}) OVER () AS o_{c}" for c in MI_COLS)
+_WITHOUT_GROUP = ", ".join(f"coalesce(a.{c} - o.g_{c} + o.o_{c}, a.{c}) AS {c}" for c in MI_COLS)
+
+
+@register("m23_information_reduction", dbl=["mi_before", "mi_after", "reduction_pct"], ctes=f"""
+gm AS (SELECT grp_b, {_GROUP_MEANS} FROM applications WHERE grp_b IS NOT NULL GROUP BY grp_b),
+om AS (SELECT *, {_ALL_MEANS} FROM gm),
+dec AS (SELECT a.grp_b, {_WITHOUT_GROUP} FROM applications a LEFT JOIN om o ON a.grp_b = o.grp_b)""", sql=f"""
+WITH x AS (SELECT (SELECT avg(mutual_information) FROM ({_mi_sql("applications", "grp_b", MI_COLS)})) AS mi_before,
+                  (SELECT avg(mutual_information) FROM ({_mi_sql("dec", "grp_b", MI_COLS)})) AS mi_after)
+SELECT *, (mi_before - mi_after) / mi_before * 100e0 AS reduction_pct FROM x""")
 def information_reduction(spark, d):
     a = applications(spark, d).select("application_id", "grp_b", *MI_COLS)
     return stats.information_reduction(a, stats.decorrelate(a, MI_COLS, "grp_b"), MI_COLS, "grp_b")

@@ -9,7 +9,8 @@ splitting) when it is not. Nothing row-level comes back to the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,3 +258,19 @@ def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     labels = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     idx = ordered_prefix_sums(labels, [], col, ["_one"]).select(col, (F.col("cum__one") - 1).cast("int").alias(out))
     return df.join(idx, col, "left")
+
+
+# --- saving and loading fits ------------------------------------------------------------
+
+def save_fit(spark, fit, path: str) -> str:
+    """Write a fitted imputer, one-hot, quantile-bin or scaler model as one JSON row; an older one there is replaced."""
+    row = [(type(fit).__name__, json.dumps(asdict(fit)))]
+    spark.createDataFrame(row, "kind string, fit string").coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load_fit(spark, path: str):
+    """The model that ``save_fit`` wrote."""
+    kinds = {c.__name__: c for c in (ImputerModel, OneHotModel, QuantileBins, ScalerModel)}
+    r = spark.read.schema("kind string, fit string").json(path).first()
+    return kinds[r["kind"]](**json.loads(r["fit"]))
