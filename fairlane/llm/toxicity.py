@@ -51,7 +51,9 @@ def _features(word: str) -> set[str]:
 
 
 def _words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The text's words in lower case; where that changes a length, words are found before, so that offsets hold."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, dict[int, int]]:

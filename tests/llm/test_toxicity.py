@@ -83,3 +83,13 @@ def test_no_labels(spark):
     assert [r["score"] for r in toxicity.predictions(df, none).collect()] == [0.5]
     one = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in toxicity.predictions(df, one).collect()] == [0]
+
+
+def test_offsets_hold_where_lower_case_is_longer(spark):
+    docs, labels = corpus()
+    docs = spark.createDataFrame(docs, DOCS)
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text = "İstanbul İİ place " + " ".join(BAD) + " here"
+    assert len(text.lower()) > len(text)
+    row = toxicity.tag(spark.createDataFrame([(1, text, None, None, 0)], DOCS), field).first()
+    assert {text[s["start"]:s["end"]] for s in row["spans"]} == set(BAD)
