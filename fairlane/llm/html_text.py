@@ -10,7 +10,9 @@ all of it, as long as no heading or paragraph lies beside it. The blocks
 below that node are text, but for those in elements whose tag, role, class or
 id marks them as a menu, header, footer, sidebar, notice, advert, form or
 comment, for lists of nothing but links, and for boxes beside the content
-without a content path or heading.
+without a content path or heading. Inside an article or main element a mark
+counts only if all words of the class and id agree with it, running text goes
+only as an advert, and lists of links stay.
 """
 
 from __future__ import annotations
@@ -51,6 +53,14 @@ HEADER_WORDS = frozenset(("header", "masthead", "banner"))
 ARTICLE_WORDS = frozenset(("article", "post", "entry", "story", "content", "title"))
 # Of DROP_WORDS, those that also name wrappers of a whole page.
 WRAPPER_WORDS = frozenset("header banner widget widgets share social form forms alert modal overlay popup paywall skip".split())
+# Words that say nothing beside one of DROP_WORDS (as in "share-buttons"), tags of running text, and the
+# words that mark these as an advert.
+NEUTRAL_WORDS = frozenset(
+    "area bar bars block blocks body bottom box boxes bar btn button buttons container content count counter counts el element entry group head heading holder icon icons "
+    "inline inner item items js left link links list lists main module outer page panel post posts region right row rows section site slot small story "
+    "text thread title tool tools top unit view wrap wrapper".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion".split())
 KEEP_TAGS = frozenset("html body main article".split())
 WRAPS = 3
 
@@ -67,6 +77,14 @@ class _Element:
         self.tag, self.path, self.parent, self.drop, self.in_main, self.holds_main = tag, path, parent, drop, in_main, False
 
 
+def _marks_inside(tag: str, words: set[str], hit: set[str]) -> bool:
+    """Whether an element inside the article is marked as no part of it: by all its
+    words ("share-buttons", not "share-price"), running text as an advert only."""
+    if words - DROP_WORDS - NEUTRAL_WORDS:
+        return False
+    return bool(hit & ADVERT_WORDS) if tag in TEXT_TAGS else hit != {"discussion"}
+
+
 def _open(tag: str, attrs: str, parent: _Element) -> _Element:
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     marks = html.unescape(f"{got.get('class', '')} {got.get('id', '')}")
@@ -81,6 +99,8 @@ def _open(tag: str, attrs: str, parent: _Element) -> _Element:
         pass
     elif tag not in KEEP_TAGS:
         hit = words & (DROP_WORDS - HEADER_WORDS if parent.in_main or words & ARTICLE_WORDS else DROP_WORDS)
+        if hit and parent.in_main and not _marks_inside(tag, words, hit):
+            hit = set()
         drop = 0 if not hit else 3 if hit <= WRAPPER_WORDS else 1
     path = f"{parent.path}/{tag}" + ("." + got["class"].strip() if got.get("class", "").strip() else "")
     e = _Element(tag, path, parent, drop, in_main)
@@ -302,7 +322,7 @@ def main_text(page: str | None) -> str:
         while up is not None and up is not node:
             child, up = up, up.parent
         p = paths[e.path]
-        only_links = p[3] > 0.8 * p[1] and p[0] >= 3 and e.tag != "p" and e.path not in content
+        only_links = p[3] > 0.8 * p[1] and p[0] >= 3 and e.tag != "p" and e.path not in content and not e.in_main
         aside = best is not None and child is not None and child.tag in BOX and not mass.get(id(child)) and e.tag not in ("h1", "h2")
         if up is not None and not only_links and not aside:
             kept.append(text)
