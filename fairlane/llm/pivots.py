@@ -140,7 +140,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     rows = keep(rows.withColumn("h1", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.xxhash64("v"))).withColumn(
         "h2", F.xxhash64(F.lit(1), "v")).withColumn("dim", (F.octet_length("v") / 8).cast("int")), "pivot-vectors")
     usable = rows.filter("v IS NOT NULL AND h1 IS NOT NULL")
-    classes = keep(usable.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")), "pivot-classes")
+    classes = keep(usable.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v"))
+                   .withColumn("id", F.monotonically_increasing_id()), "pivot-classes")      # numbers of their own: an id may have several vectors
+    placed = keep(rows.join(classes.select("label", "dim", "h1", "h2", "id"), ["label", "dim", "h1", "h2"], "left").select("vec_id", "id"), "pivot-placed")
     chosen: dict[int, list[bytes]] = {}
     for r in classes.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect():
         chosen.setdefault(r["dim"], []).append(r["v"])
@@ -151,13 +153,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
     found = keep(dealt.groupBy("label", "dim", "pivot", "a", "b").applyInArrow(lambda t: _block(t, shared, cosine), "id long, root long, links long"), "pivot-found")
-    roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), "pivot")
+    # classes that share a vector id are one node
+    nodes = placed.filter("id IS NOT NULL").distinct()
+    low = nodes.groupBy("vec_id").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").drop("top")
+    same = nodes.join(low, "vec_id").filter("id <> u").select("u", F.col("id").alias("v"))
+    roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(same), "pivot")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = classes.join(linked, "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    classes = classes.select("id", "first", "copies").join(linked, "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     if roots is not None:
-        classes = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
+        classes = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        classes = classes.join(classes.groupBy("root").agg(F.min("first").alias("component")), "root")
     else:
-        classes = classes.withColumn("component", F.col("id"))
-    out = rows.select("vec_id", "label", "dim", "h1", "h2").join(classes.select("label", "dim", "h1", "h2", "n_links", "component"), ["label", "dim", "h1", "h2"], "left")
+        classes = classes.withColumn("component", F.col("first"))
+    out = placed.join(classes.select("id", "n_links", "component"), "id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -73,3 +73,12 @@ def test_empty_table_and_null_id(spark):
     got = {tuple(r) for r in pivots.near_duplicates(df).collect()}
     assert got == {(None, 0, None, False), (4, 1, 4, True), (5, 1, 4, False)}
     assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    """Two vectors of id 5 join what each of them links with; links stay those of the vector."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [0.01, 1.0, 0.0]
+    df = spark.createDataFrame([(3, v, 1), (5, v, 1), (5, w, 1), (7, near, 1), (9, [0.0, 0.0, 1.0], 1), (5, w, 2)], SCHEMA)
+    got = sorted(tuple(r)[:3] for r in pivots.near_duplicates(df).collect())
+    assert got == [(3, 1, 3), (5, 0, 3), (5, 1, 3), (5, 1, 3), (7, 1, 3), (9, 0, 9)]
