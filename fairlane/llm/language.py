@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from fairlane.llm.common import U64, bytes_of, chunks, prepare
 
 PER_LANG = 300
+LANGUAGES, ROWS_IN_ALL = 1000, 20_000
 LANDMARKS = 256
 BITS = 16
 GRAMS = (2, 3, 4, 5)
@@ -68,13 +69,19 @@ class Kernel:
         return out + self.bias
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Kernel | None:
-    """Fit on at most ``per_lang`` rows (doc_id, text, lang) of each language; None without any row."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, languages: int = LANGUAGES, rows_in_all: int = ROWS_IN_ALL) -> Kernel | None:
+    """Fit on at most ``per_lang`` rows (doc_id, text, lang) of each language; None without any row.
+
+    The sample is bounded: the ``languages`` most frequent ones are learnt,
+    and with many of them fewer rows of each, ``rows_in_all`` in sum.
+    """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
     langs = sorted(counts)
+    per_lang = max(1, min(per_lang, rows_in_all // len(langs)))
+    rows = rows.filter(F.col("lang").isin(langs))
     # by hash of the id about half as many again as are wanted of each language come, then the first of them count
     share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(1.0, (1.5 * per_lang + 30) / counts[l])))])
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))

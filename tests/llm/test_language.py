@@ -47,3 +47,12 @@ def test_scores_equal_the_kernel_written_out():
     want = [kernel.weights[g].sum(0) / np.sqrt(max(1, len(g))) + kernel.bias for g in grams]
     assert np.allclose(kernel.scores(grams), want)
     assert len(grams[0]) == len({t[i:i + n] for t in (b"abcabd",) for n in language.GRAMS for i in range(len(t) - n + 1)})
+
+
+def test_the_sample_is_bounded_over_many_languages(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + f"{i % 40:02d}" for _ in range(12)), f"l{i % 40:02d}", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(language.fit(docs).langs) == 40
+    few = language.fit(docs, languages=7, rows_in_all=20)
+    assert few.langs == [f"l{i:02d}" for i in range(7)]             # ties by name
