@@ -9,7 +9,8 @@ window can be short.
 
 Token ids of a text are those of its parts, cut at white space and where an
 ASCII letter or digit meets an ASCII mark, since the tokenizer cuts there too
-and lower-cases first. Parts repeat, so a worker encodes each part once and
+and lower-cases first. A worker tries this on ``PROBES`` when it loads a
+tokenizer; one that does otherwise encodes whole texts. Parts repeat, so a worker encodes each part once and
 keeps a bounded table of parts by their 64-bit hash; texts are then put
 together by array look-ups.
 """
@@ -34,6 +35,8 @@ _BLANK[[9, 10, 13, 32]] = True
 _KIND = np.zeros(256, np.uint8)     # 1: letter or digit, 2: mark that joins nothing; ' < | > belong to contractions and special tokens
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = 2
+PROBES = ("The quick,brown fox-1a's 2nd (A/B) \"x\" e.g. don't!", "a\tb\nc  d\r\n e", "x=1;y_2|z<end>;<|endoftext|>#", "ÀÉ naïve 漢字 42km 3.14",
+          "ALL CAPS&mixed-Case...", "--a--b==c", "we'll they've I'm", "", " lead and trail ", "user@mail.org/path?q=1&r=2")
 _loaded: dict[str, "_Encoder"] = {}
 
 
@@ -50,6 +53,16 @@ class _Encoder:
         self.bare = Tokenizer.from_str(json.dumps(bare))    # does the same for lower-case ASCII letters, in half the time
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._clear()
+        self.by_parts = True
+        raw = [p.encode() for p in PROBES]
+        got, off = self.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 0)
+        self.by_parts = all(got[a:b - 1].tolist() == self.tok.encode(p, add_special_tokens=False).ids for p, a, b in zip(PROBES, off, off[1:]))
+
+    def _whole(self, data: np.ndarray, off: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
+        """``texts`` of a tokenizer that does not cut where the parts do."""
+        raw = data.tobytes()
+        ids = [[*e.ids, eos] for e in self.tok.encode_batch([raw[s:e].decode("utf-8", "replace") for s, e in zip(off.tolist(), off[1:].tolist())], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], self.kind), np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
 
     def _clear(self):
         self.hash, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
@@ -74,6 +87,8 @@ class _Encoder:
 
     def texts(self, data: np.ndarray, off: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with ``eos`` after each, and the texts' offsets in them."""
+        if not self.by_parts:
+            return self._whole(data, off, eos)
         start, end, text = word_spans(data, off, _BLANK, _KIND)
         h = word_hashes(data, start, end)
         special = data == 60            # '<' can begin a special token, whose case counts

@@ -74,3 +74,17 @@ def test_empty_table_repeated_rows_and_null_id(spark):
     rows = packing.pack(df, PATH).collect()
     assert sum(r["length"] for r in rows) == 2 * len(expected("a b")) + len(expected("c"))
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_a_tokenizer_that_cuts_elsewhere_encodes_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert packing._Encoder(PATH).by_parts and not packing._Encoder(path).by_parts
+    texts = {1: "A b,c  D's\n\nX", 2: None, 3: "", 4: "é 漢字 <end>"}
+    got = {}
+    for r in packing.pack(docs_of(spark, texts), path, window=4).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    assert {i: [x for _, p in sorted(ps) for x in p] for i, ps in got.items()} == {
+        i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
