@@ -3,7 +3,7 @@
 Every document is its set of distinct 5-word shingles; documents link when
 ``100 * |intersection| >= 80 * |union|``.
 
-1. Signatures: one row per document with the size and a 128-bit hash of its
+1. Signatures: one row per document with the size and a 64-bit hash of its
    set. Documents with equal sets are one class from here on, so copies never
    meet again, however many they are.
 2. Document frequencies: tasks send (token, class) entries, packed into
@@ -47,15 +47,14 @@ def _sets(chunk, k: int):
 
 
 def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): size and 128-bit hash of each document's shingle set."""
+    """(doc_id, n_shingles, s1): size and 64-bit hash of each document's shingle set."""
     def sign(batches):
         for chunk in chunks(batches):
             sh, off = _sets(chunk, k)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), pa.array(np.diff(off)), long(set_hash(sh, off, 1)), long(set_hash(sh, off, 2))],
-                ["doc_id", "n_shingles", "s1", "s2"])
+                [chunk.column("doc_id"), pa.array(np.diff(off)), long(set_hash(sh, off, 1))], ["doc_id", "n_shingles", "s1"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long")
 
 
 def _entries(docs: DataFrame, k: int, buckets: int) -> DataFrame:
