@@ -72,10 +72,11 @@ def score_counts(df: DataFrame, score: str = "score", y: str = "y_true", by="mod
                  F.count_if(F.col(y) == 0).alias("neg")))
 
 
-def roc_auc(df: DataFrame, score: str = "score", y: str = "y_true", by="model") -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", y: str = "y_true", by="model",
+            rows_per_range: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties averaged: Σ pos(s)·(neg below s + neg(s)/2) / (P·N)."""
     by = as_list(by)
-    c = ordered_prefix_sums(score_counts(df, score, y, by), by, score, ["neg"])
+    c = ordered_prefix_sums(score_counts(df, score, y, by), by, score, ["neg"], rows_per_range=rows_per_range)
     below = F.col("cum_neg") - F.col("neg")
     g = c.groupBy(*by).agg(
         F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0))).alias("_num"),
@@ -83,32 +84,36 @@ def roc_auc(df: DataFrame, score: str = "score", y: str = "y_true", by="model")
     return g.select(*by, safe_div(F.col("_num"), F.col("p").cast("double") * F.col("n")).alias("auc"), "p", "n")
 
 
-def _descending_curve(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
-    c = ordered_prefix_sums(score_counts(df, score, y, by), by, score, ["pos", "neg"], descending=True, totals=True)
+def _descending_curve(df: DataFrame, score: str, y: str, by: list[str], rows_per_range: int | None) -> DataFrame:
+    c = ordered_prefix_sums(score_counts(df, score, y, by), by, score, ["pos", "neg"], descending=True, totals=True,
+                            rows_per_range=rows_per_range)
     return c.withColumnsRenamed({"cum_pos": "tps", "cum_neg": "fps", "tot_pos": "P", "tot_neg": "N"})
 
 
-def roc_curve(df: DataFrame, score: str = "score", y: str = "y_true", by="model") -> DataFrame:
+def roc_curve(df: DataFrame, score: str = "score", y: str = "y_true", by="model",
+              rows_per_range: int | None = None) -> DataFrame:
     """One point per distinct threshold (score >= threshold is positive)."""
     by = as_list(by)
-    c = _descending_curve(df, score, y, by)
+    c = _descending_curve(df, score, y, by, rows_per_range)
     return c.select(*by, F.col(score).alias("threshold"), safe_div(F.col("fps"), F.col("N")).alias("fpr"),
                     safe_div(F.col("tps"), F.col("P")).alias("tpr"), "tps", "fps")
 
 
-def pr_curve(df: DataFrame, score: str = "score", y: str = "y_true", by="model") -> DataFrame:
+def pr_curve(df: DataFrame, score: str = "score", y: str = "y_true", by="model",
+             rows_per_range: int | None = None) -> DataFrame:
     """Precision and recall at each distinct threshold."""
     by = as_list(by)
-    c = _descending_curve(df, score, y, by)
+    c = _descending_curve(df, score, y, by, rows_per_range)
     return c.select(*by, F.col(score).alias("threshold"),
                     safe_div(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"),
                     safe_div(F.col("tps"), F.col("P")).alias("recall"))
 
 
-def average_precision(df: DataFrame, score: str = "score", y: str = "y_true", by="model") -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", y: str = "y_true", by="model",
+                      rows_per_range: int | None = None) -> DataFrame:
     """AP = Σ over thresholds of (recall step) × precision."""
     by = as_list(by)
-    c = _descending_curve(df, score, y, by)
+    c = _descending_curve(df, score, y, by, rows_per_range)
     prec = F.col("tps") / (F.col("tps") + F.col("fps"))
     return c.groupBy(*by).agg(safe_div(F.sum(F.col("pos") * prec), F.first("P")).alias("average_precision"))
 

@@ -29,7 +29,7 @@ KINDS = {
     "logistic_c05": dict(regParam=0.02, elasticNetParam=0.0, maxIter=100),
     "sparse_logistic": dict(regParam=0.01, elasticNetParam=1.0, maxIter=100),
     "gbt": dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8),
-    "forest": dict(numTrees=200, maxDepth=15, featureSubsetStrategy="sqrt"),
+    "forest": dict(numTrees=200, maxDepth=15, featureSubsetStrategy="sqrt", maxMemoryInMB=1024),
     "mlp": dict(layers=(128, 64, 32), maxIter=100),
     "tree": dict(maxDepth=5),
 }

@@ -104,8 +104,8 @@ def median_by(df: DataFrame, value: str, by: str, approx: bool = False) -> DataF
     d = drop_null_keys(df, [by])
     if approx:
         g = d.groupBy(by).agg(median(value, True).alias("median"))
-    else:
-        g = exact_quantiles(d, by, value, [0.5], "median").withColumn("median", F.col("median")[0])
+        return g.withColumn("gap", g.agg(F.max("median") - F.min("median")).scalar())
+    g = exact_quantiles(d, by, value, [0.5], "median").withColumn("median", F.col("median")[0])
     g, gap = with_constants(g, F.max("median") - F.min("median"))
     return g.withColumn("gap", F.lit(gap).cast("double"))
 

@@ -21,18 +21,18 @@ def _auc_brute(pairs):
 def test_auc_matches_brute_force_and_reverses(spark):
     pairs = [(0.1, 0), (0.4, 1), (0.35, 0), (0.8, 1), (0.4, 0), (0.7, 1), (0.2, 0), (0.9, 0), (0.4, 1)]
     df = spark.createDataFrame([("m", s, y) for s, y in pairs], "model string, score double, y_true int")
-    auc = metrics.roc_auc(df, n_buckets=3).first()["auc"]
+    auc = metrics.roc_auc(df, rows_per_range=3).first()["auc"]
     assert abs(auc - _auc_brute(pairs)) < 1e-12
-    rev = metrics.roc_auc(df.withColumn("score", -F.col("score")), n_buckets=3).first()["auc"]
+    rev = metrics.roc_auc(df.withColumn("score", -F.col("score")), rows_per_range=3).first()["auc"]
     assert abs(rev - (1 - auc)) < 1e-12
-    const = metrics.roc_auc(df.withColumn("score", F.lit(0.5)), n_buckets=3).first()["auc"]
+    const = metrics.roc_auc(df.withColumn("score", F.lit(0.5)), rows_per_range=3).first()["auc"]
     assert const == 0.5
 
 
 def test_roc_curve_ends_at_one(spark):
     a = applications(spark, SMALL)
     p = a.select(F.lit("m").alias("model"), F.col("score_signal").alias("score"), F.col("label_signal").alias("y_true"))
-    c = metrics.roc_curve(p, n_buckets=8)
+    c = metrics.roc_curve(p, rows_per_range=200)
     last = c.orderBy("threshold").first()
     assert last["fpr"] == 1.0 and last["tpr"] == 1.0
 
