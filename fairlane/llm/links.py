@@ -37,6 +37,19 @@ def sketch(tokens: np.ndarray) -> bytes:
     return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
 
 
+def sketches(tokens: np.ndarray, own: np.ndarray, n: int) -> list[bytes]:
+    """``sketch`` of each of ``n`` items at once: ``own`` is the item of each token."""
+    out = []
+    bucket = (mix(tokens.view(U64)) % U64(SKETCH)).astype(np.int64)
+    for at in range(0, n, 4096):
+        here = (own >= at) & (own < at + 4096)
+        c = np.bincount((own[here] - at) * SKETCH + bucket[here], minlength=min(4096, n - at) * SKETCH).reshape(-1, SKETCH)
+        fits = c.max(axis=1) < 256
+        rows = c.astype(np.uint8)
+        out += [rows[i].tobytes() if fits[i] else b"" for i in range(len(rows))]
+    return out
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame | None:
     """(node, root) of every node of the undirected ``edges`` (u, v); root is the component's smallest node.
 
@@ -134,11 +147,14 @@ def cluster(postings: DataFrame, items: DataFrame, verify: Callable[[DataFrame],
     ``postings`` has (key, id), both long, without repeats; ``items`` has (id,
     n, sketch) with the number of an item's tokens; ``verify`` takes distinct
     pairs (x, y) and returns those of Jaccard similarity ``percent`` / 100 or
-    more. ``stored`` tells that ``postings`` is a written table. None if no list has two ids.
+    more. ``stored`` tells that ``postings`` is a written table of lists of two or more. None if no list has two ids.
     """
-    postings = postings if stored else keep(postings, f"{name}-postings")
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    lists = keep(postings.join(shared, "key"), f"{name}-lists")
+    if stored:
+        lists = postings
+    else:
+        postings = keep(postings, f"{name}-postings")
+        shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+        lists = keep(postings.join(shared, "key"), f"{name}-lists")
     if lists.isEmpty():
         return None
     labels = keep(lists.select("id").distinct().withColumn("comp", F.col("id")), f"{name}-labels")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlane.llm.common import U64, bytes_of, chunks, keep, long, mix, parts_for, prepare, set_hash, text_bytes, word_hashes, word_spans
-from fairlane.llm.links import cluster, sketch
+from fairlane.llm.links import cluster, sketches
 
 WORDS = 5
 MIN_WORDS, LONG, WINDOW, SPREAD = 8, 40, 20, 24
@@ -172,9 +172,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if c in want[t]:
                     want[t].remove(c)
                     pick.append(i)
+            pick = np.array(pick, np.int64)
+            # distinct shingles of all picked units at once, sorted within each
+            size = np.diff(off)[pick]
+            own = np.repeat(np.arange(len(pick)), size)
+            tok = sh[np.repeat(off[:-1][pick] - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), size) + np.arange(size.sum())]
+            order = np.lexsort((tok, own))
+            tok, own = tok[order], own[order]
+            one = np.concatenate(([True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))) if len(tok) else np.zeros(0, bool)
+            tok, own = tok[one], own[one]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(pick)))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([mine[i] for i in pick], pa.int64()), pa.array([sketch(np.unique(sh[off[i]:off[i + 1]])) for i in pick], pa.binary()),
-                 pa.array([np.unique(sh[off[i]:off[i + 1]]).view(np.int64) for i in pick], pa.list_(pa.int64()))], ["id", "sketch", "toks"])
+                [pa.array(ids.view(np.int64)[pick]), pa.array(sketches(tok, own, len(pick)), pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), long(tok))], ["id", "sketch", "toks"])
 
     return rows.mapInArrow(extract, "id long, sketch binary, toks array<long>")
 
