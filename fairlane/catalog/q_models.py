@@ -136,3 +136,14 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, case_type ORDER
                FROM c WHERE case_type IS NOT NULL) WHERE rank <= 3""")
 def example_cases(spark, d):
     return models.example_cases(predictions(spark, d), 3)
+
+
+@register("m18_vote_batch", ctes=SPLIT_SQL, sql="""
+SELECT count(*) AS rows, count(label_signal) AS labelled, true AS same FROM sa WHERE split = 'test'""")
+def vote_batch(spark, d):
+    """The vote of three fitted models row by row, equal to the vote over their long prediction table."""
+    fitted, p = _fit_and_score(spark, d, {"logistic": ("logistic", {}), "tree": ("tree", {}), "logistic_c05": ("logistic_c05", {})})
+    t = model_table(spark, d).where("split = 'test'").select("application_id", "label", *FEATURES)
+    a, b = models.vote_batch(fitted, t), models.soft_vote(p).select("application_id", F.col("score").alias("other"))
+    j = a.join(b, "application_id", "left")
+    return j.agg(F.count(F.lit(1)).alias("rows"), F.count("y_true").alias("labelled"), F.every(F.abs(F.col("score") - F.col("other")) < 1e-12).alias("same"))
