@@ -34,7 +34,7 @@ from fairlane.llm.common import U64, bytes_of, chunks, keep, long, mix, parts_fo
 from fairlane.llm.links import cluster, sketch
 
 WORDS = 5
-BUCKET_BYTES = 4 << 20          # text whose tokens one bucket gets
+BUCKET_BYTES = 16 << 20         # text whose tokens one bucket gets; less takes less memory and sends more
 FP_BITS, BUCKET_BITS = 36, 22   # of a token; 6 bits for the frequency class lie above
 CLASSES = 63
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
@@ -187,7 +187,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= (F.col("x_n") + F.col("y_n") - shared) * percent).select("x", "y")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 80,
+                       bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``.
 
     component_id is the smallest id reachable by links of Jaccard similarity
@@ -201,7 +202,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = text_bytes(docs)
-    buckets = parts_for(size, BUCKET_BYTES, 1 << BUCKET_BITS)
+    buckets = parts_for(size, bucket_bytes, 1 << BUCKET_BITS)
     sigs = keep(signatures(docs, k), "jaccard-sigs")
     shared = _shared_tokens(_entries(docs, k, buckets), buckets)
     sets = keep(_prefixes(shared, percent), "jaccard-sets")
@@ -217,7 +218,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose id is their component's smallest; rows with a null id stay."""
-    keepers = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+def one_per_group(docs: DataFrame, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) whose id is their component's smallest; rows with a null id stay.
+
+    Smaller buckets than the join's own, for workers that other stages used before.
+    """
+    keepers = jaccard_components(docs, bucket_bytes=bucket_bytes).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.filter("doc_id IS NULL").unionByName(docs.join(keepers, "doc_id", "left_semi"))
