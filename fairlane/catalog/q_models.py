@@ -22,11 +22,16 @@ from fairlane.sources.tables import applications, predictions
 
 FEATURES = ["loan_amount", "income", "property_value", "interest_rate", "loan_term", "has_coborrower",
             "loan_to_income_ratio", "loan_to_value_ratio", "loan_costs_ratio"]
+INPUTS = ["loan_amount", "income", "property_value", "interest_rate", "total_loan_costs", "loan_term", "has_coborrower"]
 
 
 def model_table(spark, d):
-    """Applications → imputed inputs (fit on train) → ratio features, with ``label`` and ``split``."""
+    """Applications → imputed inputs (fit on train) → ratio features, with ``label`` and ``split``.
+
+    The inputs are written once: the imputer's fit and every pass of a caller read them, no one joins and groups the tables again.
+    """
     a = sp.split(applications(spark, d)).withColumn("label", F.col("label_signal").cast("double"))
+    a = written(a.select("application_id", "split", "label", *INPUTS), "model-inputs")
     imp = encode.fit_median_imputer(a.where("split = 'train'"), ["income", "property_value", "interest_rate"])
     t = fx.ratio_features(imp.transform(a))
     return t.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
@@ -35,10 +40,9 @@ def model_table(spark, d):
 STOPPED = ("gbt", "mlp")        # kinds that look at the validation rows
 
 
-def _fit_and_score(spark, d, kinds: dict):
-    """Fit each kind on one written table and score the test rows with all of them in one pass."""
-    t = model_table(spark, d).select("application_id", "split", "label", *FEATURES, (F.col("split") == "validation").alias("held"))
-    t = written(t, "model-table")
+def _fit_and_score(t, kinds: dict):
+    """Fit each kind on the model table and score the test rows with all of them in one pass."""
+    t = t.select("application_id", "split", "label", *FEATURES, (F.col("split") == "validation").alias("held"))
     tr = t.where("split <> 'test'")
     fitted = {name: models.train(tr if kind in STOPPED else tr.where("NOT held"), FEATURES, kind, weight="balanced",
                                  validation="held" if kind in STOPPED else None, **params) for name, (kind, params) in kinds.items()}
@@ -47,7 +51,7 @@ def _fit_and_score(spark, d, kinds: dict):
 
 @register("m12_m13_linear_models")
 def linear_models(spark, d):
-    _, p = _fit_and_score(spark, d, {"logistic": ("logistic", {}), "sparse_logistic": ("sparse_logistic", {})})
+    _, p = _fit_and_score(model_table(spark, d), {"logistic": ("logistic", {}), "sparse_logistic": ("sparse_logistic", {})})
     return metrics.model_comparison(p)
 
 
@@ -55,7 +59,7 @@ def linear_models(spark, d):
 SELECT 'sparse_logistic' AS model, 9 AS weights, true AS some_zero, true AS some_kept, count(*) AS rows FROM sa WHERE split = 'test'""")
 def sparse_weights(spark, d):
     """Non-zero weights of the sparse fit: the strong penalty leaves some features out, not all."""
-    fitted, p = _fit_and_score(spark, d, {"sparse_logistic": ("sparse_logistic", {"regParam": 0.05})})
+    fitted, p = _fit_and_score(model_table(spark, d), {"sparse_logistic": ("sparse_logistic", {"regParam": 0.05})})
     kept = models.nonzero_weights(fitted["sparse_logistic"])
     return p.agg(F.lit("sparse_logistic").alias("model"), F.lit(len(FEATURES)).alias("weights"), F.lit(kept < len(FEATURES)).alias("some_zero"),
                  F.lit(kept > 0).alias("some_kept"), F.count(F.lit(1)).alias("rows"))
@@ -63,13 +67,13 @@ def sparse_weights(spark, d):
 
 @register("m14_m15_m17_tree_models")
 def tree_models(spark, d):
-    _, p = _fit_and_score(spark, d, {"gbt": ("gbt", {}), "forest": ("forest", {}), "tree": ("tree", {})})
+    _, p = _fit_and_score(model_table(spark, d), {"gbt": ("gbt", {}), "forest": ("forest", {}), "tree": ("tree", {})})
     return metrics.model_comparison(p)
 
 
 @register("m16_mlp_model")
 def mlp_model(spark, d):
-    _, p = _fit_and_score(spark, d, {"mlp": ("mlp", {})})
+    _, p = _fit_and_score(model_table(spark, d), {"mlp": ("mlp", {})})
     return metrics.model_comparison(p)
 
 
@@ -78,7 +82,7 @@ SELECT m.model, m.most, true AS within, count(*) AS rows, count(label_signal) AS
 FROM sa, (VALUES ('gbt', 200), ('mlp', 4)) m(model, most) WHERE split = 'test' GROUP BY m.model, m.most""")
 def early_stop(spark, d):
     """Boosting rounds chosen on the validation rows (at most 200), the network's layers of weights, and rows scored."""
-    fitted, p = _fit_and_score(spark, d, {"gbt": ("gbt", {}), "mlp": ("mlp", {})})
+    fitted, p = _fit_and_score(model_table(spark, d), {"gbt": ("gbt", {}), "mlp": ("mlp", {})})
     most, chosen = {"gbt": 200, "mlp": 4}, {m: models.rounds(f) for m, f in fitted.items()}
     return p.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.count("y_true").alias("labelled")).select(
         "model", F.when(F.col("model") == "gbt", most["gbt"]).otherwise(most["mlp"]).alias("most"),
@@ -87,7 +91,7 @@ def early_stop(spark, d):
 
 @register("m19_score_batch_long")
 def score_batch(spark, d):
-    _, p = _fit_and_score(spark, d, {"logistic": ("logistic", {}), "tree": ("tree", {}), "logistic_c05": ("logistic_c05", {})})
+    _, p = _fit_and_score(model_table(spark, d), {"logistic": ("logistic", {}), "tree": ("tree", {}), "logistic_c05": ("logistic_c05", {})})
     return p
 
 
@@ -96,7 +100,7 @@ SELECT m.model, count(*) AS rows, true AS in_range, count(label_signal) AS label
 FROM sa, (VALUES ('logistic'), ('sparse_logistic'), ('forest'), ('gbt'), ('mlp'), ('tree')) m(model) WHERE split = 'test' GROUP BY m.model""")
 def score_batch_counts(spark, d):
     """All kinds of model in one scoring pass."""
-    _, p = _fit_and_score(spark, d, {k: (k, {}) for k in ("logistic", "sparse_logistic", "tree", "forest", "gbt", "mlp")})
+    _, p = _fit_and_score(model_table(spark, d), {k: (k, {}) for k in ("logistic", "sparse_logistic", "tree", "forest", "gbt", "mlp")})
     return p.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.every(F.col("score").between(0.0, 1.0)).alias("in_range"),
                                   F.count("y_true").alias("labelled"))
 
@@ -142,8 +146,9 @@ def example_cases(spark, d):
 SELECT count(*) AS rows, count(label_signal) AS labelled, true AS same FROM sa WHERE split = 'test'""")
 def vote_batch(spark, d):
     """The vote of three fitted models row by row, equal to the vote over their long prediction table."""
-    fitted, p = _fit_and_score(spark, d, {"logistic": ("logistic", {}), "tree": ("tree", {}), "logistic_c05": ("logistic_c05", {})})
-    t = model_table(spark, d).where("split = 'test'").select("application_id", "label", *FEATURES)
+    t = model_table(spark, d)
+    fitted, p = _fit_and_score(t, {"logistic": ("logistic", {}), "tree": ("tree", {}), "logistic_c05": ("logistic_c05", {})})
+    t = t.where("split = 'test'").select("application_id", "label", *FEATURES)
     a, b = models.vote_batch(fitted, t), models.soft_vote(p).select("application_id", F.col("score").alias("other"))
     j = a.join(b, "application_id", "left")
     return j.agg(F.count(F.lit(1)).alias("rows"), F.count("y_true").alias("labelled"), F.every(F.abs(F.col("score") - F.col("other")) < 1e-12).alias("same"))
