@@ -9,9 +9,10 @@ Contributions are a long table ``(id, feature, contribution)``:
   expanded to ``n_samples × (features + 1)`` rows (a Generate in the same
   stage), a background row is picked per sample by hash from a small,
   size-checked broadcast table, the whole expanded table is scored by ONE
-  batch ``transform``, and marginal gains are taken with a window
-  partitioned by (id, sample) – never a global order. Cost grows as rows ×
-  samples × features, chosen by the caller.
+  batch ``transform``, and marginal gains are sums of scored steps with signs:
+  rows are spread by id before the expansion, so that their steps are added up
+  where they are made and only the rows themselves are shuffled. Cost grows as
+  rows × samples × features, chosen by the caller.
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ def sampled_contributions(model: PipelineModel, df: DataFrame, features: list[st
     nf = len(features)
     bg = background.select(*[F.col(c).alias(f"_bg_{c}") for c in features]).withColumn(
         "_bgi", F.row_number().over(Window.orderBy(*[f"_bg_{c}" for c in features])) - 1)
-    rows = df.select(key, *features)
+    # spread by key before the steps are made: they are scored and added up where their row is
+    rows = df.select(key, *features).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     t = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
     sk = F.concat_ws(":", F.col(key).cast("string"), F.col("_s").cast("string"))
     t = t.withColumn("_bgi", hash_bucket(seed + "bg", sk, n_bg).cast("int"))
@@ -120,15 +122,15 @@ def sampled_contributions(model: PipelineModel, df: DataFrame, features: list[st
                      *[F.when(pos[c] < F.col("_k"), F.col(c)).otherwise(F.col(f"_bg_{c}")).alias(c) for c in features])
     scored = model.transform(mixed).select(key, "_s", "_k", "_perm",
                                            vector_to_array(F.col("probability"))[1].alias("_p"))
-    w = Window.partitionBy(key, "_s").orderBy("_k")
-    gains = (scored.withColumn("_gain", F.col("_p") - F.lag("_p").over(w))
-             .withColumn("_base", F.first("_p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-             .withColumn("_full", F.last("_p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    gains = gains.where(F.col("_k") > 0).withColumn("_fi", F.element_at("_perm", F.col("_k")))
-    names = F.array(*[F.lit(c) for c in features])
-    out = gains.groupBy(key, "_fi").agg(F.avg("_gain").alias("contribution"), F.avg("_base").alias("base"),
-                                        F.first("_full").alias("score"))
-    return out.select(key, F.element_at(names, F.col("_fi") + 1).alias("feature"), "contribution", "base", "score")
+    # step k gains its score for the k-th feature and takes it from the next one's
+    came, goes = F.get("_perm", F.col("_k") - 1), F.get("_perm", F.col("_k"))
+    drawn = F.count_if(F.col("_k") == 0)                  # samples, times the rows that share the key: a step between copies gains nothing
+    gain = [F.sum(F.when(came == i, F.col("_p")).when(goes == i, -F.col("_p"))) / drawn * (n_samples / drawn) for i in range(nf)]
+    sums = scored.groupBy(key).agg(*[g.alias(f"_g{i}") for i, g in enumerate(gain)],
+                                   F.avg(F.when(F.col("_k") == 0, F.col("_p"))).alias("base"),
+                                   F.max(F.when(F.col("_k") == nf, F.col("_p"))).alias("score"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_g{i}").alias("contribution")) for i, c in enumerate(features)])
+    return sums.select(key, F.inline(cells), "base", "score")
 
 
 def group_thresholds(preds: DataFrame, group: str, target_rate: float | None = None, score: str = "score",

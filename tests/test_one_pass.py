@@ -19,3 +19,20 @@ def test_model_table_reads_written_inputs_only(spark):
     t = model_table(spark, SMALL)
     assert "Join" not in plan(t) and not any("lineitem" in f or "orders" in f for f in t.inputFiles())
     assert set(FEATURES) | {"application_id", "split", "label"} <= set(t.columns)
+
+
+def test_sampled_steps_are_added_up_without_a_shuffle(spark):
+    rows = [(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(200)]
+    t = spark.createDataFrame(rows, "application_id long, x double, y double, label double")
+    m = models.train(t, ["x", "y"], "tree", maxDepth=3)
+    c = explain.sampled_contributions(m, t, ["x", "y"], t.limit(5).select("x", "y"), n_samples=3)
+    steps = plan(c).split("Generate")
+    assert "Window" not in steps[0] and not any("Exchange" in s for s in steps[:3])
+    # rows that share a key, all alike: one row per feature, as base and score
+    one = {(r["application_id"], r["feature"]): r for r in c.collect()}
+    assert len(one) == 400
+    twice = {(r["application_id"], r["feature"]): r for r in
+             explain.sampled_contributions(m, t.unionByName(t), ["x", "y"], t.limit(5).select("x", "y"), n_samples=3).collect()}
+    for k, r in twice.items():
+        assert (r["base"], r["score"]) == (pytest.approx(one[k]["base"]), one[k]["score"])
+        assert r["contribution"] == pytest.approx(one[k]["contribution"] / 2)
