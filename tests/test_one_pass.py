@@ -36,3 +36,14 @@ def test_sampled_steps_are_added_up_without_a_shuffle(spark):
     for k, r in twice.items():
         assert (r["base"], r["score"]) == (pytest.approx(one[k]["base"]), one[k]["score"])
         assert r["contribution"] == pytest.approx(one[k]["contribution"] / 2)
+
+
+def test_looked_up_patterns_equal_the_integral(monkeypatch):
+    inf = np.inf
+    paths = [(2.0, [(0, -inf, 1.0, 0.3), (1, 0.0, 2.0, 0.5)]), (-1.0, [(2, 0.5, inf, 0.7)]),
+             (0.5, [(1, -inf, 0.0, 0.2), (0, 1.0, inf, 0.9), (2, -inf, 0.5, 0.4)])]
+    blocks = tree_shapley.leaf_arrays(paths)
+    x = np.random.default_rng(1).integers(-2, 4, (500, 3)) / 2.0
+    got = tree_shapley.shapley(x, blocks, 3)
+    monkeypatch.setattr(tree_shapley, "PATTERN_PLACES", 0)
+    assert np.allclose(got, tree_shapley.shapley(x, blocks, 3), atol=1e-12)
