@@ -9,9 +9,12 @@ values in one task, and a window without keys the whole table. Instead:
    written once, so that nothing above it runs again;
 2. if some key has more than ``ROWS_PER_RANGE`` rows, ONE global range
    partitioning by (key, order) cuts the table into as many ranges as it has
-   that many rows. A hot key spans many ranges, rare keys share one. The range
-   of each row is written with it, so a recomputed task finds the same ranges;
-   no cut points come to the driver, however many keys there are;
+   that many rows. A hot key spans many ranges, rare keys share one. Short
+   ranges are cut inside the sorted partitions, so that the tasks, their files
+   and what they report to the driver follow ``ROWS_PER_RANGE``, not the length
+   of a range. The range of each row is written with it, so a recomputed task
+   finds the same ranges; no cut points come to the driver, however many keys
+   there are;
 3. running totals inside each (range, key), totals of those, exclusive running
    totals per key over its ranges, joined back.
 """
@@ -27,6 +30,7 @@ from fairlane.operators._util import as_list
 from fairlane.session import written
 
 ROWS_PER_RANGE = 1_000_000
+TASKS = 200                     # range partitions of a table of less than that many times ROWS_PER_RANGE rows
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -49,8 +53,14 @@ def ordered_ranges(df: DataFrame, part, order: str, rows_per_range: int | None =
         heaviest = t.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if heaviest <= most:
         return t.withColumn("_b", F.lit(0)), False
-    t = t.repartitionByRange(-(-n // most), *part, order).withColumn("_b", F.spark_partition_id())
-    return written(t, "ranges"), True
+    ranges, tasks = -(-n // most), max(TASKS, -(-n // ROWS_PER_RANGE))
+    if ranges <= tasks:
+        t = t.repartitionByRange(ranges, *part, order).withColumn("_b", F.spark_partition_id())
+        return written(t, "ranges"), True
+    # partition number and place in the partition: the upper and the lower 33 bits of the id
+    t = t.repartitionByRange(tasks, *part, order).sortWithinPartitions(*part, order).withColumn("_b", F.monotonically_increasing_id())
+    place = F.col("_b").bitwiseAND(F.lit((1 << 33) - 1))
+    return written(t.withColumn("_b", F.col("_b") - place + F.floor(place / most)), "ranges"), True
 
 
 def ordered_prefix_sums(df: DataFrame, part, order: str, cols: list[str], descending: bool = False,

@@ -47,3 +47,17 @@ def test_looked_up_patterns_equal_the_integral(monkeypatch):
     got = tree_shapley.shapley(x, blocks, 3)
     monkeypatch.setattr(tree_shapley, "PATTERN_PLACES", 0)
     assert np.allclose(got, tree_shapley.shapley(x, blocks, 3), atol=1e-12)
+
+
+def test_short_ranges_need_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "TASKS", 4)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").alias("k"), F.col("id").alias("v"),
+                                  F.when(F.col("id") % 40 == 7, F.col("id")).alias("x")).repartition(3)
+    t, several = prefix.ordered_ranges(df, "k", "v", 10)
+    assert several and len(t.inputFiles()) <= 4
+    sizes = [r["count"] for r in t.groupBy("_b").count().collect()]
+    assert len(sizes) >= 300 and max(sizes) <= 10
+    spans = t.groupBy("k", "_b").agg(F.min("v").alias("a"), F.max("v").alias("z")).orderBy("k", "_b").collect()
+    assert all(p["z"] < q["a"] for p, q in zip(spans, spans[1:]) if p["k"] == q["k"])
+    short, plain = windows.fill_gaps(df, "x", "v", "k", rows_per_range=10), windows.fill_gaps(df, "x", "v", "k")
+    assert sorted(short.collect(), key=lambda r: r["v"]) == sorted(plain.collect(), key=lambda r: r["v"])
