@@ -61,3 +61,15 @@ def test_short_ranges_need_few_tasks(spark, monkeypatch):
     assert all(p["z"] < q["a"] for p, q in zip(spans, spans[1:]) if p["k"] == q["k"])
     short, plain = windows.fill_gaps(df, "x", "v", "k", rows_per_range=10), windows.fill_gaps(df, "x", "v", "k")
     assert sorted(short.collect(), key=lambda r: r["v"]) == sorted(plain.collect(), key=lambda r: r["v"])
+
+
+def test_training_rows_are_spread_over_the_cores(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(models, "written", lambda df, name, w=models.written: made.append(w(df, name)) or made[-1])
+    t = spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(450)], "x double, label double").coalesce(1)
+    m = models.train(t, ["x"], "tree", maxDepth=2)
+    assert len(made[0].inputFiles()) == min(4, spark.sparkContext.defaultParallelism) and made[0].count() == 450
+    assert m.transform(t).where("prediction <> label").count() == 0
+    with pytest.raises(ValueError, match="nulls in x"):
+        models.train(t.unionByName(spark.createDataFrame([(None, 1.0)], "x double, label double")), ["x"], "tree")
