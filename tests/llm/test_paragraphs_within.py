@@ -93,3 +93,29 @@ def test_texts_are_shuffled_for_one_side_at_a_time(spark, tmp_path):
     out = paragraphs.repeated_passages(spark.read.parquet(str(tmp_path / "docs")), extend=True)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("n_chars#") <= 1
     assert {(r["doc_id"], r["first_word"], r["last_word"]) for r in out.collect()} == {(i, 60, 139) for i in range(1, 6)}
+
+
+def test_runs_of_equal_windows_equal_those_of_one_link_at_a_time():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        x = [rng.integers(1, 4, int(rng.integers(30, 400))).astype(np.uint64) for _ in range(4)]
+        y = [t.copy() for t in x]
+        for t in y:
+            t[rng.integers(0, len(t), 3)] = 9
+        y = [np.concatenate((np.full(int(rng.integers(0, 5)), 7, np.uint64), t))[:int(rng.integers(25, 400))] for t in y]
+        x_off, y_off = (np.concatenate(([0], np.cumsum([len(t) for t in v]))) for v in (x, y))
+        row = np.sort(rng.integers(0, 4, 60))
+        a = np.array([rng.integers(0, len(x[r]) - 20) for r in row])
+        b = np.maximum(0, np.minimum(a + rng.integers(-2, 6, 60), np.array([len(y[r]) for r in row]) - 20))
+        n = np.full(60, 20)
+        link, at, size, equal = paragraphs._equal_runs(np.concatenate(x), x_off, np.concatenate(y), y_off, row, a, n, b, n)
+        want = []
+        for r in range(4):
+            done = {}
+            for k in sorted(np.flatnonzero((row == r) & equal).tolist(), key=lambda k: a[k]):
+                s, e = done.get(b[k] - a[k], (0, -1))
+                if not (s <= a[k] and a[k] + 19 <= e):
+                    done[b[k] - a[k]] = run = paragraphs._common_run(x[r], y[r], int(a[k]), 20, int(b[k]), 20)
+                    want.append((k, run[0], run[1] - run[0] + 1))
+        assert sorted(zip(link.tolist(), at.tolist(), size.tolist())) == sorted(want)
+        assert equal.tolist() == [np.array_equal(x[r][i:i + 20], y[r][j:j + 20]) for r, i, j in zip(row, a, b)]
