@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fairlane.operators.knn import nearest
 from fairlane.operators.prefix import ordered_prefix_sums
+from fairlane.session import written
 from fairlane.sources.tables import hash_bucket
 
 _U = 1 << 30
@@ -58,6 +59,7 @@ def smote(df: DataFrame, features: list[str], label: str, key: str = "applicatio
         return mino.limit(0).select(F.lit(None).cast(df.schema[key].dataType).alias(key), *features,
                                     F.lit(minority).alias(label), F.lit(True).alias("synthetic"))
     base, extra = divmod(need, n_min)
+    mino = written(mino, "smote-rows")                  # every pass below reads these, none works the features out again
     nb = neighbours(mino, features, key, k, **nn_args)
     nb_lists = nb.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "nb"))).alias("_nbs"))
     # Exact rank in hash order, without a single-task window.
